@@ -18,12 +18,6 @@ REQUEST_SCHEMES = ("http", "https", "ftp")
 _SPECIAL = r"^(?:https?|ftp):"
 _SCHEME = r"^([a-z][a-z0-9+.\-]*):"
 
-PART_TYPE = (
-    "struct<scheme:string,userinfo:string,host:string,port:string,"
-    "path:string,query:string,fragment:string>"
-)
-
-
 def clean_url(col: Column) -> Column:
     """Outer white space and inner tabs and line ends are not part of a URL; in
     web schemes a back slash before the query counts as a slash."""
@@ -76,16 +70,23 @@ def url_parts(col: Column) -> Column:
         path = F.regexp_extract(rest, r"^[^?#]*", 0)
         return F.when(
             scheme != "",
-            F.struct(
-                scheme.alias("scheme"),
-                F.regexp_extract(authority, r"^(.*)@", 1).alias("userinfo"),
-                _host(authority).alias("host"),
-                F.regexp_extract(authority, r":([0-9]+)$", 1).alias("port"),
-                F.when((path == "") & scheme.isin(*DEFAULT_PORTS), F.lit("/")).otherwise(path).alias("path"),
-                F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1).alias("query"),
-                F.regexp_extract(rest, r"^[^#]*(#.*)", 1).alias("fragment"),
+            F.named_struct(
+                F.lit("scheme"),
+                scheme,
+                F.lit("userinfo"),
+                F.regexp_extract(authority, r"^(.*)@", 1),
+                F.lit("host"),
+                _host(authority),
+                F.lit("port"),
+                F.regexp_extract(authority, r":([0-9]+)$", 1),
+                F.lit("path"),
+                F.when((path == "") & scheme.isin(*DEFAULT_PORTS), F.lit("/")).otherwise(path),
+                F.lit("query"),
+                F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1),
+                F.lit("fragment"),
+                F.regexp_extract(rest, r"^[^#]*(#.*)", 1),
             ),
-        ).otherwise(F.lit(None).cast(PART_TYPE))
+        )
 
     return let(clean_url(col), split)
 
@@ -109,8 +110,6 @@ def is_parsable(parts: Column) -> Column:
 
 def url_issues(url: Column, field: str = "url") -> Column:
     """Array of {field, rule, message}; empty when the request URL is usable."""
-    parts = url_parts(url)
-    present = F.coalesce(web_trim(url) != "", F.lit(False))
 
     def well_formed(p: Column) -> Column:
         named = p["host"].rlike(r"^[^.].*\.[a-z\x{A1}-\x{FFFF}][a-z0-9\-\x{A1}-\x{FFFF}]+$")
@@ -128,15 +127,16 @@ def url_issues(url: Column, field: str = "url") -> Column:
             F.lit(field).alias("field"), F.lit(rule).alias("rule"), F.lit(message).alias("message")
         )
 
-    return F.array_compact(
-        F.array(
-            F.when(~present, issue("required", f"The {field} field must be defined")),
-            F.when(
-                present & ~let(parts, well_formed),
-                issue("url", f"The {field} field must be a valid URL"),
-            ),
+    def issues(u: Column) -> Column:
+        return F.array_compact(
+            F.array(
+                F.when(u == "", issue("required", f"The {field} field must be defined")).when(
+                    ~let(url_parts(u), well_formed), issue("url", f"The {field} field must be a valid URL")
+                )
+            )
         )
-    )
+
+    return let(F.coalesce(web_trim(url), F.lit("")), issues)
 
 
 def url_extension(url: Column) -> Column:

@@ -30,9 +30,8 @@ def mime_essence(content_type: Column) -> Column:
 def classify(content_type: Column) -> Column:
     """html, pdf, docx or unsupported; a missing type counts as html."""
     return let(
-        mime_essence(content_type),
-        lambda m: F.when(F.coalesce(content_type, F.lit("")) == "", F.lit("html"))
-        .when(m.isin(*HTML), F.lit("html"))
+        mime_essence(F.coalesce(F.nullif(content_type, F.lit("")), F.lit(HTML[0]))),
+        lambda m: F.when(m.isin(*HTML), F.lit("html"))
         .when(m == PDF, F.lit("pdf"))
         .when(m == DOCX, F.lit("docx"))
         .otherwise(F.lit("unsupported")),
@@ -53,7 +52,9 @@ def refine_by_extension(content_type: Column, url: Column) -> Column:
 
 def refine_by_magic(content_type: Column, body: Column) -> Column:
     """Octet streams that start like a PDF are one; others stay as they are."""
-    return F.when((mime_essence(content_type) == OCTETS) & has_pdf_magic(body), F.lit(PDF)).otherwise(content_type)
+    return let(
+        content_type, lambda c: F.when((mime_essence(c) == OCTETS) & has_pdf_magic(body), F.lit(PDF)).otherwise(c)
+    )
 
 
 def refined_type(content_type: Column, url: Column, body: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.functions.addresses import ip_to_int, is_ip_literal, is_private, parse_cidr
+from pagemill.functions.reuse import reuse
 from pagemill.functions.text import let
 from pagemill.functions.urls import BLOCKED_SCHEMES, is_parsable, url_parts
 from pagemill.operators.layout import mark_known
@@ -150,22 +151,27 @@ def guard(
     else:
         out = out.join(resolved_hits(rows.select("page_id", *urls), dns, urls, cidrs, hosts), "page_id", "left")
 
-    def verdict(u: str) -> Column:
-        return F.coalesce(
-            guard_error(F.col(u), cidrs, hosts),
-            F.when(F.coalesce(F.col(f"{u}_private"), F.lit(False)), F.lit(PRIVATE)),
-        )
-
-    out = out.withColumn("guard_error", verdict(url))
+    out = out.withColumn("guard_error", _verdict(url, tuple(cidrs), tuple(hosts)))
     if final_url is not None:
-        moved = F.col(final_url).isNotNull() & (F.col(final_url) != F.col(url))
-        out = out.withColumn(
-            "redirect_error",
-            F.when(moved & verdict(final_url).isNotNull(), F.concat(F.lit(REDIRECT), F.col(final_url))),
-        )
+        out = out.withColumn("redirect_error", _redirect_verdict(url, final_url, tuple(cidrs), tuple(hosts)))
     return out.drop(*[f"{u}_private" for u in urls])
 
 
+@reuse
+def _verdict(url: str, cidrs: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
+    return F.coalesce(
+        guard_error(F.col(url), cidrs, hosts),
+        F.when(F.coalesce(F.col(f"{url}_private"), F.lit(False)), F.lit(PRIVATE)),
+    )
+
+
+@reuse
+def _redirect_verdict(url: str, final_url: str, cidrs: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
+    moved = F.col(final_url).isNotNull() & (F.col(final_url) != F.col(url))
+    blocked = _verdict(final_url, cidrs, hosts).isNotNull()
+    return F.when(moved & blocked, F.concat(F.lit(REDIRECT), F.col(final_url)))
+
+
 def allow_hosts(rows: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:
     """Add `host_allowed` and `guard_error` with the allow-list as a table."""
     keyed = rows.withColumn("host", url_parts(F.col(url))["host"])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.markup import page_title
 from pagemill.functions.reuse import reuse
+from pagemill.functions.text import let
 from pagemill.functions.urls import url_issues, url_parts
 from pagemill.operators.content import (
     MAX_BYTES,
@@ -25,23 +26,69 @@ UPSTREAM = "URL returned non-success status"
 
 
 @reuse
-def _first_issue() -> Column:
-    return F.try_element_at(url_issues(F.col("url")), F.lit(1))["message"]
+def _title() -> Column:
+    return page_title(F.col("html"))
 
 
 @reuse
-def _refined() -> Column:
-    return refined_type(F.col("content_type"), F.col("url"), F.col("body"))
+def _base() -> Column:
+    return url_parts(F.col("url"))
 
 
 @reuse
-def _title() -> Column:
-    return page_title(F.col("html"))
+def _judgement(cap: int, decoded: tuple[str, ...]) -> Column:
+    """Struct of category, outcome, http_status, status and error.
 
+    Every input is computed once, in one struct, and then only looked at.
+    """
+    facts = F.struct(
+        F.try_element_at(url_issues(F.col("url")), F.lit(1))["message"].alias("issue"),
+        F.col("guard_error"),
+        F.col("redirect_error"),
+        let(
+            refined_type(F.col("content_type"), F.col("url"), F.col("body")),
+            lambda m: F.struct(m.alias("name"), classify(m).alias("category")),
+        ).alias("media"),
+        F.col("fetch_error"),
+        F.coalesce("status", F.lit(0)).alias("status"),
+        F.octet_length("body").alias("size"),
+        (F.coalesce(*[F.col(c) for c in decoded]).isNotNull() if decoded else F.lit(False)).alias("has_text"),
+    )
 
-@reuse
-def _base() -> Column:
-    return url_parts(F.col("url"))
+    def judge(f: Column) -> Column:
+        category, status = f["media"]["category"], f["status"]
+        is_html = category == "html"
+        document = document_error(category, status, f["size"], cap)
+        label = F.when(is_html, F.lit("Failed to fetch URL: ")).otherwise(
+            F.concat(F.lit("Failed to process "), F.upper(category), F.lit(": "))
+        )
+
+        def verdict(outcome: str, sent, error: Column | None, kept=None) -> Column:
+            sent = F.lit(sent) if not isinstance(sent, Column) else sent
+            return F.struct(
+                category.alias("category"),
+                F.lit(outcome).alias("outcome"),
+                sent.cast("int").alias("http_status"),
+                (sent if kept is None else kept).cast("int").alias("status"),
+                (F.lit(None) if error is None else error).cast("string").alias("error"),
+            )
+
+        return (
+            F.when(f["issue"].isNotNull(), verdict("invalid_url", 422, f["issue"]))
+            .when(f["guard_error"].isNotNull(), verdict("blocked", 403, f["guard_error"]))
+            .when(f["redirect_error"].isNotNull(), verdict("blocked_redirect", 403, f["redirect_error"]))
+            .when(category == "unsupported", verdict("unsupported", 415, unsupported_error(f["media"]["name"])))
+            .when(f["fetch_error"].isNotNull(), verdict("fetch_failed", 502, F.concat(label, f["fetch_error"])))
+            .when(~is_html & document.isNotNull(), verdict("document_failed", 502, document))
+            .when(~is_html & ~f["has_text"], verdict("needs_decoder", None, None))
+            .when(
+                is_html & ((status >= 400) | (status == 0)),
+                verdict("upstream_status", F.when(status == 0, 502).otherwise(status), F.lit(UPSTREAM), status),
+            )
+            .otherwise(verdict("ok", 200, None))
+        )
+
+    return let(facts, judge)
 
 
 def outcomes(
@@ -57,68 +104,11 @@ def outcomes(
     A document row counts as done when the caller joined decoded text on, as
     column `decoded_html` or `decoded_markdown`; otherwise it needs a decoder.
     """
-    rows = guard(crawl, cidrs, hosts, dns)
-    rows = rows.withColumn("media_type", _refined()).withColumn("issue", _first_issue())
-    rows = rows.withColumn("category", classify(F.col("media_type")))
-    is_html = F.col("category") == "html"
-    rows = rows.withColumn(
-        "document_error",
-        F.when(~is_html, document_error(F.col("category"), F.col("status"), F.octet_length("body"), cap)),
-    )
-    decoded = [F.col(c) for c in ("decoded_html", "decoded_markdown") if c in crawl.columns]
-    has_text = F.coalesce(*decoded).isNotNull() if decoded else F.lit(False)
-    upstream = F.col("status").isNull() | (F.col("status") >= 400) | (F.col("status") == 0)
-    fetch_label = F.when(is_html, F.lit("Failed to fetch URL: ")).otherwise(
-        F.concat(F.lit("Failed to process "), F.upper("category"), F.lit(": "))
-    )
-
-    # outcome, status sent, status in the body, message
-    checks = (
-        (F.col("issue").isNotNull(), "invalid_url", F.lit(422), F.lit(422), F.col("issue")),
-        (F.col("guard_error").isNotNull(), "blocked", F.lit(403), F.lit(403), F.col("guard_error")),
-        (F.col("redirect_error").isNotNull(), "blocked_redirect", F.lit(403), F.lit(403), F.col("redirect_error")),
-        (
-            F.col("category") == "unsupported",
-            "unsupported",
-            F.lit(415),
-            F.lit(415),
-            unsupported_error(F.col("media_type")),
-        ),
-        (
-            F.col("fetch_error").isNotNull(),
-            "fetch_failed",
-            F.lit(502),
-            F.lit(502),
-            F.concat(fetch_label, F.col("fetch_error")),
-        ),
-        (F.col("document_error").isNotNull(), "document_failed", F.lit(502), F.lit(502), F.col("document_error")),
-        (~is_html & ~has_text, "needs_decoder", F.lit(None).cast("int"), F.lit(None).cast("int"), F.lit(None)),
-        (
-            is_html & upstream,
-            "upstream_status",
-            F.when(F.coalesce(F.col("status"), F.lit(0)) == 0, 502).otherwise(F.col("status")),
-            F.coalesce(F.col("status"), F.lit(0)),
-            F.lit(UPSTREAM),
-        ),
-    )
-    picked = F.lit(None)
-    for test, name, sent, kept, message in reversed(checks):
-        verdict = F.struct(
-            F.lit(name).alias("outcome"),
-            sent.cast("int").alias("http_status"),
-            kept.cast("int").alias("status"),
-            message.cast("string").alias("error"),
-        )
-        last = F.struct(
-            F.lit("ok").alias("outcome"),
-            F.lit(200).alias("http_status"),
-            F.lit(200).alias("status"),
-            F.lit(None).cast("string").alias("error"),
-        )
-        picked = F.when(test, verdict).otherwise(last if name == "upstream_status" else picked)
+    decoded = tuple(c for c in ("decoded_html", "decoded_markdown") if c in crawl.columns)
+    rows = guard(crawl, tuple(cidrs), tuple(hosts), dns)
     return (
-        rows.withColumn("_verdict", picked)
-        .drop("issue", "guard_error", "redirect_error", "document_error", "status")
+        rows.withColumn("_verdict", _judgement(cap, decoded))
+        .drop("guard_error", "redirect_error", "status")
         .select("*", "_verdict.*")
         .drop("_verdict")
     )

@@ -1 +1,382 @@
-ORACLES = {}
+"""SQL for another engine that states what each query must return.
+
+Written from the definitions, mostly by another route than the Spark code:
+tokens as rows with window functions instead of arrays inside the scan, paths
+folded as strings instead of lists, simple joins instead of salted ones.
+"""
+
+from __future__ import annotations
+
+from pagemill.plans.fixtures import DOCX, duck_fixture
+from pagemill.plans.queries import BODY_CAP, INTAKE_CAP, MD_RULES, REQUESTS
+
+ORACLES: dict[str, str] = {}
+
+_WS = r"[\t\n\x0B\f\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+_PRIVATE = "URLs targeting private/internal IP addresses are not allowed"
+
+
+def trim(c: str) -> str:
+    return f"regexp_replace({c}, '^{_WS}+|{_WS}+$', '', 'g')"
+
+
+# -- addresses ---------------------------------------------------------------
+
+
+def octet(c: str, i: int) -> str:
+    return f"TRY_CAST(split_part({c}, '.', {i}) AS BIGINT)"
+
+
+def ip_int(c: str) -> str:
+    parts = [octet(c, i) for i in range(1, 5)]
+    ok = " AND ".join(f"{p} <= 255" for p in parts)
+    return (
+        f"CASE WHEN regexp_full_match({c}, '[0-9]{{1,3}}(\\.[0-9]{{1,3}}){{3}}') AND {ok} THEN "
+        f"{parts[0]} * 16777216 + {parts[1]} * 65536 + {parts[2]} * 256 + {parts[3]} END"
+    )
+
+
+def private_v4(c: str) -> str:
+    a, b = octet(c, 1), octet(c, 2)
+    return (
+        f"coalesce(({ip_int(c)}) IS NOT NULL AND ({a} IN (0, 10, 127) OR ({a} = 172 AND {b} BETWEEN 16 AND 31) "
+        f"OR ({a} = 192 AND {b} = 168) OR ({a} = 169 AND {b} = 254)), false)"
+    )
+
+
+def private_v6(c: str) -> str:
+    return (
+        f"coalesce(contains({c}, ':') AND regexp_matches(lower({c}), '^(::1|fc|fd|fe80:|::ffff:(127\\.|10\\.|192\\.168\\.|"
+        f"169\\.254\\.|172\\.(1[6-9]|2[0-9]|3[01])\\.))'), false)"
+    )
+
+
+def literal(c: str) -> str:
+    return (
+        f"coalesce((contains({c}, ':') AND regexp_full_match(lower({c}), '[0-9a-f:.]+')) OR ({ip_int(c)}) IS NOT NULL, false)"
+    )
+
+
+def private(c: str) -> str:
+    return f"({private_v4(c)} OR {private_v6(c)})"
+
+
+def quad_of(c: str) -> str:
+    """Dotted quad of a short, octal or hex IPv4 host."""
+    parts = f"string_split(regexp_replace({c}, '\\.$', ''), '.')"
+    number = (
+        "CASE WHEN p = '0x' THEN 0 "
+        "WHEN regexp_full_match(p, '0x[0-9a-f]{1,15}') THEN list_reduce([instr('0123456789abcdef', h) - 1 FOR h IN string_split(substr(p, 3), '')], lambda a, b: a * 16 + b) "
+        "WHEN regexp_full_match(p, '0[0-7]{1,20}') THEN list_reduce([CAST(h AS BIGINT) FOR h IN string_split(p, '')], lambda a, b: a * 8 + b) "
+        "WHEN regexp_full_match(p, '0|[1-9][0-9]{0,17}') THEN TRY_CAST(p AS BIGINT) END"
+    )
+    return f"""(SELECT CASE WHEN NOT list_contains([x IS NULL FOR x IN n], true)
+        AND len(n) <= 4 AND len([x FOR x IN n[1:len(n)-1] IF x > 255]) = 0
+        AND n[len(n)] < CAST(pow(256, 5 - len(n)) AS BIGINT) THEN
+      (SELECT CAST(v // 16777216 AS VARCHAR) || '.' || CAST(v // 65536 % 256 AS VARCHAR) || '.' ||
+              CAST(v // 256 % 256 AS VARCHAR) || '.' || CAST(v % 256 AS VARCHAR)
+       FROM (SELECT CASE len(n) WHEN 1 THEN n[1] WHEN 2 THEN n[1] * 16777216 + n[2]
+         WHEN 3 THEN n[1] * 16777216 + n[2] * 65536 + n[3] ELSE n[1] * 16777216 + n[2] * 65536 + n[3] * 256 + n[4] END AS v)) END
+     FROM (SELECT CASE WHEN regexp_full_match({c}, '(0x[0-9a-f]*|[0-9]+)(\\.(0x[0-9a-f]*|[0-9]+)){{0,3}}\\.?')
+       THEN [CAST(({number}) AS BIGINT) FOR p IN {parts}] END AS n))"""
+
+
+# -- URLs --------------------------------------------------------------------
+
+
+def url_ctes(source: str, key: str, col: str, p: str = "u") -> str:
+    """CTEs that split `col` of `source`; the last one is `{p}` with columns
+    key, scheme, userinfo, host, port, path, query, fragment, ok."""
+    host_bad = (
+        "host = '' OR regexp_matches(host, '[\\x00-\\x20#/<>?@\\[\\\\\\]^|%]') "
+        "OR (contains(host, ':') AND NOT regexp_full_match(host, '[0-9a-f:.]+')) "
+        f"OR (regexp_matches(host, '(^|\\.)([0-9]+|0x[0-9a-f]*)\\.?$') AND NOT {literal('host')})"
+    )
+    return f"""
+{p}0 AS (SELECT {key} AS k, regexp_replace({trim(col)}, '[\\t\\r\\n]', '', 'g') AS c FROM {source}),
+{p}1 AS (SELECT *, lower(regexp_extract(c, '^([a-zA-Z][a-zA-Z0-9+.\\-]*):', 1)) AS scheme FROM {p}0),
+{p}2 AS (SELECT *, scheme IN ('http', 'https', 'ftp') AS web, substr(c, length(scheme) + 2) AS rest FROM {p}1),
+{p}3 AS (SELECT *, CASE WHEN web THEN regexp_extract(rest, '^/*([^/?#]*)', 1)
+      WHEN starts_with(rest, '//') THEN regexp_extract(rest, '^//([^/?#]*)', 1) ELSE '' END AS authority,
+    CASE WHEN web THEN regexp_replace(rest, '^/*[^/?#]*', '')
+      WHEN starts_with(rest, '//') THEN regexp_replace(rest, '^//[^/?#]*', '') ELSE rest END AS tail FROM {p}2),
+{p}4 AS (SELECT *, CASE WHEN contains(authority, '@') THEN regexp_extract(authority, '^(.*)@', 1) ELSE '' END AS userinfo,
+    regexp_extract(authority, ':([0-9]+)$', 1) AS port,
+    regexp_replace(regexp_replace(lower(regexp_replace(authority, '^.*@', '')), ':[0-9]*$', ''), '^\\[|\\]$', '', 'g') AS h0,
+    split_part(split_part(tail, '#', 1), '?', 1) AS p0 FROM {p}3),
+{p}5 AS (SELECT *, CASE WHEN contains(lower(authority), '[') THEN regexp_extract(lower(authority), '\\[([^\\]]*)\\]', 1) ELSE h0 END AS h1 FROM {p}4),
+{p}6 AS (SELECT *, coalesce({quad_of('h1')}, h1) AS host, CASE WHEN p0 = '' AND web THEN '/' ELSE p0 END AS path,
+    CASE WHEN contains(split_part(tail, '#', 1), '?') THEN substr(split_part(tail, '#', 1), length(p0) + 1) ELSE '' END AS query,
+    CASE WHEN contains(tail, '#') THEN substr(tail, instr(tail, '#')) ELSE '' END AS fragment FROM {p}5),
+{p} AS (SELECT *, scheme <> '' AND c IS NOT NULL AS split_ok, coalesce(scheme <> '' AND (NOT web OR (NOT ({host_bad}) AND
+    (port = '' OR length(port) <= 4 OR TRY_CAST(port AS BIGINT) <= 65535))), false) AS ok FROM {p}6)"""
+
+
+def folded(path: str) -> str:
+    """Path without dot segments, built up as text."""
+    return (
+        f"CASE WHEN starts_with({path}, '/') AND regexp_matches({path}, '/\\.') THEN "
+        f"(SELECT CASE WHEN d AND NOT ends_with(f, '/') AND f <> '' THEN f || '/' WHEN f = '' THEN '/' ELSE f END FROM (SELECT "
+        f"regexp_matches({path}, '/\\.\\.?$') AS d, "
+        f"list_reduce(list_prepend('', string_split(substr({path}, 2), '/')), lambda acc, s: CASE WHEN s = '..' THEN "
+        f"regexp_replace(acc, '/[^/]*$', '') WHEN s = '.' THEN acc ELSE acc || '/' || s END) AS f)) ELSE {path} END"
+    )
+
+
+def encoded(text: str, safe: str) -> str:
+    return (
+        f"array_to_string([CASE WHEN regexp_matches(r, '^[{safe}]') THEN r ELSE url_encode(r) END "
+        f"FOR r IN regexp_extract_all({text}, '[{safe}]+|[^{safe}]+')], '')"
+    )
+
+
+_PATH_SAFE = "!#-;=?-_a-z|~"
+_QUERY_SAFE = "!#-&(-;=?-~"
+_FRAGMENT_SAFE = "!#-;=?-_a-~"
+
+
+def rendered(p: str = "") -> str:
+    """Normal text of a row of `url_ctes`; `p` is a table prefix."""
+    c = {n: f"{p}{n}" for n in ("scheme", "userinfo", "host", "port", "path", "query", "fragment", "web")}
+    return (
+        f"{c['scheme']} || ':' || CASE WHEN {c['web']} OR {c['host']} <> '' OR {c['scheme']} = 'file' THEN '//' || "
+        f"CASE WHEN {c['userinfo']} <> '' THEN {c['userinfo']} || '@' ELSE '' END || "
+        f"CASE WHEN contains({c['host']}, ':') THEN '[' || {c['host']} || ']' ELSE {c['host']} END || "
+        f"CASE WHEN {c['port']} = '' OR ({c['scheme']} = 'http' AND {c['port']} = '80') OR ({c['scheme']} = 'https' AND {c['port']} = '443') "
+        f"OR ({c['scheme']} = 'ftp' AND {c['port']} = '21') THEN '' ELSE ':' || {c['port']} END ELSE '' END || "
+        f"CASE WHEN {c['web']} THEN {encoded('(' + folded(c['path']) + ')', _PATH_SAFE)} ELSE {c['path']} END || "
+        f"{encoded(c['query'], _QUERY_SAFE)} || {encoded(c['fragment'], _FRAGMENT_SAFE)}"
+    )
+
+
+def resolved(h: str, b: str) -> str:
+    """Absolute text of cleaned href `h` seen from URL row `b`."""
+    origin = (
+        f"{b}.scheme || '://' || CASE WHEN {b}.userinfo <> '' THEN {b}.userinfo || '@' ELSE '' END || {b}.host || "
+        f"CASE WHEN {b}.port = '' THEN '' ELSE ':' || {b}.port END"
+    )
+    return f"""CASE WHEN regexp_matches({h}, '^[a-zA-Z][a-zA-Z0-9+.\\-]*:') THEN {h}
+    WHEN starts_with({h}, '//') THEN {b}.scheme || ':' || {h}
+    WHEN starts_with({h}, '/') THEN {origin} || {h}
+    WHEN starts_with({h}, '?') THEN {origin} || {b}.path || {h}
+    WHEN starts_with({h}, '#') THEN {origin} || {b}.path || {b}.query || {h}
+    WHEN {h} = '' THEN {origin} || {b}.path || {b}.query
+    ELSE {origin} || regexp_extract({b}.path, '^.*/') || {h} END"""
+
+
+URL_X = f"src AS ({duck_fixture('url_x')}), " + url_ctes("src", "id", "url")
+HREF_X = (
+    f"src AS ({duck_fixture('href_x')}), "
+    + url_ctes("src", "id", "base", "b")
+    + f", abs AS (SELECT s.id, s.href, b.host AS base_host, {resolved(trim('s.href'), 'b')} AS url FROM src s JOIN b ON b.k = s.id), "
+    + url_ctes("abs", "id", "url", "t")
+)
+_WANTED = f"NOT regexp_matches(lower({trim('href')}), '^(#|javascript:|data:|vbscript:|mailto:)') AND {trim('href')} <> ''"
+
+_ISSUE = (
+    f"CASE WHEN coalesce({trim('s.url')}, '') = '' THEN 'required' WHEN NOT (u.ok AND u.web AND NOT regexp_matches(u.host, '[_ ]') AND "
+    f"(regexp_full_match(u.host, '[^.].*\\.[a-z\\x{{A1}}-\\x{{FFFF}}][a-z0-9\\-\\x{{A1}}-\\x{{FFFF}}]+') OR {literal('u.host')})) THEN 'url' END"
+)
+_PROTOCOL = "CASE WHEN u.scheme IN ('file', 'data', 'ftp', 'gopher') THEN 'Protocol ' || u.scheme || ': is not allowed' END"
+
+ORACLES["scan_pages"] = (
+    "SELECT page_id, url, url AS final_url, 200 AS status, 'text/html' AS content_type, length(html) AS html_length FROM pages"
+)
+ORACLES["validate_url"] = f"""WITH {URL_X}, r AS (SELECT s.id, {_ISSUE} AS rule FROM src s JOIN u ON u.k = s.id)
+SELECT id, CASE WHEN rule IS NULL THEN 0 ELSE 1 END AS n_issues, CASE WHEN rule IS NOT NULL THEN 'url' END AS field, rule,
+  CASE rule WHEN 'required' THEN 'The url field must be defined' WHEN 'url' THEN 'The url field must be a valid URL' END AS message FROM r"""
+ORACLES["guard_protocol"] = f"WITH {URL_X} SELECT k AS id, {_PROTOCOL} AS error FROM u"
+ORACLES["guard_invalid"] = f"WITH {URL_X} SELECT k AS id, CASE WHEN NOT ok THEN 'Invalid URL' END AS error FROM u"
+for _name, _expr, _as in (
+    ("private_ipv4", private_v4("addr"), "private"),
+    ("private_ipv6", private_v6("addr"), "private"),
+    ("is_ip_literal", literal("addr"), "literal"),
+    ("ip_to_int", ip_int("addr"), "value"),
+):
+    ORACLES[_name] = f"SELECT id, addr, {_expr} AS {_as} FROM ({duck_fixture('addr_x')}) a"
+ORACLES["ip_canonical"] = f"""WITH h AS (SELECT id, split_part(split_part(url, '/', 3), ':', 1) AS host FROM ({duck_fixture('url_x')}) x)
+SELECT id, host, {quad_of('lower(host)')} AS quad FROM h"""
+ORACLES["url_parts"] = f"""WITH {URL_X} SELECT k AS id, CASE WHEN split_ok THEN scheme END AS scheme, CASE WHEN split_ok THEN userinfo END AS userinfo,
+  CASE WHEN split_ok THEN host END AS host, CASE WHEN split_ok THEN port END AS port, CASE WHEN split_ok THEN path END AS path,
+  CASE WHEN split_ok THEN query END AS query, CASE WHEN split_ok THEN fragment END AS fragment FROM u"""
+ORACLES["normalize_url"] = f"WITH {URL_X} SELECT k AS id, CASE WHEN ok THEN {rendered()} END AS url FROM u"
+ORACLES["url_extension"] = f"""WITH {URL_X} SELECT k AS id,
+  nullif(lower(CASE WHEN split_ok THEN regexp_extract({folded('path')}, '\\.[^.]*$') END), '') AS extension FROM u"""
+ORACLES["resolve_href"] = f"WITH {HREF_X} SELECT k AS id, CASE WHEN ok THEN {rendered()} END AS url FROM t"
+ORACLES["href_filter"] = f"SELECT id, href, {_WANTED} AS wanted FROM ({duck_fixture('href_x')}) h"
+ORACLES["same_host_links"] = f"""WITH {HREF_X} SELECT t.k AS id, {rendered('t.')} AS url FROM t JOIN abs a ON a.id = t.k
+WHERE t.ok AND t.host = a.base_host AND {_WANTED.replace('href', 'a.href')}"""
+
+# -- content -----------------------------------------------------------------
+
+CRAWL = f"src AS ({duck_fixture('crawl_x')})"
+
+
+def category(c: str) -> str:
+    m = f"lower({trim(f'split_part({c}, chr(59), 1)')})"
+    return (
+        f"CASE WHEN {c} IS NULL OR {c} = '' OR {m} IN ('text/html', 'application/xhtml+xml') THEN 'html' "
+        f"WHEN {m} = 'application/pdf' THEN 'pdf' WHEN {m} = '{DOCX}' THEN 'docx' ELSE 'unsupported' END"
+    )
+
+
+def octets(c: str) -> str:
+    return f"lower({trim(f'split_part({c}, chr(59), 1)')}) = 'application/octet-stream'"
+
+
+def by_extension(c: str, path: str) -> str:
+    return (
+        f"CASE WHEN {octets(c)} AND lower(regexp_extract({path}, '\\.[^.]*$')) = '.pdf' THEN 'application/pdf' "
+        f"WHEN {octets(c)} AND lower(regexp_extract({path}, '\\.[^.]*$')) = '.docx' THEN '{DOCX}' ELSE {c} END"
+    )
+
+
+def by_magic(c: str) -> str:
+    return f"CASE WHEN {octets(c)} AND coalesce(hex(body)[1:10] = '255044462D', false) THEN 'application/pdf' ELSE {c} END"
+
+
+CRAWL_URL = f"{CRAWL}, {url_ctes('src', 'page_id', 'url')}"
+CRAWL_TYPED = f"""{CRAWL_URL}, ext AS (SELECT s.*, u.ok, u.web, u.scheme, u.host, {by_extension('s.content_type', 'u.path')} AS m1 FROM src s JOIN u ON u.k = s.page_id),
+typed AS (SELECT *, {by_magic('m1')} AS media_type FROM ext),
+cat AS (SELECT *, {category('media_type')} AS category FROM typed)"""
+
+ORACLES["classify_content_type"] = f"WITH {CRAWL} SELECT page_id, content_type, {category('content_type')} AS category FROM src"
+ORACLES["refine_by_extension"] = f"WITH {CRAWL_TYPED} SELECT page_id, m1 AS media_type FROM ext"
+ORACLES["refine_by_magic"] = f"WITH {CRAWL} SELECT page_id, {by_magic('content_type')} AS media_type FROM src"
+_EXT = "lower(regexp_extract(split_part(path, '/', -1), '\\.([^.]*)$', 1))"
+ORACLES["resolve_kind"] = f"""SELECT path, CASE WHEN {_EXT} = 'docx' THEN 'docx'
+  WHEN {_EXT} = 'pdf' AND hex(content)[1:10] = '255044462D' THEN 'pdf' END AS kind FROM ({duck_fixture('file_x')}) f"""
+ORACLES["intake_limits"] = f"""SELECT path, length, CASE WHEN length > {INTAKE_CAP} THEN 413 WHEN {_EXT} NOT IN ('pdf', 'docx') THEN 415 END AS status,
+  CASE WHEN length > {INTAKE_CAP} THEN 'File too large (max {INTAKE_CAP / 1048576:g}MB)' WHEN {_EXT} NOT IN ('pdf', 'docx') THEN 'Unsupported file type' END AS error
+FROM ({duck_fixture('file_x')}) f"""
+_STATUS_ERR = (
+    "CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'Failed to process ' || upper(category) || ': ' || upper(category) || "
+    "' fetch failed with status ' || CAST(status AS VARCHAR) END"
+)
+_SIZE_ERR = (
+    f"CASE WHEN octet_length(body) > {BODY_CAP} THEN 'Failed to process ' || upper(category) || ': ' || upper(category) || ' too large: ' || "
+    f"CAST(octet_length(body) AS VARCHAR) || ' bytes (max {BODY_CAP})' END"
+)
+_DOCS = "FROM cat WHERE category IN ('pdf', 'docx')"
+ORACLES["body_size_cap"] = f"WITH {CRAWL_TYPED} SELECT page_id, category, octet_length(body) AS size, {_SIZE_ERR} AS error {_DOCS}"
+ORACLES["document_status"] = f"WITH {CRAWL_TYPED} SELECT page_id, category, status, {_STATUS_ERR} AS error {_DOCS}"
+ORACLES["unsupported_type"] = f"""WITH {CRAWL} SELECT page_id, 'Unsupported content type: ' || {trim("split_part(content_type, chr(59), 1)")} AS error
+FROM src WHERE {category('content_type')} = 'unsupported'"""
+
+# -- guard -------------------------------------------------------------------
+
+
+def guard_sql(u: str, allow: str = "false") -> str:
+    return (
+        f"CASE WHEN NOT {u}.ok THEN 'Invalid URL' WHEN {u}.scheme IN ('file', 'data', 'ftp', 'gopher') THEN 'Protocol ' || {u}.scheme || ': is not allowed' "
+        f"WHEN NOT ({allow}) AND {literal(f'{u}.host')} AND {private(f'{u}.host')} THEN '{_PRIVATE}' END"
+    )
+
+
+ORACLES["host_allow_join"] = f"""WITH {URL_X}, allowed AS (SELECT DISTINCT lower(host) AS host FROM ({duck_fixture('allowed_host')}) a),
+r AS (SELECT u.*, u.split_ok AND u.host IN (SELECT host FROM allowed) AS hit FROM u)
+SELECT k AS id, CASE WHEN split_ok THEN host END AS host, coalesce(hit, false) AS host_allowed, {guard_sql('r', 'coalesce(hit, false)')} AS guard_error FROM r"""
+_CIDR_IP = f"regexp_extract({trim('cidr')}, '^([0-9.]+)/[0-9]{{1,2}}$', 1)"
+CIDRS = f"""ranges AS (SELECT cidr, bits, ip - ip % CAST(pow(2, 32 - bits) AS BIGINT) AS lo FROM (SELECT cidr, {ip_int(_CIDR_IP)} AS ip,
+  TRY_CAST(regexp_extract({trim('cidr')}, '/([0-9]{{1,2}})$', 1) AS INTEGER) AS bits FROM ({duck_fixture('cidr_x')}) c) d
+  WHERE ip IS NOT NULL AND bits BETWEEN 0 AND 32)"""
+ORACLES["parse_cidr"] = f"WITH {CIDRS} SELECT cidr, bits, lo, lo + CAST(pow(2, 32 - bits) AS BIGINT) - 1 AS hi FROM ranges"
+ORACLES["cidr_allow_join"] = f"""WITH {CIDRS}, a AS (SELECT id, addr, {private('addr')} AS private, {ip_int('addr')} AS ip FROM ({duck_fixture('addr_x')}) x)
+SELECT id, addr, private, private AND NOT EXISTS (SELECT 1 FROM ranges r WHERE a.ip BETWEEN r.lo AND r.lo + CAST(pow(2, 32 - r.bits) AS BIGINT) - 1) AS blocked FROM a"""
+
+
+def bad_hosts(extra: str = "") -> str:
+    return f"bad AS (SELECT DISTINCT lower(host) AS host FROM ({duck_fixture('dns_x')}) d WHERE {private('addr')} {extra})"
+
+
+ORACLES["dns_guard"] = f"""WITH src AS (SELECT page_id, url FROM pages), {url_ctes('src', 'page_id', 'url')}, {bad_hosts()}
+SELECT s.page_id, s.url, coalesce({guard_sql('u')}, CASE WHEN u.host IN (SELECT host FROM bad) THEN '{_PRIVATE}' END) AS guard_error
+FROM src s JOIN u ON u.k = s.page_id"""
+ORACLES["redirect_guard"] = f"""WITH {CRAWL}, {url_ctes('src', 'page_id', 'final_url')}, {bad_hosts()}
+SELECT s.page_id, s.final_url, 'Redirect target blocked by SSRF guard: ' || s.final_url AS redirect_error FROM src s JOIN u ON u.k = s.page_id
+WHERE s.final_url <> s.url AND ({guard_sql('u')} IS NOT NULL OR u.host IN (SELECT host FROM bad))"""
+
+# The policy of the outcome queries lets 10.0.0.0/26 through.
+_OPEN = "{0} BETWEEN 167772160 AND 167772223"
+
+
+def judged_sql(cidr: bool = True, dns: bool = True, cap: int = BODY_CAP) -> str:
+    """CTEs ending in `judged`: src columns plus category, outcome, http_status, status, error."""
+    open_u = f"coalesce({_OPEN.format('(' + ip_int('c.host') + ')')}, false)" if cidr else "false"
+    open_f = f"coalesce({_OPEN.format('(' + ip_int('f.host') + ')')}, false)" if cidr else "false"
+    open_d = f"AND NOT coalesce({_OPEN.format('(' + ip_int('addr') + ')')}, false)" if cidr else ""
+    named = "{0}.ok AND {0}.scheme NOT IN ('file','data','ftp','gopher') AND {0}.host IN (SELECT host FROM bad)" if dns else "false"
+    bad = bad_hosts(open_d) + "," if dns else ""
+    issue = (
+        f"CASE WHEN coalesce({trim('c.url')}, '') = '' THEN 'The url field must be defined' WHEN NOT (c.ok AND c.web AND NOT regexp_matches(c.host, '[_ ]') AND "
+        f"(regexp_full_match(c.host, '[^.].*\\.[a-z][a-z0-9\\-]+') OR {literal('c.host')})) THEN 'The url field must be a valid URL' END"
+    )
+    return f"""{CRAWL_TYPED}, {url_ctes('src', 'page_id', 'final_url', 'f')}, {bad}
+facts AS (SELECT c.*, {issue} AS issue,
+    coalesce({guard_sql('c', open_u)}, CASE WHEN {named.format('c')} THEN '{_PRIVATE}' END) AS guard_error,
+    CASE WHEN c.final_url <> c.url AND ({guard_sql('f', open_f)} IS NOT NULL OR ({named.format('f')})) THEN
+      'Redirect target blocked by SSRF guard: ' || c.final_url END AS redirect_error,
+    coalesce({_STATUS_ERR.replace('status', 'c.status').replace('with c.status', 'with status').replace('category', 'c.category')},
+      {_SIZE_ERR.replace(str(BODY_CAP), str(cap)).replace('category', 'c.category').replace('(body', '(c.body')}) AS doc_error
+  FROM cat c JOIN f ON f.k = c.page_id),
+named AS (SELECT *, CASE WHEN issue IS NOT NULL THEN 'invalid_url' WHEN guard_error IS NOT NULL THEN 'blocked'
+    WHEN redirect_error IS NOT NULL THEN 'blocked_redirect' WHEN category = 'unsupported' THEN 'unsupported'
+    WHEN fetch_error IS NOT NULL THEN 'fetch_failed' WHEN category <> 'html' AND doc_error IS NOT NULL THEN 'document_failed'
+    WHEN category <> 'html' THEN 'needs_decoder' WHEN status >= 400 OR status = 0 THEN 'upstream_status' ELSE 'ok' END AS outcome FROM facts),
+judged AS (SELECT page_id, url, final_url, html, category, outcome,
+    CASE outcome WHEN 'invalid_url' THEN 422 WHEN 'blocked' THEN 403 WHEN 'blocked_redirect' THEN 403 WHEN 'unsupported' THEN 415
+      WHEN 'fetch_failed' THEN 502 WHEN 'document_failed' THEN 502 WHEN 'upstream_status' THEN CASE status WHEN 0 THEN 502 ELSE status END
+      WHEN 'ok' THEN 200 END AS http_status,
+    CASE outcome WHEN 'invalid_url' THEN 422 WHEN 'blocked' THEN 403 WHEN 'blocked_redirect' THEN 403 WHEN 'unsupported' THEN 415
+      WHEN 'fetch_failed' THEN 502 WHEN 'document_failed' THEN 502 WHEN 'upstream_status' THEN status WHEN 'ok' THEN 200 END AS status,
+    CASE outcome WHEN 'invalid_url' THEN issue WHEN 'blocked' THEN guard_error WHEN 'blocked_redirect' THEN redirect_error
+      WHEN 'unsupported' THEN 'Unsupported content type: ' || {trim("split_part(media_type, chr(59), 1)")}
+      WHEN 'fetch_failed' THEN CASE category WHEN 'html' THEN 'Failed to fetch URL: ' ELSE 'Failed to process ' || upper(category) || ': ' END || fetch_error
+      WHEN 'document_failed' THEN doc_error WHEN 'upstream_status' THEN 'URL returned non-success status' END AS error FROM named)"""
+
+
+JUDGED = judged_sql()
+ORACLES["page_outcomes"] = f"WITH {JUDGED} SELECT page_id, category, outcome, http_status, status, error FROM judged"
+ORACLES["page_errors"] = f"WITH {JUDGED} SELECT page_id, url, error, status, http_status FROM judged WHERE error IS NOT NULL"
+ORACLES["fetch_failures"] = f"WITH {JUDGED} SELECT page_id, http_status, status, error FROM judged WHERE outcome = 'fetch_failed'"
+ORACLES["status_filter"] = f"""WITH {CRAWL}, {url_ctes('src', 'page_id', 'url')}, ok AS (SELECT s.* FROM src s JOIN u ON u.k = s.page_id
+  WHERE u.ok AND u.web AND {_ISSUE} IS NULL AND {guard_sql('u')} IS NULL)
+SELECT page_id, CASE status WHEN 0 THEN 502 ELSE status END AS http_status, status, 'URL returned non-success status' AS error
+FROM ok WHERE status >= 400 OR status = 0""".replace("{_ISSUE}", _ISSUE)
+
+# -- small functions ---------------------------------------------------------
+
+ORACLES["flag_words"] = f"SELECT id, coalesce({trim('flag')} IN ('true', '1'), false) AS flag FROM ({duck_fixture('flag_x')}) f"
+_ITEMS = f"[{trim('x')} FOR x IN string_split(coalesce(list, ''), ',') IF {trim('x')} <> '']"
+ORACLES["comma_list"] = f"SELECT id, len({_ITEMS}) AS n_items, array_to_string({_ITEMS}, '|') AS items FROM ({duck_fixture('flag_x')}) f"
+
+
+def decoded(c: str) -> str:
+    """The references that occur in the fixtures; the ampersand comes last."""
+    for ref, char in (
+        ("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&lt;", "<"), ("&gt;", ">"), ("&nbsp;", " "),
+        ("&#233;", "é"), ("&#x1F600;", "😀"), ("&#0;", "�"), ("&#128;", "€"), ("&amp;", "&"),
+    ):
+        c = f"replace({c}, '{ref}', '{char}')"
+    return c
+
+
+ORACLES["decode_entities"] = f"SELECT page_id, {decoded('html')} AS text FROM ({duck_fixture('html_mix_x')}) h"
+_TITLE = f"nullif({trim(decoded(chr(114) + 'egexp_extract(html, ' + chr(39) + '(?is)<title[^>]*>(.*?)</title>' + chr(39) + ', 1)'))}, '')"
+ORACLES["page_title"] = f"SELECT page_id, {_TITLE} AS title FROM pages"
+
+# -- limits ------------------------------------------------------------------
+
+LOG = """log AS (SELECT event_id, user_id AS key, ts, date_trunc('day', ts)::TIMESTAMP AS window_start FROM events),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY key, window_start ORDER BY ts, event_id) AS n FROM log)"""
+BLOCKS = f"""{LOG}, opened AS (SELECT key, ts AS f, ts + INTERVAL 12 HOUR AS t FROM ranked WHERE n = {REQUESTS + 1}),
+marked AS (SELECT *, CASE WHEN f <= max(t) OVER (PARTITION BY key ORDER BY f, t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS fresh FROM opened),
+islands AS (SELECT *, sum(fresh) OVER (PARTITION BY key ORDER BY f, t) AS island FROM marked),
+blocks AS (SELECT key, min(f) AS blocked_from, max(t) AS blocked_until FROM islands GROUP BY key, island)"""
+ORACLES["request_counts"] = f"WITH {LOG} SELECT key, window_start, count(*) AS n_requests FROM log GROUP BY ALL"
+ORACLES["stream_request_counts"] = f"""WITH {LOG}, late AS (SELECT max(ts) - INTERVAL 1 HOUR AS t FROM events)
+SELECT key, window_start, count(*) AS n_requests FROM log, late WHERE window_start + INTERVAL 1 DAY <= t GROUP BY key, window_start"""
+ORACLES["over_limit_requests"] = f"WITH {LOG} SELECT event_id, key, ts, window_start FROM ranked WHERE n > {REQUESTS}"
+ORACLES["block_intervals"] = f"WITH {BLOCKS} SELECT key, blocked_from, blocked_until FROM blocks"
+ORACLES["blocked_requests"] = f"""WITH {BLOCKS} SELECT event_id, key, ts FROM log l WHERE EXISTS (
+  SELECT 1 FROM blocks b WHERE b.key = l.key AND l.ts > b.blocked_from AND l.ts <= b.blocked_until)"""
