@@ -176,7 +176,7 @@ def marked_blocks(html: Column, base: Column | None = None) -> Column:
 def visible_text(body: Column) -> Column:
     """Words as a reader sees them: no link targets, no marks."""
     bare = F.regexp_replace(
-        body, r"\x10[^\x11]*\x11|\x02[^\x17]*\x17|\x13[^\x14]*\x14|[\x02-\x18]", ""
+        body, r"\x10[^\x11]*\x11|\x02[^\x17]*\x17|\x13[^\x14]*\x14|[\x02-\x08\x0B\x0E-\x18]", ""
     )
     return F.translate(bare, BREAK + ROW + CELL + HEAD_CELL, "    ")
 

@@ -26,10 +26,11 @@ TOKEN_REGEX = (
 )
 
 # One match per anchor (open tag and everything up to the next anchor tag), and
-# one per token that could hide something looking like an anchor.
+# one per token that could hide something looking like an anchor. Hidden parts
+# and other tags are passed over whole, inside anchors as outside.
 ANCHOR_REGEX = (
     rf"(?is){_OPAQUE}"
-    rf"|<a(?:[ \t\r\n\f/]{_ATTRS})?>[^<]*+(?:<(?!/?a[ \t\r\n\f/>])[^<]*+)*+"
+    rf"|<a(?:[ \t\r\n\f/]{_ATTRS})?>(?:[^<]++|{_OPAQUE}|</?(?!a[ \t\r\n\f/>])[a-z]{_ATTRS}>|<(?!/?a[ \t\r\n\f/>]))*+"
     rf"|</?[a-z]{_ATTRS}>"
 )
 

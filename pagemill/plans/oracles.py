@@ -380,3 +380,285 @@ ORACLES["over_limit_requests"] = f"WITH {LOG} SELECT event_id, key, ts, window_s
 ORACLES["block_intervals"] = f"WITH {BLOCKS} SELECT key, blocked_from, blocked_until FROM blocks"
 ORACLES["blocked_requests"] = f"""WITH {BLOCKS} SELECT event_id, key, ts FROM log l WHERE EXISTS (
   SELECT 1 FROM blocks b WHERE b.key = l.key AND l.ts > b.blocked_from AND l.ts <= b.blocked_until)"""
+
+# -- pages as token rows -----------------------------------------------------
+
+_S = r"[ \t\r\n\f]"
+_TAIL = """(?:[^>"'']+|"[^"]*"|''[^'']*'')*"""
+_OPAQUE = "|".join(
+    [r"<!--.*?(?:-->|\z)"]
+    + [rf"<{t}(?:[ \t\r\n\f/][^>]*)?>.*?(?:</{t}[ \t\r\n\f]*>|\z)" for t in ("script", "style", "title")]
+)
+_TOKEN = rf"(?is){_OPAQUE}|</?[a-z]{_TAIL}>|</?[a-z][^>]*>|<[!?/][^>]*>|[^<]+|<"
+_VOID = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
+_BLOCK = (
+    "'address','article','aside','blockquote','body','center','dd','details','dialog','dir','div','dl','dt','fieldset',"
+    "'figcaption','figure','footer','form','h1','h2','h3','h4','h5','h6','head','header','hgroup','hr','html','legend',"
+    "'li','main','menu','nav','noscript','ol','optgroup','option','p','pre','search','section','select','summary','ul',"
+    "'table','thead','tbody','tfoot','tr','td','th'"
+)
+_TABLE = "'table','thead','tbody','tfoot','tr','td','th'"
+_LISTS = "'ul','ol','menu','dir'"
+
+
+def token_ctes(source: str) -> str:
+    return f"""src AS ({source}),
+tl AS (SELECT page_id, regexp_extract_all(html, '{_TOKEN}') AS l FROM src),
+tok AS (SELECT page_id, unnest(l) AS raw, unnest(range(len(l))) AS pos FROM tl),
+tagged AS (SELECT *, lower(regexp_extract(raw, '^</?([a-zA-Z][^ \\t\\r\\n\\f/>]*)', 1)) AS tag FROM tok),
+kinds AS (SELECT *, CASE WHEN raw[1] <> '<' OR length(raw) = 1 THEN 'text' WHEN tag = '' OR tag IN ('script','style','title') THEN 'drop'
+  WHEN raw[2] = '/' THEN 'close' WHEN tag IN ({_VOID}) THEN 'void' ELSE 'open' END AS kind FROM tagged)"""
+
+
+def attr(name: str, raw: str = "raw") -> str:
+    """Attribute value from the list of all attributes of a tag; null if absent."""
+    one = rf"""[ \t\r\n\f/]+[^ \t\r\n\f/>=]+(?:{_S}*={_S}*(?:"[^"]*"|''[^'']*''|[^ \t\r\n\f>]*))?"""
+    found = (
+        f"[a FOR a IN regexp_extract_all(regexp_replace({raw}, '^<[a-zA-Z][^ \\t\\r\\n\\f/>]*', ''), '{one}') "
+        f"IF regexp_matches(a, '(?is)^[ \\t\\r\\n\\f/]+{name}({_S}*=.*)?$')][1]"
+    )
+    value = f"regexp_replace(CASE WHEN contains({found}, '=') THEN regexp_replace({found}, '(?s)^[^=]*={_S}*', '') ELSE '' END, "
+    bare = value + """'(?s)^(?:"(.*)"|''(.*)'')$', '\\1\\2')"""
+    return f"CASE WHEN {found} IS NOT NULL THEN {decoded(bare)} END"
+
+
+def _mark(n: int) -> str:
+    return f"chr({n})"
+
+
+_ESC = r"([\\*_\[\]`])"
+
+
+def block_ctes(source: str, base: bool = False) -> str:
+    """CTEs ending in `shaped`: one row per block with text and structure."""
+    w = "OVER (PARTITION BY page_id ORDER BY pos)"
+    sig = f"((edge AND NOT tab) OR (tag = 'table' AND kind IN ('open', 'close')))"
+    href = attr("href")
+    if base:
+        # Page links of the given tables are absolute paths on the page's host.
+        href = f"CASE WHEN starts_with({href}, '/') THEN site || {encoded(href, _PATH_SAFE)} ELSE {href} END"
+    title = attr("title")
+    quoted = f"""CASE WHEN coalesce({title}, '') = '' THEN '' ELSE ' "' || replace({title}, '"', '\\"') || '"' END"""
+    lang = rf"regexp_extract(coalesce({attr('class')}, ''), '(?:^|{_S})language-([^ \t\r\n\f]+)', 1)"
+    spans = "".join(
+        f"WHEN tag IN ({tags}) THEN CASE kind WHEN 'open' THEN {_mark(o)} ELSE {_mark(c)} END "
+        for tags, o, c in (("'strong','b'", 4, 5), ("'em','i'", 6, 7), ("'del','s','strike'", 14, 15))
+    )
+    piece = f"""CASE WHEN in_head THEN '' WHEN kind = 'drop' THEN ''
+    WHEN kind = 'text' THEN regexp_replace({decoded('raw')}, '{_ESC}', '\\\\\\1', 'g')
+    WHEN edge THEN '' WHEN tag = 'br' THEN chr(1)
+    WHEN tag = 'a' AND kind = 'close' THEN chr(18)
+    WHEN tag = 'a' THEN CASE WHEN {attr('href')} IS NULL THEN '' ELSE chr(16) || {href} || {quoted} || chr(17) END
+    WHEN tag = 'code' THEN CASE kind WHEN 'close' THEN chr(3) ELSE chr(2) || {lang} || chr(23) END {spans}
+    WHEN tag = 'img' THEN CASE WHEN coalesce({attr('src')}, '') = '' THEN '' ELSE
+      chr(19) || '![' || coalesce({attr('alt')}, '') || '](' || {attr('src')} || {quoted} || ')' || chr(20) END
+    WHEN tag = 'input' AND lower({attr('type')}) = 'checkbox' THEN CASE WHEN {attr('checked')} IS NULL THEN chr(22) ELSE chr(21) END
+    ELSE '' END"""
+    text = f"CASE WHEN in_head THEN '' WHEN kind = 'text' THEN {decoded('raw')} WHEN tag = 'br' OR cellmark THEN ' ' ELSE '' END"
+    words = r"len(regexp_extract_all({0}, '[^ \t\r\n\f\x{{A0}}]+'))"
+
+    def span(s: str, o: int, c: int, mark: str) -> str:
+        ho, hc = f"\\x{o:02X}", f"\\x{c:02X}"
+        bare = f"replace(replace(g, chr({o}), ''), chr({c}), '')"
+        return (
+            f"CASE WHEN contains({s}, chr({o})) OR contains({s}, chr({c})) THEN array_to_string([CASE WHEN starts_with(g, chr({o})) AND "
+            f"regexp_matches({bare}, '[^ \\x01-\\x1F]') THEN regexp_replace({bare}, '(?s)^([ \\x01]*)(.*?)([ \\x01]*)$', '\\1{mark}\\2{mark}\\3') "
+            f"ELSE {bare} END FOR g IN regexp_extract_all({s}, '{ho}[^{hc}]*{hc}?|[^{ho}]+')], '') ELSE {s} END"
+        )
+
+    code_inner = (
+        r"regexp_replace(replace(regexp_replace(g, '\x10[^\x11]*\x11|\x02[^\x17]*\x17|[\x02-\x1F]', '', 'g'), chr(1), ' '), "
+        r"'\\([\\*_\[\]`])', '\1', 'g')"
+    )
+    code = (
+        f"CASE WHEN contains(s, chr(2)) OR contains(s, chr(3)) THEN array_to_string([CASE WHEN NOT starts_with(g, chr(2)) THEN replace(g, chr(3), '') "
+        f"WHEN trim({code_inner}) = '' THEN '' WHEN contains({code_inner}, '`') THEN '`` ' || {code_inner} || ' ``' ELSE '`' || {code_inner} || '`' END "
+        r"FOR g IN regexp_extract_all(s, '\x02[^\x03]*\x03?|[^\x02]+')], '') ELSE s END"
+    )
+    pre = (
+        r"regexp_replace(regexp_replace(replace(regexp_replace(body, '\x10[^\x11]*\x11|\x02[^\x17]*\x17|[\x02-\x08\x0E-\x1F]', '', 'g'), "
+        r"chr(1), chr(10)), '\\([\\*_\[\]`])', '\1', 'g'), '^\r?\n|[ \t\r\n]+$', '', 'g')"
+    )
+    run = "OVER (PARTITION BY page_id ORDER BY block_id)"
+    return f"""{token_ctes(source)},
+edges AS (SELECT k.*, {"s.site," if base else ""} tag IN ({_BLOCK}) AND kind IN ('open','close','void') AS edge, tag IN ({_TABLE}) AS tab FROM kinds k
+  {"JOIN src s USING (page_id)" if base else ""}),
+sig AS (SELECT page_id, pos, tag = 'table' AND kind = 'open' AND coalesce(lead(tag = 'table' AND kind = 'close') {w}, false) AS data_open FROM edges WHERE {sig}),
+st AS (SELECT e.*, g.data_open, g.pos IS NOT NULL AS is_sig FROM edges e LEFT JOIN sig g USING (page_id, pos)),
+st2 AS (SELECT *, coalesce(last_value(CASE WHEN is_sig THEN data_open END IGNORE NULLS) {w}, false) AS in_data,
+  coalesce(last_value(CASE WHEN is_sig AND tag <> 'noscript' THEN tag = 'head' AND kind = 'open' END IGNORE NULLS) {w}, false) AS in_head FROM st),
+st3 AS (SELECT *, (edge AND NOT tab) OR (tag = 'table' AND edge) OR (tag IN ('tr','td','th') AND kind = 'open' AND NOT in_data) AS starts,
+  in_data AND tag IN ('tr','td','th') AND kind = 'open' AS cellmark FROM st2),
+st4 AS (SELECT *, sum(CASE WHEN starts THEN 1 ELSE 0 END) {w} AS block_id, sum(CASE WHEN cellmark THEN 1 ELSE 0 END) {w} AS part,
+  CASE WHEN starts AND tag = 'table' THEN CASE WHEN data_open THEN 'table' ELSE '' END WHEN starts AND tab THEN '' WHEN starts THEN tag END AS head_tag FROM st3),
+st5 AS (SELECT *, {piece} AS piece, {text} AS txt,
+  last_value(CASE WHEN tag = 'a' AND kind = 'close' THEN 0 WHEN tag = 'a' AND kind = 'open' AND {attr('href')} IS NOT NULL THEN 1 END IGNORE NULLS)
+    OVER (PARTITION BY page_id, block_id ORDER BY pos) AS in_link FROM st4),
+blk AS (SELECT page_id, block_id, max(head_tag) AS tag, coalesce(max(CASE WHEN starts THEN kind = 'close' END), false) AS closing,
+  max(CASE WHEN starts THEN raw END) AS head, string_agg(CASE WHEN cellmark THEN ' ' ELSE piece END, '' ORDER BY pos) AS body,
+  string_agg(txt, '' ORDER BY pos) AS txt,
+  string_agg(CASE WHEN tag = 'a' AND kind = 'open' THEN ' ' WHEN in_link = 1 THEN txt ELSE '' END, '' ORDER BY pos) AS link_txt
+  FROM st5 GROUP BY page_id, block_id),
+blk2 AS (SELECT *, regexp_matches(body, '[^ \\t\\r\\n\\f\\x{{A0}}\\x01-\\x14\\x17-\\x1F]') OR (tag = 'hr' AND NOT closing) AS shows,
+  {words.format('txt')} AS words, {words.format('link_txt')} AS link_words FROM blk),
+prt AS (SELECT page_id, block_id, part, max(CASE WHEN cellmark THEN tag END) AS mark,
+  regexp_replace(string_agg(piece, '' ORDER BY pos), '[ \\t\\r\\n\\f]+', ' ', 'g') AS s FROM st5 GROUP BY page_id, block_id, part),
+i1 AS (SELECT * REPLACE (regexp_replace(regexp_replace(s, '(^|\\x01)( ?)(#{{1,6}} |>|-|\\+ |=+|~~~)', '\\1\\2\\\\\\3', 'g'), '(^|\\x01)( ?[0-9]+)\\. ', '\\1\\2\\\\. ', 'g') AS s) FROM prt),
+i2 AS (SELECT * REPLACE ({code} AS s) FROM i1),
+i3 AS (SELECT * REPLACE ({span('s', 4, 5, '**')} AS s) FROM i2),
+i4 AS (SELECT * REPLACE ({span('s', 6, 7, '_')} AS s) FROM i3),
+i5 AS (SELECT * REPLACE ({span('s', 14, 15, '~~')} AS s) FROM i4),
+i6 AS (SELECT * REPLACE (replace(replace(regexp_replace(s, '\\x10([^\\x11]*)\\x11([^\\x10\\x12]*)\\x12?', '[\\2](\\1)', 'g'), chr(21), '[x] '), chr(22), '[ ] ') AS s) FROM i5),
+inl AS (SELECT * REPLACE (regexp_replace(regexp_replace(regexp_replace(regexp_replace(s, '[\\x02-\\x1F]', '', 'g'), ' *\\x01 *', chr(1), 'g'), ' +', ' ', 'g'), '^[ \\x01]+|[ \\x01]+$', '', 'g') AS s) FROM i6),
+rws AS (SELECT *, sum(CASE WHEN mark = 'tr' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, block_id ORDER BY part) AS r FROM inl),
+lines AS (SELECT page_id, block_id, r, count(*) AS n, bool_or(mark = 'th') AS headed,
+  '| ' || string_agg(replace(replace(s, chr(1), ' '), '|', '\\|'), ' | ' ORDER BY part) || ' |' AS line FROM rws WHERE mark IN ('td', 'th') AND r > 0 GROUP BY ALL),
+line2 AS (SELECT *, row_number() OVER (PARTITION BY page_id, block_id ORDER BY r) AS i FROM lines),
+grid AS (SELECT page_id, block_id, string_agg(CASE WHEN i = 1 AND headed THEN line || chr(10) || '| ' || array_to_string(list_transform(range(n), lambda x: '---'), ' | ') || ' |'
+    WHEN i = 1 THEN '| ' || array_to_string(list_transform(range(n), lambda x: ''), ' | ') || ' |' || chr(10) || '| ' ||
+      array_to_string(list_transform(range(n), lambda x: '---'), ' | ') || ' |' || chr(10) || line ELSE line END, chr(10) ORDER BY i) AS g FROM line2 GROUP BY ALL),
+lead_ AS (SELECT page_id, block_id, s FROM (SELECT *, row_number() OVER (PARTITION BY page_id, block_id ORDER BY part) AS i FROM inl) WHERE i = 1),
+txt AS (SELECT b.*, CASE WHEN NOT b.shows THEN ''
+    WHEN NOT closing AND regexp_matches(tag, '^h[1-6]$') THEN CASE WHEN l.s = '' THEN '' ELSE repeat('#', CAST(tag[2] AS INTEGER)) || ' ' || replace(l.s, chr(1), ' ') END
+    WHEN NOT closing AND tag = 'pre' THEN CASE WHEN {pre} = '' THEN '' ELSE '```' || coalesce(nullif(regexp_extract(body, '\\x02([^\\x17]+)\\x17', 1), ''),
+      regexp_extract(coalesce({attr('class', 'head')}, ''), '(?:^|{_S})language-([^ \\t\\r\\n\\f]+)', 1)) || chr(10) || {pre} || chr(10) || '```' END
+    WHEN NOT closing AND tag = 'table' THEN concat_ws(chr(10) || chr(10), nullif(replace(l.s, chr(1), '  ' || chr(10)), ''), g.g)
+    WHEN NOT closing AND tag = 'hr' THEN concat_ws(chr(10) || chr(10), '* * *', nullif(replace(l.s, chr(1), '  ' || chr(10)), ''))
+    ELSE replace(l.s, chr(1), '  ' || chr(10)) END AS text,
+    CASE WHEN NOT closing AND tag = 'h1' THEN trim(regexp_replace(txt, '[ \\t\\r\\n\\f\\x{{A0}}]+', ' ', 'g')) END AS h1
+  FROM blk2 b LEFT JOIN lead_ l USING (page_id, block_id) LEFT JOIN grid g USING (page_id, block_id)),
+step AS (SELECT *, coalesce(tag IN ({_LISTS}), false) AS is_list, coalesce(tag = 'li' AND NOT closing, false) AS is_item FROM txt),
+dep AS (SELECT *, sum(CASE WHEN is_list THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END) {run} AS ls,
+  sum(CASE WHEN tag = 'blockquote' THEN CASE WHEN closing THEN -1 ELSE 1 END ELSE 0 END) {run} AS qs,
+  sum(CASE WHEN is_item THEN 1 ELSE 0 END) {run} AS item FROM step),
+dep2 AS (SELECT *, CAST(ls - least(0, min(ls) {run}) AS BIGINT) AS list_depth, CAST(qs - least(0, min(qs) {run}) AS BIGINT) AS quote_depth FROM dep),
+own AS (SELECT *, last_value(CASE WHEN is_list AND NOT closing THEN block_id END IGNORE NULLS) OVER (PARTITION BY page_id, list_depth ORDER BY block_id) AS list_id FROM dep2),
+nth AS (SELECT o.*, sum(CASE WHEN is_item THEN 1 ELSE 0 END) OVER (PARTITION BY o.page_id, o.list_depth, o.list_id ORDER BY o.block_id) AS n,
+  p.tag AS list_tag, coalesce(TRY_CAST({attr('start', 'p.head')} AS INTEGER), 1) AS list_start FROM own o LEFT JOIN txt p ON p.page_id = o.page_id AND p.block_id = o.list_id),
+num AS (SELECT *, max(CASE WHEN is_item AND list_depth > 0 AND list_tag = 'ol' THEN CAST(list_start + n - 1 AS BIGINT) END) OVER (PARTITION BY page_id, item ORDER BY block_id) AS number,
+  shows AND text <> '' AND item > 0 AND list_depth > 0 AND
+    sum(CASE WHEN shows AND text <> '' THEN 1 ELSE 0 END) OVER (PARTITION BY page_id, item ORDER BY block_id) = 1 AS leads_item FROM nth),
+ind AS (SELECT *, CASE WHEN leads_item THEN repeat('    ', list_depth - 1) || coalesce(CAST(number AS VARCHAR) || '.  ', '-   ') || replace(text, chr(10), chr(10) || repeat('    ', list_depth))
+    WHEN list_depth > 0 AND item > 0 THEN repeat('    ', list_depth) || replace(text, chr(10), chr(10) || repeat('    ', list_depth)) ELSE text END AS t1 FROM num),
+shaped AS (SELECT *, CASE WHEN text = '' THEN '' ELSE repeat('> ', quote_depth) || replace(t1, chr(10), chr(10) || repeat('> ', quote_depth)) END AS md FROM ind)"""
+
+
+KEEP = """near AS (SELECT *, lag(words, 1, 0) OVER w AS pw, lag(link_words, 1, 0) OVER w AS pl, lead(words, 1, 0) OVER w AS nw
+  FROM shaped WHERE shows WINDOW w AS (PARTITION BY page_id ORDER BY block_id)),
+kept AS (SELECT *, CASE WHEN 3 * link_words > words THEN false WHEN 9 * pl <= 5 * pw THEN words > 16 OR nw > 15 OR pw > 4 ELSE words > 40 OR nw > 17 END AS main FROM near),
+chosen AS (SELECT *, NOT bool_or(main) OVER (PARTITION BY page_id) AS fallback FROM kept)"""
+ALL_KEPT = "chosen AS (SELECT *, true AS main, true AS fallback FROM shaped WHERE shows)"
+JOINED = """part_rows AS (SELECT *, lag(quote_depth) OVER w AS q0, lag(list_depth) OVER w AS l0 FROM chosen WHERE (main OR fallback) AND text <> ''
+  WINDOW w AS (PARTITION BY page_id ORDER BY block_id)),
+pages_md AS (SELECT page_id, string_agg(CASE WHEN q0 IS NULL THEN '' WHEN leads_item AND l0 > 0 THEN chr(10)
+    ELSE chr(10) || rtrim(repeat('> ', least(q0, quote_depth))) || chr(10) END || md, '' ORDER BY block_id) AS markdown,
+  arg_min(h1, block_id) FILTER (h1 <> '' AND NOT fallback) AS article_title FROM part_rows GROUP BY page_id)"""
+_PAGES = "SELECT page_id, html, regexp_extract(url, '^[a-z]+://[^/]+') AS site FROM pages"
+NUMBERED = "row_number() OVER (PARTITION BY page_id ORDER BY block_id)"
+
+ORACLES["token_blocks"] = f"""WITH {token_ctes('SELECT page_id, html FROM pages')} SELECT page_id, pos, kind, tag,
+  CAST(sum(CASE WHEN tag IN ({_BLOCK}) AND kind IN ('open','close','void') THEN 1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos) AS BIGINT) AS block_id FROM kinds"""
+_DEPTH = "sum(CASE WHEN {0} AND kind = 'open' THEN 1 WHEN {0} AND kind = 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id ORDER BY pos)"
+ORACLES["token_depth"] = f"""WITH {token_ctes(duck_fixture('html_list_x'))},
+d AS (SELECT page_id, pos, {_DEPTH.format(f'tag IN ({_LISTS})')} AS l, {_DEPTH.format("tag = 'blockquote'")} AS q FROM kinds)
+SELECT page_id, pos, CAST(l - least(0, min(l) OVER w) AS BIGINT) AS list_depth, CAST(q - least(0, min(q) OVER w) AS BIGINT) AS quote_depth FROM d
+WINDOW w AS (PARTITION BY page_id ORDER BY pos)"""
+PAGE_BLOCKS = block_ctes(_PAGES, base=True)
+ORACLES["block_features"] = f"WITH {PAGE_BLOCKS} SELECT page_id, {NUMBERED} AS block_no, words, link_words FROM shaped WHERE shows"
+ORACLES["main_content_blocks"] = f"WITH {PAGE_BLOCKS}, {KEEP} SELECT page_id, {NUMBERED} AS block_no, main AS keep FROM chosen"
+_FALLBACK = "SELECT page_id, html FROM pages UNION ALL SELECT -1 - page_id, regexp_extract(html, '<nav>.*</nav>') FROM pages"
+ORACLES["content_fallback"] = f"""WITH {block_ctes(_FALLBACK)}, {KEEP}
+SELECT page_id, bool_or(fallback) AS fallback, count(*) FILTER (main OR fallback) AS n_kept, count(*) AS n_blocks FROM chosen GROUP BY page_id"""
+ORACLES["page_markdown"] = f"WITH {PAGE_BLOCKS}, {KEEP}, {JOINED} SELECT page_id, markdown FROM pages_md"
+ORACLES["article_title"] = f"""WITH {PAGE_BLOCKS}, {KEEP}, {JOINED}
+SELECT p.page_id, coalesce(m.article_title, {_TITLE}) AS title FROM pages p LEFT JOIN pages_md m USING (page_id)"""
+FIXTURE_BLOCKS = {f: block_ctes(duck_fixture(f)) for f in ("html_mix_x", "html_list_x", "html_table_x")}
+ORACLES["list_items"] = f"""WITH {FIXTURE_BLOCKS['html_list_x']} SELECT page_id, {NUMBERED} AS item_no, number, list_depth, text FROM shaped WHERE leads_item"""
+for _name, (_fixture, _test) in MD_RULES.items():
+    ORACLES[_name] = f"""WITH {FIXTURE_BLOCKS[_fixture]}, numbered AS (SELECT *, NOT closing AS opened, {NUMBERED} AS block_no FROM shaped WHERE shows AND text <> '')
+SELECT page_id, block_no, md FROM numbered WHERE {_test}"""
+ORACLES["md_paragraphs"] = f"WITH {FIXTURE_BLOCKS['html_mix_x']}, {ALL_KEPT}, {JOINED} SELECT page_id, markdown FROM pages_md"
+ORACLES["md_dropped"] = f"""WITH {FIXTURE_BLOCKS['html_mix_x']}, {ALL_KEPT}, {JOINED}
+SELECT page_id, length(markdown) AS n_chars, regexp_matches(markdown, '<script|<style|<!--|track\\(|margin:') AS leaks FROM pages_md"""
+
+# -- links -------------------------------------------------------------------
+
+
+def anchor_ctes(source: str) -> str:
+    """CTEs ending in `anchors`: page_id, url, anchor_no, href, text, rel."""
+    return f"""{token_ctes(source)},
+marks AS (SELECT *, CASE WHEN tag = 'a' AND kind = 'open' THEN pos WHEN tag = 'a' AND kind = 'close' THEN -1 END AS m FROM kinds),
+runs AS (SELECT *, last_value(m IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY pos) AS a FROM marks),
+grp AS (SELECT page_id, a, max(CASE WHEN pos = a THEN raw END) AS raw,
+  {trim("string_agg(CASE WHEN kind = 'text' THEN " + decoded('raw') + " ELSE '' END, '' ORDER BY pos)")} AS text
+  FROM runs WHERE a >= 0 GROUP BY page_id, a),
+flds AS (SELECT page_id, a, text, {attr('href')} AS href, nullif({attr('rel')}, '') AS rel FROM grp),
+anchors AS (SELECT f.page_id, s.url, CAST(row_number() OVER (PARTITION BY f.page_id ORDER BY a) - 1 AS INTEGER) AS anchor_no, href, text, rel
+  FROM flds f JOIN src s ON s.page_id = f.page_id WHERE href IS NOT NULL)"""
+
+
+def link_ctes(source: str, url: str = "url") -> str:
+    """CTEs ending in `link`: page_id, host, anchor_no, url, path, text, rel of same-host links."""
+    return f"""{anchor_ctes(source)},
+{url_ctes('src', 'page_id', url, 'lb')},
+labs AS (SELECT a.page_id * 100000 + a.anchor_no AS lk, a.page_id, a.anchor_no, a.text, a.rel, lb.host AS base_host, {resolved(trim('a.href'), 'lb')} AS target
+  FROM anchors a JOIN lb ON lb.k = a.page_id WHERE {_WANTED.replace('href', 'a.href')}),
+{url_ctes('labs', 'lk', 'target', 'lt')},
+link AS (SELECT l.page_id, l.base_host AS host, l.anchor_no, l.text, l.rel, lt.path AS path, {rendered('lt.')} AS url
+  FROM labs l JOIN lt ON lt.k = l.lk WHERE lt.ok AND lt.host = l.base_host),
+link_lists AS (SELECT page_id, count(*) AS n_links,
+  string_agg(concat_ws(' ', url, text, coalesce(rel, '-')), chr(10) ORDER BY anchor_no) AS links FROM link GROUP BY page_id)"""
+
+
+ORACLES["anchor_fields"] = f"WITH {anchor_ctes(duck_fixture('anchor_x'))} SELECT page_id, anchor_no, href, text, rel FROM anchors"
+LINKS = link_ctes("SELECT page_id, url, html FROM pages")
+ORACLES["page_links"] = f"""WITH {LINKS} SELECT p.page_id, coalesce(n_links, 0) AS n_links, coalesce(links, '') AS links
+FROM pages p LEFT JOIN link_lists USING (page_id)"""
+_COUNTS = "counts AS (SELECT host, regexp_extract(url, '^[a-z]+://[^/]*([^?#]*)', 1) AS target, count(*) AS n_links, count(DISTINCT page_id) AS n_pages FROM link GROUP BY ALL)"
+ORACLES["host_link_counts"] = f"WITH {LINKS}, {_COUNTS} SELECT host, target, n_links, n_pages FROM counts"
+ORACLES["top_targets"] = f"""WITH {LINKS}, {_COUNTS}, best AS (SELECT *, CAST(row_number() OVER (PARTITION BY host
+  ORDER BY n_links DESC, n_pages DESC, target) AS INTEGER) AS place FROM counts) SELECT host, target, n_links, n_pages, place FROM best WHERE place <= 3"""
+ORACLES["crawl_frontier"] = f"""WITH {LINKS} SELECT regexp_replace(url, '#.*$', '') AS url, count(DISTINCT page_id) AS n_pages FROM link
+WHERE regexp_replace(url, '#.*$', '') NOT IN (SELECT regexp_replace(url, '#.*$', '') FROM pages WHERE page_id % 2 = 0) GROUP BY ALL"""
+
+# -- selection ---------------------------------------------------------------
+
+# One pass of plain SQL per selector of the fixture; an element ends where the
+# count of its own tag comes back to the level before it.
+ORACLES["select_content"] = f"""WITH {token_ctes(duck_fixture('select_x'))},
+t AS (SELECT k.*, s.selector, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY k.page_id, tag ORDER BY pos) AS d
+  FROM kinds k JOIN src s USING (page_id)),
+cand AS (SELECT page_id, pos, d, tag FROM t WHERE kind = 'open' AND CASE selector WHEN 'h1' THEN tag = 'h1' WHEN 'div.ad' THEN tag = 'div' AND raw LIKE '%class="ad"%'
+  WHEN '.ad' THEN raw LIKE '%class="ad"%' WHEN 'nav a' THEN tag = 'a' WHEN 'article' THEN tag = 'article' WHEN 'nav ul' THEN tag = 'ul'
+  WHEN 'article h1' THEN tag = 'h1' ELSE false END),
+first_ AS (SELECT c.page_id, min(c.pos) AS p FROM cand c JOIN src s USING (page_id) WHERE NOT contains(s.selector, ' ') OR EXISTS (
+  SELECT 1 FROM t o WHERE o.page_id = c.page_id AND o.tag = split_part(s.selector, ' ', 1) AND o.kind = 'open' AND o.pos < c.pos AND NOT EXISTS (
+    SELECT 1 FROM t x WHERE x.page_id = o.page_id AND x.tag = o.tag AND x.kind = 'close' AND x.d = o.d - 1 AND x.pos > o.pos AND x.pos < c.pos)) GROUP BY c.page_id),
+range_ AS (SELECT f.page_id, f.p, (SELECT min(x.pos) FROM t x JOIN t o ON o.page_id = x.page_id AND o.pos = f.p
+  WHERE x.page_id = f.page_id AND x.tag = o.tag AND x.kind = 'close' AND x.pos > f.p AND x.d = o.d - 1) AS e FROM first_ f)
+SELECT s.page_id, s.selector, coalesce((SELECT string_agg(raw, '' ORDER BY pos) FROM t JOIN range_ r ON r.page_id = t.page_id
+  WHERE t.page_id = s.page_id AND t.pos > r.p AND (r.e IS NULL OR t.pos < r.e)), '') AS content FROM src s"""
+
+# -- results -----------------------------------------------------------------
+
+
+def result_sql(judged: str, html_source: str = "done") -> str:
+    """CTEs for results of `judged`: `res` with page_id, url, title, markdown, links, n_links."""
+    blocks = block_ctes("SELECT page_id, url, html, site FROM done", base=True)
+    links = link_ctes("SELECT page_id, url, html FROM done")
+    # Both chains start from the same tokens; the second one is nested apart.
+    return f"""{judged},
+done AS (SELECT page_id, coalesce(final_url, url) AS url, html, regexp_extract(coalesce(final_url, url), '^[a-z]+://[^/]+') AS site FROM judged WHERE outcome = 'ok'),
+made AS (WITH {blocks}, {KEEP}, {JOINED} SELECT page_id, markdown, article_title FROM pages_md),
+linked AS (WITH {links} SELECT page_id, n_links, links FROM link_lists),
+res AS (SELECT d.page_id, d.url, coalesce(m.article_title, {_TITLE.replace('html', 'd.html')}) AS title, coalesce(m.markdown, '') AS markdown,
+  coalesce(l.links, '') AS links, coalesce(l.n_links, 0) AS n_links FROM done d LEFT JOIN made m USING (page_id) LEFT JOIN linked l USING (page_id))"""
+
+
+RESULTS = result_sql(JUDGED.replace("src AS (", "crawl_src AS (", 1).replace("FROM src", "FROM crawl_src"))
+ORACLES["page_results"] = f"WITH {RESULTS} SELECT page_id, url, title, markdown, links FROM res"
+_PLAIN = result_sql("judged AS (SELECT page_id, url, url AS final_url, html, 'ok' AS outcome FROM pages)")
+ORACLES["page_metrics"] = f"WITH {_PLAIN} SELECT page_id, url, length(markdown) AS markdown_length, n_links AS links_count FROM res"
+ORACLES["stream_pages"] = ORACLES["page_metrics"]
+ORACLES["run_summary"] = f"""WITH {RESULTS} SELECT category, outcome, http_status, count(*) AS n_rows, CAST(sum(length(r.markdown)) AS BIGINT) AS total_markdown_length,
+  avg(length(r.markdown)) AS mean_markdown_length, CAST(sum(n_links) AS BIGINT) AS total_links FROM judged j LEFT JOIN res r USING (page_id) GROUP BY category, outcome, http_status"""
