@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 from functools import lru_cache
 from html.entities import html5
 
@@ -49,43 +48,47 @@ def comma_list(col: Column) -> Column:
     return F.filter(parts, lambda p: p != "")
 
 
-NAME_MAP = "map<string,string>"
+# The references met most often, answered without a search.
+FREQUENT = {"amp;": "&", "nbsp;": "\u00a0", "quot;": '"', "lt;": "<", "gt;": ">", "apos;": "'", "copy;": "\u00a9"}
 
 
 @lru_cache(maxsize=None)
-def _named_references() -> tuple[tuple[str, str], ...]:
-    # The lookup is a scan, so the names met most often go first.
-    frequent = ["amp;", "nbsp;", "quot;", "lt;", "gt;", "apos;", "copy;", "middot;"]
-    rest = [name for name in html5 if name not in set(frequent)]
-    return tuple((name, html5[name]) for name in frequent + rest)
+def _reference_table() -> str:
+    """All named references as lines `name=text`. One string literal keeps the
+    plan small; a map literal of this size would be shipped with every task."""
+    return "\n" + "".join(f"{name}={text}\n" for name, text in html5.items() if "\n" not in text)
 
 
-@lru_cache(maxsize=None)
-def _remapped_numbers() -> dict[int, str]:
-    # Numeric references 128..159 mean the Windows-1252 characters.
-    table = {}
-    for n in range(0x80, 0xA0):
-        try:
-            table[n] = bytes([n]).decode("cp1252")
-        except UnicodeDecodeError:
-            continue
-    return table
+def _named(name: Column) -> Column:
+    """Text of a named reference, null when unknown."""
+    table = F.lit(_reference_table())
+
+    def search(key: Column) -> Column:
+        return F.when(
+            table.contains(key),
+            F.substring_index(F.call_function("substring_index", table, key, F.lit(-1)), "\n", 1),
+        )
 
+    found = let(F.concat(F.lit("\n"), name, F.lit("=")), search)
+    frequent = None
+    for key, text in FREQUENT.items():
+        frequent = F.when(name == key, F.lit(text)) if frequent is None else frequent.when(name == key, F.lit(text))
+    return frequent.when(name == "NewLine;", F.lit("\n")).otherwise(found)
 
-def _literal_map(pairs, schema: str) -> Column:
-    # One literal that constant folding turns into a map value once per plan.
-    return F.from_json(F.lit(json.dumps(dict(pairs))), schema)
+
+# Numeric references 128 to 159 mean the Windows-1252 characters: one character
+# per number, the number's own where that code page has none.
+_REMAPPED = "".join(
+    bytes([n]).decode("cp1252", errors="ignore") or chr(n) for n in range(0x80, 0xA0)
+)
 
 
 def _code_point(number: Column) -> Column:
-    remapped = F.try_element_at(_literal_map(_remapped_numbers().items(), NAME_MAP), number.cast("string"))
-    valid = (
-        number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
-    )
+    valid = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
     char = F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")
     return (
-        F.when(~F.coalesce(valid, F.lit(False)), F.lit("�"))
-        .when(number.between(0x80, 0x9F), F.coalesce(remapped, char))
+        F.when(~F.coalesce(valid, F.lit(False)), F.lit("\ufffd"))
+        .when(number.between(0x80, 0x9F), F.substring(F.lit(_REMAPPED), (number - 0x7F).cast("int"), F.lit(1)))
         .otherwise(char)
     )
 
@@ -102,11 +105,10 @@ def decode_entities(col: Column, in_attribute: bool = False) -> Column:
     def one(piece: Column) -> Column:
         digits = F.regexp_extract(piece, "[0-9a-fA-F]+", 0)
         number = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
-        named = F.try_element_at(_literal_map(_named_references(), NAME_MAP), F.substring(piece, 2, 64))
         return (
             F.when(~piece.startswith("&"), piece)
             .when(piece.rlike("^&#[xX]?[0-9a-fA-F]"), let(number.try_cast("bigint"), _code_point))
-            .otherwise(F.coalesce(named, piece))
+            .otherwise(F.coalesce(let(F.substring(piece, 2, 64), _named), piece))
         )
 
     def whole(text: Column) -> Column:

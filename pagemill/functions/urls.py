@@ -33,25 +33,14 @@ def clean_url(col: Column) -> Column:
     return let(plain, fold)
 
 
-def _authority(u: Column) -> Column:
-    special = F.lower(u).rlike(_SPECIAL)
-    return F.when(
-        special, F.regexp_extract(u, r"(?i)^[a-z]+:/*([^/?#]*)", 1)
-    ).otherwise(F.regexp_extract(u, r"(?i)^[a-z][a-z0-9+.\-]*://([^/?#]*)", 1))
-
-
-def _after_authority(u: Column) -> Column:
-    special = F.lower(u).rlike(_SPECIAL)
-    return F.when(
-        special, F.regexp_replace(u, r"(?i)^[a-z]+:/*[^/?#]*", "")
-    ).otherwise(F.regexp_replace(u, r"(?i)^[a-z][a-z0-9+.\-]*:(?://[^/?#]*)?", ""))
-
-
 def _host(authority: Column) -> Column:
     raw = F.lower(F.regexp_extract(authority, r"^(?:.*@)?(\[[^\]]*\]|[^:\[\]]*)(?::[0-9]*)?$", 1))
-    decoded = F.when(
-        raw.contains("%"), F.coalesce(F.lower(F.try_url_decode(F.replace(raw, F.lit("+"), F.lit("%2B")))), raw)
-    ).otherwise(raw)
+    decoded = let(
+        raw,
+        lambda h: F.when(
+            h.contains("%"), F.coalesce(F.lower(F.try_url_decode(F.replace(h, F.lit("+"), F.lit("%2B")))), h)
+        ).otherwise(h),
+    )
     bare = F.regexp_replace(decoded, r"^\[|\]$", "")
     return let(bare, lambda h: F.coalesce(canonical_ipv4(h), h))
 
@@ -63,32 +52,44 @@ def url_parts(col: Column) -> Column:
     forms become dotted quads. Null when the text has no scheme.
     """
 
-    def split(u: Column) -> Column:
-        authority = _authority(u)
-        rest = _after_authority(u)
+    def cut(u: Column) -> Column:
         scheme = F.lower(F.regexp_extract(u, "(?i)" + _SCHEME, 1))
+        return let(F.named_struct(F.lit("u"), u, F.lit("scheme"), scheme), head)
+
+    def head(v: Column) -> Column:
+        u, scheme = v["u"], v["scheme"]
+        web = scheme.isin(*DEFAULT_PORTS)
+        prefix = F.when(web, F.regexp_extract(u, r"^[^:]*:/*[^/?#]*", 0)).otherwise(
+            F.regexp_extract(u, r"^[^:]*:(?://[^/?#]*)?", 0)
+        )
+        cuts = F.named_struct(
+            F.lit("authority"),
+            F.regexp_replace(prefix, r"^[^:]*:/*", ""),
+            F.lit("rest"),
+            F.substring(u, F.length(prefix) + 1, F.length(u)),
+        )
+        return F.when(scheme != "", let(cuts, lambda c: fields(scheme, web, c["authority"], c["rest"])))
+
+    def fields(scheme: Column, web: Column, authority: Column, rest: Column) -> Column:
         path = F.regexp_extract(rest, r"^[^?#]*", 0)
-        return F.when(
-            scheme != "",
-            F.named_struct(
-                F.lit("scheme"),
-                scheme,
-                F.lit("userinfo"),
-                F.regexp_extract(authority, r"^(.*)@", 1),
-                F.lit("host"),
-                _host(authority),
-                F.lit("port"),
-                F.regexp_extract(authority, r":([0-9]+)$", 1),
-                F.lit("path"),
-                F.when((path == "") & scheme.isin(*DEFAULT_PORTS), F.lit("/")).otherwise(path),
-                F.lit("query"),
-                F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1),
-                F.lit("fragment"),
-                F.regexp_extract(rest, r"^[^#]*(#.*)", 1),
-            ),
+        return F.named_struct(
+            F.lit("scheme"),
+            scheme,
+            F.lit("userinfo"),
+            F.regexp_extract(authority, r"^(.*)@", 1),
+            F.lit("host"),
+            _host(authority),
+            F.lit("port"),
+            F.regexp_extract(authority, r":([0-9]+)$", 1),
+            F.lit("path"),
+            F.when(web & (path == ""), F.lit("/")).otherwise(path),
+            F.lit("query"),
+            F.regexp_extract(rest, r"^[^?#]*(\?[^#]*)", 1),
+            F.lit("fragment"),
+            F.regexp_extract(rest, r"^[^#]*(#.*)", 1),
         )
 
-    return let(clean_url(col), split)
+    return let(clean_url(col), cut)
 
 
 def is_parsable(parts: Column) -> Column:
@@ -108,79 +109,98 @@ def is_parsable(parts: Column) -> Column:
     return F.coalesce(parts["scheme"].isNotNull() & (~web | (~bad_host & port_ok)), F.lit(False))
 
 
+def is_requestable(parts: Column) -> Column:
+    """A web URL whose host is a dotted name with a letter TLD, or an address."""
+    host = parts["host"]
+    named = host.rlike(r"^[^.].*\.[a-z\x{A1}-\x{FFFF}][a-z0-9\-\x{A1}-\x{FFFF}]+$")
+    return F.coalesce(
+        is_parsable(parts)
+        & parts["scheme"].isin(*REQUEST_SCHEMES)
+        & ~host.rlike(r"[_ ]")
+        & (named | is_ip_literal(host)),
+        F.lit(False),
+    )
+
+
+def url_rule(url: Column, parts: Column) -> Column:
+    """Name of the broken rule, `required` or `url`, or null."""
+    blank = F.coalesce(web_trim(url), F.lit("")) == ""
+    return F.when(blank, F.lit("required")).when(~is_requestable(parts), F.lit("url"))
+
+
+def rule_message(rule: Column, field: str = "url") -> Column:
+    return F.when(rule == "required", F.lit(f"The {field} field must be defined")).when(
+        rule == "url", F.lit(f"The {field} field must be a valid URL")
+    )
+
+
 def url_issues(url: Column, field: str = "url") -> Column:
     """Array of {field, rule, message}; empty when the request URL is usable."""
 
-    def well_formed(p: Column) -> Column:
-        named = p["host"].rlike(r"^[^.].*\.[a-z\x{A1}-\x{FFFF}][a-z0-9\-\x{A1}-\x{FFFF}]+$")
-        clean = ~p["host"].rlike(r"[_ ]")
-        return F.coalesce(
-            is_parsable(p)
-            & p["scheme"].isin(*REQUEST_SCHEMES)
-            & clean
-            & (named | is_ip_literal(p["host"])),
-            F.lit(False),
+    def issue(rule: Column) -> Column:
+        one = F.struct(
+            F.lit(field).alias("field"), rule.alias("rule"), rule_message(rule, field).alias("message")
         )
+        return F.array_compact(F.array(F.when(rule.isNotNull(), one)))
 
-    def issue(rule: str, message: str) -> Column:
-        return F.struct(
-            F.lit(field).alias("field"), F.lit(rule).alias("rule"), F.lit(message).alias("message")
-        )
+    return let(let(url_parts(url), lambda p: url_rule(url, p)), issue)
 
-    def issues(u: Column) -> Column:
-        return F.array_compact(
-            F.array(
-                F.when(u == "", issue("required", f"The {field} field must be defined")).when(
-                    ~let(url_parts(u), well_formed), issue("url", f"The {field} field must be a valid URL")
-                )
-            )
-        )
 
-    return let(F.coalesce(web_trim(url), F.lit("")), issues)
+def path_extension(parts: Column) -> Column:
+    """Text from the last dot of the path on, lower-cased; null without a dot."""
+    ext = F.lower(F.regexp_extract(_fold_dots(parts["path"]), r"\.[^.]*$", 0))
+    return F.nullif(ext, F.lit(""))
 
 
 def url_extension(url: Column) -> Column:
-    """Text from the last dot of the path on, lower-cased; null without a dot."""
-    path = let(url_parts(url)["path"], _fold_dots)
-    ext = F.lower(F.regexp_extract(path, r"\.[^.]*$", 0))
-    return F.nullif(ext, F.lit(""))
+    return let(url_parts(url), path_extension)
 
 
 def _fold_dots(path: Column) -> Column:
     """Remove `.` and `..` segments from an absolute path."""
-    segments = F.split(F.substring(path, 2, F.length(path)), "/")
-    folded = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(
-            F.lower(s).isin("..", ".%2e", "%2e.", "%2e%2e"),
-            F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))),
+
+    def fold(segments: Column) -> Column:
+        kept = F.aggregate(
+            segments,
+            F.array().cast("array<string>"),
+            lambda acc, s: F.when(
+                s.rlike(r"(?i)^(?:\.|%2e){2}$"), F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
+            )
+            .when(s.rlike(r"(?i)^(?:\.|%2e)$"), acc)
+            .otherwise(F.concat(acc, F.array(s))),
         )
-        .when(F.lower(s).isin(".", "%2e"), acc)
-        .otherwise(F.concat(acc, F.array(s))),
-    )
-    ends_in_dots = F.lower(F.element_at(segments, -1)).isin(
-        ".", "..", "%2e", ".%2e", "%2e.", "%2e%2e"
-    )
-    joined = F.concat(
-        F.lit("/"),
-        F.array_join(folded, "/"),
-        F.when(ends_in_dots & (F.size(folded) > 0), F.lit("/")).otherwise(F.lit("")),
+        ends_in_dots = F.element_at(segments, -1).rlike(r"(?i)^(?:\.|%2e){1,2}$")
+        return let(
+            kept,
+            lambda k: F.concat(
+                F.lit("/"),
+                F.array_join(k, "/"),
+                F.when(ends_in_dots & (F.size(k) > 0), F.lit("/")).otherwise(F.lit("")),
+            ),
+        )
+
+    return let(
+        path,
+        lambda x: F.when(
+            x.rlike(r"(?i)^/(?:.*/)?(?:\.|%2e)"), let(F.split(F.substring(x, 2, F.length(x)), "/"), fold)
+        ).otherwise(x),
     )
-    has_dots = path.rlike(r"(?i)/(?:\.|%2e)")
-    return F.when(path.startswith("/") & has_dots, joined).otherwise(path)
 
 
 def _encode(text: Column, safe: str) -> Column:
     """Percent-encode every run of characters outside the class `safe`."""
-    runs = F.regexp_extract_all(text, F.lit(f"[{safe}]+|[^{safe}]+"), F.lit(0))
-    encoded = F.transform(
-        runs,
-        lambda r: F.when(r.rlike(f"^[{safe}]"), r).otherwise(
-            F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))
-        ),
-    )
-    return F.when(text.rlike(f"[^{safe}]"), F.array_join(encoded, "")).otherwise(text)
+
+    def encode(x: Column) -> Column:
+        runs = F.regexp_extract_all(x, F.lit(f"[{safe}]+|[^{safe}]+"), F.lit(0))
+        encoded = F.transform(
+            runs,
+            lambda r: F.when(r.rlike(f"^[{safe}]"), r).otherwise(
+                F.replace(F.url_encode(r), F.lit("+"), F.lit("%20"))
+            ),
+        )
+        return F.when(x.rlike(f"[^{safe}]"), F.array_join(encoded, "")).otherwise(x)
+
+    return let(text, encode)
 
 
 # Printable ASCII that stays as written in a path, in a query and

@@ -34,7 +34,7 @@ def _features() -> dict[str, Column]:
     """Columns over `head`, `body`, `tag`, `closing`, `shows` and `parts`."""
     body, tag, parts = F.col("body"), F.col("tag"), F.col("parts")
     opened = ~F.col("closing")
-    level = F.regexp_extract("tag", "^h([1-6])$", 1).try_cast("int")
+    level = F.when(tag.rlike("^h[1-6]$"), F.substring(tag, 2, 1).cast("int"))
     rule = opened & (tag == "hr")
     shows = F.col("shows")
     text = (
@@ -80,8 +80,10 @@ def page_blocks(
     if not placed:
         source = spread(source, "page_id")
     page = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(1).alias("_none"))
+    # The outer form: the plain one would have Spark cut every page twice, first
+    # in a filter for pages without blocks. Every page has at least one.
     rows = source.select(
-        "page_id", page.alias("page"), F.posexplode(_chunks(base is not None)).alias("block_id", "chunk")
+        "page_id", page.alias("page"), F.posexplode_outer(_chunks(base is not None)).alias("block_id", "chunk")
     ).select(
         "page_id",
         "block_id",

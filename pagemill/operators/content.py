@@ -6,7 +6,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.text import let, web_trim
-from pagemill.functions.urls import url_extension
 
 # Media types.
 PDF = "application/pdf"
@@ -42,10 +41,10 @@ def has_pdf_magic(body: Column) -> Column:
     return F.coalesce(F.substring(body, 1, len(PDF_MAGIC)) == F.lit(PDF_MAGIC), F.lit(False))
 
 
-def refine_by_extension(content_type: Column, url: Column) -> Column:
+def refine_by_extension(content_type: Column, extension: Column) -> Column:
     """Octet streams take the type of a known URL extension."""
     known = let(
-        url_extension(url), lambda e: F.when(e == ".pdf", F.lit(PDF)).when(e == ".docx", F.lit(DOCX))
+        extension, lambda e: F.when(e == ".pdf", F.lit(PDF)).when(e == ".docx", F.lit(DOCX))
     )
     return F.when(mime_essence(content_type) == OCTETS, F.coalesce(known, content_type)).otherwise(content_type)
 
@@ -57,8 +56,8 @@ def refine_by_magic(content_type: Column, body: Column) -> Column:
     )
 
 
-def refined_type(content_type: Column, url: Column, body: Column) -> Column:
-    return refine_by_magic(refine_by_extension(content_type, url), body)
+def refined_type(content_type: Column, extension: Column, body: Column) -> Column:
+    return refine_by_magic(refine_by_extension(content_type, extension), body)
 
 
 def unsupported_error(content_type: Column) -> Column:

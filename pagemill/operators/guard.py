@@ -43,24 +43,34 @@ def protocol_error(parts: Column) -> Column:
     )
 
 
+def parts_error(p: Column, cidrs: tuple[str, ...] = (), hosts: tuple[str, ...] = ()) -> Column:
+    """`guard_error` for a URL that is already split."""
+    listed = p["host"].isin(*[h.lower() for h in hosts]) if hosts else F.lit(False)
+    private = is_ip_literal(p["host"]) & is_private(p["host"]) & ~_listed_range(p["host"], cidrs)
+    return (
+        F.when(~is_parsable(p), F.lit(INVALID))
+        .when(p["scheme"].isin(*BLOCKED_SCHEMES), protocol_error(p))
+        .when(~listed & private, F.lit(PRIVATE))
+    )
+
+
 def guard_error(url: Column, cidrs: tuple[str, ...] = (), hosts: tuple[str, ...] = ()) -> Column:
     """Why the URL itself may not be fetched, or null. Names are not looked up.
 
     An allowed host skips the address tests, never the protocol test.
     """
-    allowed = [h.lower() for h in hosts]
-
-    def check(p: Column) -> Column:
-        listed = p["host"].isin(*allowed) if allowed else F.lit(False)
-        private = is_ip_literal(p["host"]) & is_private(p["host"]) & ~_listed_range(p["host"], cidrs)
-        return (
-            F.when(~is_parsable(p), F.lit(INVALID))
-            .when(p["scheme"].isin(*BLOCKED_SCHEMES), protocol_error(p))
-            .when(listed, F.lit(None).cast("string"))
-            .when(private, F.lit(PRIVATE))
-        )
+    return let(url_parts(url), lambda p: parts_error(p, cidrs, hosts))
+
 
-    return let(url_parts(url), check)
+def redirect_error(error: Column, url: Column, final_url: Column) -> Column:
+    """The guard's verdict on a final URL that differs from the requested one."""
+    moved = final_url.isNotNull() & (final_url != url)
+    return F.when(moved & error.isNotNull(), F.concat(F.lit(REDIRECT), final_url))
+
+
+def resolved_error(error: Column, flag: Column) -> Column:
+    """`error`, or the private-address message where a look-up found one."""
+    return F.coalesce(error, F.when(F.coalesce(flag, F.lit(False)), F.lit(PRIVATE)))
 
 
 def allowed_by_range(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
@@ -105,33 +115,54 @@ def blocked_hosts(dns: DataFrame, cidrs: tuple[str, ...] = ()) -> DataFrame:
     return dns.filter(bad).select(F.lower("host").alias("host")).distinct()
 
 
-def named_host(url: Column, hosts: tuple[str, ...] = ()) -> Column:
+def _named_host(p: Column, hosts: tuple[str, ...]) -> Column:
     """Host of a fetchable URL when only a look-up can tell its address."""
-    allowed = [h.lower() for h in hosts]
+    listed = p["host"].isin(*[h.lower() for h in hosts]) if hosts else F.lit(False)
+    usable = is_parsable(p) & ~p["scheme"].isin(*BLOCKED_SCHEMES) & ~is_ip_literal(p["host"]) & ~listed
+    return F.when(usable, p["host"])
+
+
+@reuse
+def _named_hosts(urls: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
+    """Array of {role, host}, one per URL column."""
+    return F.transform(
+        F.array(*[F.struct(F.lit(u).alias("role"), F.col(u).alias("url")) for u in urls]),
+        lambda x: F.struct(
+            x["role"].alias("role"), let(url_parts(x["url"]), lambda p: _named_host(p, hosts)).alias("host")
+        ),
+    )
 
-    def pick(p: Column) -> Column:
-        listed = p["host"].isin(*allowed) if allowed else F.lit(False)
-        usable = is_parsable(p) & ~p["scheme"].isin(*BLOCKED_SCHEMES) & ~is_ip_literal(p["host"]) & ~listed
-        return F.when(usable, p["host"])
 
-    return let(url_parts(url), pick)
+@reuse
+def _bad_address(cidrs: tuple[str, ...]) -> Column:
+    return is_private(F.col("addr")) & ~_listed_range(F.col("addr"), cidrs)
 
 
-def resolved_hits(
-    rows: DataFrame, dns: DataFrame, urls: tuple[str, ...], cidrs=(), hosts=()
+def blocked_hosts(dns: DataFrame, cidrs: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct hosts of `dns(host, addr)` with an address that is private and
+    not allowed. Only these few rows travel on."""
+    return dns.filter(_bad_address(cidrs)).select(F.lower("host").alias("host")).distinct()
+
+
+def with_lookups(
+    rows: DataFrame, dns: DataFrame | None, urls: tuple[str, ...], cidrs=(), hosts=()
 ) -> DataFrame:
-    """(page_id, <url>_private ...) for rows with a name that resolves to a
-    blocked address. Works on keys and host names only; pages do not move."""
-    stacked = rows.select(
-        "page_id",
-        F.explode(
-            F.array(*[F.struct(F.lit(u).alias("role"), named_host(F.col(u), hosts).alias("host")) for u in urls])
-        ).alias("s"),
-    ).select("page_id", "s.role", "s.host").filter("host IS NOT NULL")
-    hits = mark_known(stacked, blocked_hosts(dns, cidrs), "host", "hit").filter("hit")
-    return hits.groupBy("page_id").agg(
-        *[F.max(F.col("role") == u).alias(f"{u}_private") for u in urls]
-    )
+    """Add `<url>_private` for each column of `urls`: does its host name resolve
+    to a blocked address? The look-up works on keys and host names only; the
+    pages themselves meet just the keys of the blocked rows."""
+    if dns is None:
+        return rows.select("*", *[F.lit(False).alias(f"{u}_private") for u in urls])
+    stacked = rows.select("page_id", F.explode(_named_hosts(urls, tuple(hosts))).alias("s")).select(
+        "page_id", "s.role", "s.host"
+    ).filter("host IS NOT NULL")
+    hits = mark_known(stacked, blocked_hosts(dns, tuple(cidrs)), "host", "hit").filter("hit")
+    flags = hits.groupBy("page_id").agg(*[F.max(F.col("role") == u).alias(f"{u}_private") for u in urls])
+    return rows.join(flags, "page_id", "left")
+
+
+@reuse
+def _verdict(url: str, cidrs: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
+    return resolved_error(guard_error(F.col(url), cidrs, hosts), F.col(f"{url}_private"))
 
 
 def guard(
@@ -144,32 +175,13 @@ def guard(
 ) -> DataFrame:
     """Add `guard_error` and `redirect_error` to `rows(page_id, url, final_url)`."""
     urls = (url,) if final_url is None else (url, final_url)
-    out = rows
-    if dns is None:
-        for u in urls:
-            out = out.withColumn(f"{u}_private", F.lit(False))
-    else:
-        out = out.join(resolved_hits(rows.select("page_id", *urls), dns, urls, cidrs, hosts), "page_id", "left")
-
-    out = out.withColumn("guard_error", _verdict(url, tuple(cidrs), tuple(hosts)))
+    cidrs, hosts = tuple(cidrs), tuple(hosts)
+    made = [_verdict(url, cidrs, hosts).alias("guard_error")]
     if final_url is not None:
-        out = out.withColumn("redirect_error", _redirect_verdict(url, final_url, tuple(cidrs), tuple(hosts)))
-    return out.drop(*[f"{u}_private" for u in urls])
-
-
-@reuse
-def _verdict(url: str, cidrs: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
-    return F.coalesce(
-        guard_error(F.col(url), cidrs, hosts),
-        F.when(F.coalesce(F.col(f"{url}_private"), F.lit(False)), F.lit(PRIVATE)),
-    )
-
-
-@reuse
-def _redirect_verdict(url: str, final_url: str, cidrs: tuple[str, ...], hosts: tuple[str, ...]) -> Column:
-    moved = F.col(final_url).isNotNull() & (F.col(final_url) != F.col(url))
-    blocked = _verdict(final_url, cidrs, hosts).isNotNull()
-    return F.when(moved & blocked, F.concat(F.lit(REDIRECT), F.col(final_url)))
+        made.append(
+            redirect_error(_verdict(final_url, cidrs, hosts), F.col(url), F.col(final_url)).alias("redirect_error")
+        )
+    return with_lookups(rows, dns, urls, cidrs, hosts).select("*", *made).drop(*[f"{u}_private" for u in urls])
 
 
 def allow_hosts(rows: DataFrame, hosts: DataFrame, url: str = "url") -> DataFrame:

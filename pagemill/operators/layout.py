@@ -14,8 +14,8 @@ SALTS = 16
 
 
 def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate; runs no job."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    """Spark's size estimate from file sizes; runs no job."""
+    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:

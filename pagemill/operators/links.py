@@ -95,9 +95,11 @@ def page_links(pages: DataFrame, url: str = "url", placed: bool = False) -> Data
 def link_rows(pages: DataFrame, url: str = "url") -> DataFrame:
     """One row per link: page_id, source host, link_no, url, text, rel."""
     found = page_links(pages, url).select(
-        "page_id", _base(url)["host"].alias("host"), F.posexplode("links").alias("link_no", "link")
+        "page_id", _base(url)["host"].alias("host"), F.posexplode_outer("links").alias("link_no", "link")
     )
-    return found.select("page_id", "host", "link_no", "link.url", "link.text", "link.rel")
+    # The outer form: the plain one would have Spark read the links of every
+    # page twice, first in a filter for pages without any.
+    return found.filter(F.col("link").isNotNull()).select("page_id", "host", "link_no", "link.url", "link.text", "link.rel")
 
 
 def crawl_frontier(pages: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pagemill.functions.markup import page_title
 from pagemill.functions.reuse import reuse
 from pagemill.functions.text import let
-from pagemill.functions.urls import url_issues, url_parts
+from pagemill.functions.urls import path_extension, rule_message, url_parts, url_rule
 from pagemill.operators.content import (
     MAX_BYTES,
     classify,
@@ -16,7 +16,7 @@ from pagemill.operators.content import (
     refined_type,
     unsupported_error,
 )
-from pagemill.operators.guard import guard
+from pagemill.operators.guard import parts_error, redirect_error, resolved_error, with_lookups
 from pagemill.operators.layout import spread
 from pagemill.operators.links import LINK_TYPE, page_links
 from pagemill.operators.markdown import to_markdown
@@ -36,24 +36,30 @@ def _base() -> Column:
 
 
 @reuse
-def _judgement(cap: int, decoded: tuple[str, ...]) -> Column:
+def _judgement(cidrs: tuple[str, ...], hosts: tuple[str, ...], cap: int, decoded: tuple[str, ...]) -> Column:
     """Struct of category, outcome, http_status, status and error.
 
-    Every input is computed once, in one struct, and then only looked at.
+    Both URLs are split once; every fact is computed once and then looked at.
     """
-    facts = F.struct(
-        F.try_element_at(url_issues(F.col("url")), F.lit(1))["message"].alias("issue"),
-        F.col("guard_error"),
-        F.col("redirect_error"),
-        let(
-            refined_type(F.col("content_type"), F.col("url"), F.col("body")),
-            lambda m: F.struct(m.alias("name"), classify(m).alias("category")),
-        ).alias("media"),
-        F.col("fetch_error"),
-        F.coalesce("status", F.lit(0)).alias("status"),
-        F.octet_length("body").alias("size"),
-        (F.coalesce(*[F.col(c) for c in decoded]).isNotNull() if decoded else F.lit(False)).alias("has_text"),
-    )
+    url, final_url = F.col("url"), F.col("final_url")
+    split = F.struct(url_parts(url).alias("u"), url_parts(final_url).alias("f"))
+    has_text = F.coalesce(*[F.col(c) for c in decoded]).isNotNull() if decoded else F.lit(False)
+
+    def gather(v: Column) -> Column:
+        final_error = resolved_error(parts_error(v["f"], cidrs, hosts), F.col("final_url_private"))
+        return F.struct(
+            rule_message(url_rule(url, v["u"])).alias("issue"),
+            resolved_error(parts_error(v["u"], cidrs, hosts), F.col("url_private")).alias("guard_error"),
+            redirect_error(final_error, url, final_url).alias("redirect_error"),
+            let(
+                refined_type(F.col("content_type"), path_extension(v["u"]), F.col("body")),
+                lambda m: F.struct(m.alias("name"), classify(m).alias("category")),
+            ).alias("media"),
+            F.col("fetch_error").alias("fetch_error"),
+            F.coalesce("status", F.lit(0)).alias("status"),
+            F.octet_length("body").alias("size"),
+            has_text.alias("has_text"),
+        )
 
     def judge(f: Column) -> Column:
         category, status = f["media"]["category"], f["status"]
@@ -88,7 +94,7 @@ def _judgement(cap: int, decoded: tuple[str, ...]) -> Column:
             .otherwise(verdict("ok", 200, None))
         )
 
-    return let(facts, judge)
+    return let(let(split, gather), judge)
 
 
 def outcomes(
@@ -105,13 +111,10 @@ def outcomes(
     column `decoded_html` or `decoded_markdown`; otherwise it needs a decoder.
     """
     decoded = tuple(c for c in ("decoded_html", "decoded_markdown") if c in crawl.columns)
-    rows = guard(crawl, tuple(cidrs), tuple(hosts), dns)
-    return (
-        rows.withColumn("_verdict", _judgement(cap, decoded))
-        .drop("guard_error", "redirect_error", "status")
-        .select("*", "_verdict.*")
-        .drop("_verdict")
-    )
+    cidrs, hosts = tuple(cidrs), tuple(hosts)
+    rows = with_lookups(crawl, dns, ("url", "final_url"), cidrs, hosts)
+    kept = [c for c in crawl.columns if c != "status"]
+    return rows.select(*kept, _judgement(cidrs, hosts, cap, decoded).alias("_verdict")).select(*kept, "_verdict.*")
 
 
 def page_errors(judged: DataFrame) -> DataFrame:

@@ -14,7 +14,8 @@ from pagemill.operators.layout import spread
 def tokens(pages: DataFrame, *carry: str) -> DataFrame:
     """(page_id, pos, kind, tag, raw). Joined in `pos` order, `raw` is the page."""
     source = spread(pages.select("page_id", "html", *carry), "page_id")
-    rows = source.select("page_id", *carry, F.posexplode(tokens_of(F.col("html"))).alias("pos", "raw"))
+    rows = source.select("page_id", *carry, F.posexplode_outer(tokens_of(F.col("html"))).alias("pos", "raw"))
+    rows = rows.filter(F.col("raw").isNotNull())
     rows = rows.withColumn("tag", tag_of(F.col("raw")))
     return rows.withColumn("kind", kind_of(F.col("raw"), F.col("tag"))).select(
         "page_id", *carry, "pos", "kind", "tag", "raw"

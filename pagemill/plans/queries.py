@@ -154,7 +154,7 @@ def url_extension(spark, sf):
 @query
 def refine_by_extension(spark, sf):
     return _crawl(spark, sf).select(
-        "page_id", content.refine_by_extension(F.col("content_type"), F.col("url")).alias("media_type")
+        "page_id", content.refine_by_extension(F.col("content_type"), urls.url_extension(F.col("url"))).alias("media_type")
     )
 
 
@@ -189,7 +189,7 @@ def _documents(spark, sf):
         "status",
         F.octet_length("body").alias("size"),
         content.classify(
-            content.refined_type(F.col("content_type"), F.col("url"), F.col("body"))
+            content.refined_type(F.col("content_type"), urls.url_extension(F.col("url")), F.col("body"))
         ).alias("category"),
     )
     return rows.filter(F.col("category").isin("pdf", "docx"))
