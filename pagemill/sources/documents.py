@@ -15,7 +15,8 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 def doc_intake(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
     """(url, length, kind, error, status) for `files(path, length, content)`.
 
-    Size is reported before extension; a PDF name needs PDF bytes.
+    Size is reported before extension; a PDF name needs PDF bytes. Spark's file
+    sources list no files of zero bytes, so those give no row.
     """
     kind = resolve_kind(F.col("path"), F.col("content"))
     rows = files.select(

@@ -79,7 +79,7 @@ def test_outcomes_results_and_sinks(spark, tmp_path):
 
 def test_document_intake(spark, tmp_path):
     for name, body in {
-        "a.pdf": b"%PDF-1.4", "b.PDF": b"%PDF-1.4", "c.pdf": b"plain", "d.docx": b"anything", "e.txt": b"x", "f.txt": b"x" * 60, "g": b"",
+        "a.pdf": b"%PDF-1.4", "b.PDF": b"%PDF-1.4", "c.pdf": b"plain", "d.docx": b"anything", "e.txt": b"x", "f.txt": b"x" * 60, "g": b"y",
     }.items():
         (tmp_path / name).write_bytes(body)
     got = {r.url: (r.kind, r.status) for r in documents.doc_intake(documents.read_files(spark, str(tmp_path)), cap=50).collect()}
