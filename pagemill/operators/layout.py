@@ -18,11 +18,12 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a small input by its key before heavy per-row work."""
-    if df.isStreaming or estimated_bytes(df) > SPREAD_BYTES:
-        return df
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+def spread(df: DataFrame, *keys: str, always: bool = False) -> DataFrame:
+    """Hash a small input by its key before heavy per-row work; a large one only
+    where the caller needs all rows of a key together from the start."""
+    if not df.isStreaming and estimated_bytes(df) <= SPREAD_BYTES:
+        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
+    return df.repartition(*keys) if always else df
 
 
 def mark_known(rows: DataFrame, known: DataFrame, on: str, flag: str, salts: int = SALTS) -> DataFrame:

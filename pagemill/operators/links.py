@@ -105,25 +105,42 @@ def link_rows(pages: DataFrame, url: str = "url") -> DataFrame:
 def crawl_frontier(pages: DataFrame, seen: DataFrame, url: str = "url") -> DataFrame:
     """Same-host links not crawled yet: (url, n_pages).
 
-    Links are counted per page before they meet, and the join key is unique on
-    both sides, so no key is hot.
+    A page names each target once, so counting rows counts pages, and the counts
+    combine before the shuffle. The join key is then unique on both sides.
     """
-    strip = F.regexp_replace(F.col("url"), "#.*$", "")
-    targets = link_rows(pages, url).select(strip.alias("url"), "page_id")
-    counted = targets.groupBy("url").agg(F.count_distinct("page_id").alias("n_pages"))
-    return counted.join(seen.select(strip.alias("url")).distinct(), "url", "left_anti")
+
+    def bare(link: Column) -> Column:
+        return F.regexp_replace(link, "#.*$", "")
+
+    targets = F.array_distinct(F.transform("links", lambda x: bare(x["url"])))
+    named = page_links(pages, url).select(F.explode_outer(targets).alias("url")).filter("url IS NOT NULL")
+    counted = named.groupBy("url").agg(F.count(F.lit(1)).alias("n_pages"))
+    return counted.join(seen.select(bare(F.col("url")).alias("url")).distinct(), "url", "left_anti")
 
 
 def host_link_counts(pages: DataFrame, url: str = "url") -> DataFrame:
     """Links per source host and target path: n_links, n_pages.
 
-    First summed per page, which halves the rows and makes the distinct count
-    a plain sum that combines before the shuffle.
+    Each page gives one row per link and one more per distinct target, so both
+    figures are sums over one shuffle and combine before it; a target that most
+    pages name reaches its task as one row per map task.
     """
-    rows = link_rows(pages, url).select("host", url_parts(F.col("url"))["path"].alias("target"), "page_id")
-    per_page = rows.groupBy("page_id", "host", "target").agg(F.count(F.lit(1)).alias("n"))
-    return per_page.groupBy("host", "target").agg(
-        F.sum("n").alias("n_links"), F.count(F.lit(1)).alias("n_pages")
+    paths = F.transform("links", lambda x: F.regexp_extract(x["url"], "^[a-z]+://[^/?#]*([^?#]*)", 1))
+
+    def emit(path: Column, links: int, pages_: int) -> Column:
+        return F.struct(path.alias("target"), F.lit(links).alias("links"), F.lit(pages_).alias("pages"))
+
+    counted = let(
+        paths,
+        lambda p: F.concat(
+            F.transform(p, lambda x: emit(x, 1, 0)), F.transform(F.array_distinct(p), lambda x: emit(x, 0, 1))
+        ),
+    )
+    rows = page_links(pages, url).select(_base(url)["host"].alias("host"), F.explode_outer(counted).alias("x"))
+    return (
+        rows.filter("x IS NOT NULL")
+        .groupBy("host", F.col("x.target").alias("target"))
+        .agg(F.sum("x.links").alias("n_links"), F.sum("x.pages").alias("n_pages"))
     )
 
 

@@ -123,7 +123,8 @@ def page_errors(judged: DataFrame) -> DataFrame:
 
 
 def page_results(judged: DataFrame) -> DataFrame:
-    """(page_id, url, title, markdown, links) of every row with outcome `ok`.
+    """(page_id, category, url, title, markdown, links) of every row with
+    outcome `ok`.
 
     HTML rows answer with their final URL, documents with the requested one,
     without title and links. With a `selector` column, rows that name one give
@@ -138,7 +139,12 @@ def page_results(judged: DataFrame) -> DataFrame:
 
     def finish(rows: DataFrame, title: Column) -> DataFrame:
         return rows.select(
-            "page_id", F.col("page.url").alias("url"), title.alias("title"), "markdown", F.col("page.links").alias("links")
+            "page_id",
+            F.lit("html").alias("category"),
+            F.col("page.url").alias("url"),
+            title.alias("title"),
+            "markdown",
+            F.col("page.links").alias("links"),
         )
 
     read = pages.filter(F.col("selector").isNull()) if "selector" in judged.columns else pages
@@ -161,7 +167,7 @@ def page_results(judged: DataFrame) -> DataFrame:
         written = documents.filter(F.col("decoded_markdown").isNotNull())
         out = out.unionByName(
             written.select(
-                "page_id", "url", F.lit(None).cast("string").alias("title"),
+                "page_id", "category", "url", F.lit(None).cast("string").alias("title"),
                 F.col("decoded_markdown").alias("markdown"), no_links.alias("links"),
             )
         )
@@ -169,11 +175,11 @@ def page_results(judged: DataFrame) -> DataFrame:
         rest = documents
         if "decoded_markdown" in judged.columns:
             rest = rest.filter(F.col("decoded_markdown").isNull())
-        rest = rest.select("page_id", "url", F.col("decoded_html").alias("html"))
-        text = to_markdown(rest, carry=("url",), main_content=False)
+        rest = rest.select("page_id", "category", "url", F.col("decoded_html").alias("html"))
+        text = to_markdown(rest, carry=("category", "url"), main_content=False)
         out = out.unionByName(
             text.select(
-                "page_id", F.col("page.url").alias("url"), F.lit(None).cast("string").alias("title"),
+                "page_id", "page.category", "page.url", F.lit(None).cast("string").alias("title"),
                 "markdown", no_links.alias("links"),
             )
         )
@@ -190,13 +196,19 @@ def page_metrics(results: DataFrame) -> DataFrame:
 
 
 def run_summary(judged: DataFrame, results: DataFrame) -> DataFrame:
-    """Rows, lengths and links per category and outcome."""
+    """Rows, lengths and links per category and outcome. Rejected rows are read
+    without their pages; nothing is joined."""
     none = F.lit(None).cast("int")
     failed = judged.filter(F.col("outcome") != "ok").select(
         "category", "outcome", "http_status", none.alias("markdown_length"), none.alias("links_count")
     )
-    kinds = judged.filter(F.col("outcome") == "ok").select("page_id", "category", "outcome", "http_status")
-    done = kinds.join(page_metrics(results), "page_id").select(*failed.columns)
+    done = results.select(
+        "category",
+        F.lit("ok").alias("outcome"),
+        F.lit(200).alias("http_status"),
+        F.length("markdown").alias("markdown_length"),
+        F.size("links").alias("links_count"),
+    )
     return failed.unionByName(done).groupBy("category", "outcome", "http_status").agg(
         F.count(F.lit(1)).alias("n_rows"),
         F.sum("markdown_length").alias("total_markdown_length"),

@@ -12,8 +12,12 @@ from pagemill.operators.layout import spread
 
 
 def tokens(pages: DataFrame, *carry: str) -> DataFrame:
-    """(page_id, pos, kind, tag, raw). Joined in `pos` order, `raw` is the page."""
-    source = spread(pages.select("page_id", "html", *carry), "page_id")
+    """(page_id, pos, kind, tag, raw). Joined in `pos` order, `raw` is the page.
+
+    Whole pages are hashed by their key before they are cut: the windows over
+    tokens then need no further shuffle, and a page is smaller than its tokens.
+    """
+    source = spread(pages.select("page_id", "html", *carry), "page_id", always=True)
     rows = source.select("page_id", *carry, F.posexplode_outer(tokens_of(F.col("html"))).alias("pos", "raw"))
     rows = rows.filter(F.col("raw").isNotNull())
     rows = rows.withColumn("tag", tag_of(F.col("raw")))

@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from pagemill import api
+from pagemill.operators import layout
 from pagemill.operators.markdown import to_markdown
 from pagemill.plans.queries import QUERIES
 from pagemill.sources import documents, pages
@@ -119,6 +120,21 @@ def test_page_job_moves_pages_once(spark, data):
     assert len(re.findall(r"\bExchange\b", plan_of(api.page_links(source)))) <= 1
 
 
+def test_large_input_moves_blocks_not_pages(spark, data, monkeypatch):
+    monkeypatch.setattr(layout, "SPREAD_BYTES", -1)
+    source = pages.read_pages(spark, f"{data}/pages.parquet")
+    made = to_markdown(source, carry=("url",))
+    plan = plan_of(made)
+    assert len(re.findall(r"\bExchange\b", plan)) == 1
+    # The shuffle comes after the cut: below it in the printed tree.
+    assert plan.index("Exchange") < plan.index("Generate") and "html" not in plan[plan.index("Exchange"):plan.index("Generate")].split("\n")[0]
+    assert made.count() == source.count()
+    assert len(re.findall(r"\bExchange\b", plan_of(api.page_links(source)))) == 0
+    assert len(re.findall(r"\bExchange\b", plan_of(api.host_link_counts(source)))) == 1
+    chosen = source.select("page_id", "html", F.lit("nav a").alias("selector"))
+    assert len(re.findall(r"\bExchange\b", plan_of(api.select_content(chosen)))) == 1
+
+
 def test_no_python_in_any_plan(spark, data):
     for name in ("page_results", "page_outcomes", "crawl_frontier", "over_limit_requests", "select_content"):
         plan = plan_of(QUERIES[name](spark, data))
