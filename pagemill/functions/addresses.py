@@ -43,9 +43,12 @@ def _quad_value(text: str) -> int:
 def ip_to_int(addr: Column) -> Column:
     """Unsigned value of a dotted quad; null unless four parts in 0..255."""
     octets = F.transform(F.split(addr, r"\."), lambda p: p.try_cast("bigint"))
-    valid = addr.rlike(_QUAD) & F.forall(octets, lambda o: o <= 255)
-    value = F.aggregate(octets, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
-    return F.when(valid, value)
+
+    def value(parts: Column) -> Column:
+        total = F.aggregate(parts, F.lit(0).cast("bigint"), lambda acc, o: acc * 256 + o)
+        return F.when(F.forall(parts, lambda o: o <= 255), total)
+
+    return F.when(addr.rlike(_QUAD), let(octets, value))
 
 
 def int_to_ip(value: Column) -> Column:
@@ -95,14 +98,16 @@ def is_ip_literal(host: Column) -> Column:
     )
 
 
-def is_private_ipv4(addr: Column) -> Column:
-    def test(value: Column) -> Column:
-        hit = F.lit(False)
-        for low, high in PRIVATE_IPV4:
-            hit = hit | value.between(_quad_value(low), _quad_value(high))
-        return hit
+def _private_value(value: Column) -> Column:
+    """Is the 32-bit value of an address in a private range?"""
+    hit = F.lit(False)
+    for low, high in PRIVATE_IPV4:
+        hit = hit | value.between(_quad_value(low), _quad_value(high))
+    return hit
 
-    return F.coalesce(let(ip_to_int(addr), test), F.lit(False))
+
+def is_private_ipv4(addr: Column) -> Column:
+    return F.coalesce(let(ip_to_int(addr), _private_value), F.lit(False))
 
 
 def is_private_ipv6(addr: Column) -> Column:
@@ -116,7 +121,7 @@ def is_private_ipv6(addr: Column) -> Column:
     def from_groups(m: Column) -> Column:
         high = F.conv(F.substring_index(m, ":", 1), 16, 10).try_cast("bigint")
         low = F.conv(F.substring_index(m, ":", -1), 16, 10).try_cast("bigint")
-        return (m != "") & is_private_ipv4(int_to_ip(high * 65536 + low))
+        return (m != "") & let(high * 65536 + low, _private_value)
 
     return F.coalesce(addr.contains(":") & (hit | let(mapped, from_groups)), F.lit(False))
 

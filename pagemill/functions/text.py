@@ -61,15 +61,17 @@ def _reference_table() -> str:
 
 def _named(name: Column) -> Column:
     """Text of a named reference, null when unknown."""
-    table = F.lit(_reference_table())
 
-    def search(key: Column) -> Column:
+    def search(v: Column) -> Column:
         return F.when(
-            table.contains(key),
-            F.substring_index(F.call_function("substring_index", table, key, F.lit(-1)), "\n", 1),
+            v["table"].contains(v["key"]),
+            F.substring_index(F.call_function("substring_index", v["table"], v["key"], F.lit(-1)), "\n", 1),
         )
 
-    found = let(F.concat(F.lit("\n"), name, F.lit("=")), search)
+    both = F.named_struct(
+        F.lit("table"), F.lit(_reference_table()), F.lit("key"), F.concat(F.lit("\n"), name, F.lit("="))
+    )
+    found = let(both, search)
     frequent = None
     for key, text in FREQUENT.items():
         frequent = F.when(name == key, F.lit(text)) if frequent is None else frequent.when(name == key, F.lit(text))

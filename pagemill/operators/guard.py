@@ -74,8 +74,8 @@ def resolved_error(error: Column, flag: Column) -> Column:
 
 
 def allowed_by_range(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
-    """Distinct `addr` of private IPv4 addresses inside any range of
-    `cidrs(cidr)`, however long that list is.
+    """Distinct `addr` among the private `addresses(addr)` that lie inside any
+    IPv4 range of `cidrs(cidr)`, however long that list is.
 
     An equi-join per prefix: an address lies in a range of length b exactly
     where its first b bits equal those of the range. Addresses are made
@@ -84,10 +84,9 @@ def allowed_by_range(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
     ranges = parse_cidrs(cidrs).select("bits", "lo").distinct()
     keys = (
         addresses.select("addr")
-        .filter(is_private(F.col("addr")))
+        .distinct()
         .select("addr", ip_to_int(F.col("addr")).alias("value"))
         .filter("value IS NOT NULL")
-        .distinct()
         .select("addr", "value", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits"))
         .select(
             "addr",
@@ -101,11 +100,9 @@ def allowed_by_range(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
 def address_verdicts(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
     """Add `private` and `blocked` to `addresses(..., addr)`. A private address
     is let through inside an allowed IPv4 range; IPv6 never is."""
-    marked = mark_known(addresses, allowed_by_range(addresses, cidrs), "addr", "in_range")
-    private = is_private(F.col("addr"))
-    return marked.select("*", private.alias("private"), (private & ~F.col("in_range")).alias("blocked")).drop(
-        "in_range"
-    )
+    tested = addresses.withColumn("private", is_private(F.col("addr")))
+    marked = mark_known(tested, allowed_by_range(tested.filter("private"), cidrs), "addr", "in_range")
+    return marked.withColumn("blocked", F.col("private") & ~F.col("in_range")).drop("in_range")
 
 
 def blocked_hosts(dns: DataFrame, cidrs: tuple[str, ...] = ()) -> DataFrame:
