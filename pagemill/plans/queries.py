@@ -26,11 +26,16 @@ INTAKE_CAP, BODY_CAP = 4096, 3000
 QUERIES = {}
 
 
-def query(fn):
-    QUERIES[fn.__name__] = fn
+def query(fn, name: str | None = None):
+    QUERIES[name or fn.__name__] = fn
     return fn
 
 
+def named(name: str):
+    """For queries whose name is that of the function they call."""
+    return lambda fn: query(fn, name)
+
+
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.read_pages(spark, f"{sf}/pages.parquet")
 
@@ -446,7 +451,7 @@ def flag_words(spark, sf):
     return spark_fixture(spark, sf, "flag_x").select("id", flag_word(F.col("flag")).alias("flag"))
 
 
-@query
+@named("comma_list")
 def comma_list_items(spark, sf):
     items = comma_list(F.col("list"))
     return spark_fixture(spark, sf, "flag_x").select(
@@ -454,17 +459,11 @@ def comma_list_items(spark, sf):
     )
 
 
-QUERIES["comma_list"] = QUERIES.pop("comma_list_items")
-
-
-@query
+@named("page_title")
 def page_title_text(spark, sf):
     return _pages(spark, sf).select("page_id", page_title(F.col("html")).alias("title"))
 
 
-QUERIES["page_title"] = QUERIES.pop("page_title_text")
-
-
 @query
 def anchor_fields(spark, sf):
     rows = spark_fixture(spark, sf, "anchor_x").select(
@@ -473,14 +472,11 @@ def anchor_fields(spark, sf):
     return rows.select("page_id", "anchor_no", "a.href", "a.text", "a.rel")
 
 
-@query
+@named("decode_entities")
 def entity_text(spark, sf):
     return spark_fixture(spark, sf, "html_mix_x").select("page_id", decode_entities(F.col("html")).alias("text"))
 
 
-QUERIES["decode_entities"] = QUERIES.pop("entity_text")
-
-
 @query
 def article_title(spark, sf):
     rows = _pages(spark, sf).withColumn("doc_title", page_title(F.col("html")))
