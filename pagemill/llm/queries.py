@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe
+from pagemill.llm import bpe, packing
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,7 +32,16 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    # The rank file holds the vocabulary of byte_bpe_50k.json; the ids are the same.
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), end_id=1)
+    return packed.select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op5_packing": op5_packing,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
