@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, packing
+from pagemill.llm import bpe, minhash, packing
 
 
 def tokenizer_path(name: str) -> str:
@@ -23,7 +23,7 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     ranks = tokenizer_path("byte_bpe_multi_50k.tiktoken")
-    back = bpe.decode(bpe.encode(table(spark, folder, "documents"), ranks), ranks)
+    back = bpe.round_trip(table(spark, folder, "documents"), ranks)
     return back.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
@@ -40,8 +40,13 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_super_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
+    "op6_super_minhash": op6_super_minhash,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
