@@ -31,7 +31,7 @@ LETTER, NUMBER, OTHER, JOIN, LONE, SPACE, SHORT, LONG, BREAK = range(9)
 # one or two more letters of a contraction.
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOINED, IN_SPACES, CUT1, CUT2 = range(8)
 BLOCK = 64
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -359,6 +359,23 @@ def list_array(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat, kind))
 
 
+def _encoded(batch: pa.RecordBatch, ranks_path: str) -> pa.RecordBatch:
+    sizes = coder(ranks_path).sizes
+    ids = encode_texts(batch.column("text").to_pylist(), ranks_path)
+    starts = [np.cumsum(sizes[i], dtype=np.int32) - sizes[i] for i in ids]
+    columns = [batch.column("doc_id"), list_array(ids, pa.int32()), list_array(starts, pa.int32())]
+    return pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "starts"])
+
+
+def _decoded(batch: pa.RecordBatch, ranks_path: str) -> pa.RecordBatch:
+    """Every id's bytes laid at its offset; they follow each other, so this is a join."""
+    pieces, ids = coder(ranks_path).pieces, batch.column("ids")
+    at, flat = ids.offsets.to_pylist(), ids.values.to_numpy(zero_copy_only=False)
+    found = [b"".join(map(pieces.__getitem__, flat[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)]
+    columns = [*(batch.column(n) for n in batch.schema.names), pa.array(found, pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=[*batch.schema.names, "decoded"])
+
+
 def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """(doc_id, ids array<int>, starts array<int>) of every row of docs(doc_id, text).
 
@@ -369,37 +386,35 @@ def encode(docs: DataFrame, ranks_path: str) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sizes = coder(ranks_path).sizes
         for whole in batches:
             for batch in chunks(whole, "text", 1 << 20):
-                ids = encode_texts(batch.column("text").to_pylist(), ranks_path)
-                starts = [np.cumsum(sizes[i], dtype=np.int32) - sizes[i] for i in ids]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), list_array(ids, pa.int32()), list_array(starts, pa.int32())],
-                    names=["doc_id", "ids", "starts"],
-                )
+                yield _encoded(batch, ranks_path)
 
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
-    """encoded with the column decoded binary: the bytes of its ids, laid at their offsets.
+    """encoded with the column decoded binary: the bytes of its ids, joined at their offsets.
 
     Null ids decode to no bytes. The result of encode() gives back the text's UTF-8.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = coder(ranks_path).pieces
         for batch in batches:
-            ids = batch.column("ids")
-            at = ids.offsets.to_pylist()
-            flat = ids.values.to_numpy(zero_copy_only=False)
-            found = [b"".join(map(pieces.__getitem__, flat[a:b].tolist())) for a, b in zip(at, at[1:], strict=False)]
-            columns = [batch.column(n) for n in batch.schema.names]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(found, pa.binary())], names=[*batch.schema.names, "decoded"]
-            )
+            yield _decoded(batch, ranks_path)
 
     schema = encoded.drop("decoded").schema.add("decoded", "binary")
     return encoded.drop("decoded").mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, ranks_path: str) -> DataFrame:
+    """decode(encode(docs)) in one pass, a few texts at a time: ids need not leave the worker between."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in chunks(whole, "text", 1 << 19):
+                yield _decoded(_encoded(batch, ranks_path), ranks_path)
+
+    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    return rows.mapInArrow(run, "doc_id long, ids array<int>, starts array<int>, decoded binary")
