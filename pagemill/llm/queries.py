@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, minhash, packing
+from pagemill.llm import bpe, lines, minhash, packing
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,12 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.dedup_lines(table(spark, folder, "documents"), shortest=40, documents=5).select(
+        "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
+    )
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     # The rank file holds the vocabulary of byte_bpe_50k.json; the ids are the same.
     packed = packing.pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), end_id=1)
@@ -45,9 +51,30 @@ def op6_super_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_line_dedup": op3_line_dedup,
     "op5_packing": op5_packing,
     "op6_super_minhash": op6_super_minhash,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+# Letters and white space of the contract's classes, for SQL.
+LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+
+ORACLES: dict[str, str] = {
+    "op3_line_dedup": f"""
+WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+lined AS (
+  SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS pos FROM docs),
+keyed AS (
+  SELECT *, {LOWER.format(f"trim(line, {WHITE})")} AS key FROM lined),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM keyed WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5),
+marked AS (
+  SELECT k.*, coalesce(k.doc_id <> c.keeper, false) AS gone FROM keyed k LEFT JOIN common c USING (key))
+SELECT doc_id, count(*)::BIGINT AS n_lines, count(*) FILTER (gone)::BIGINT AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+}
