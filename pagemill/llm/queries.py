@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, lines, minhash, packing
+from pagemill.llm import bpe, lines, minhash, packing, quality
 
 
 def tokenizer_path(name: str) -> str:
@@ -38,6 +38,14 @@ def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = quality.fit_lines(docs, table(spark, folder, "labels"))
+    return quality.label_lines(docs, model).select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "content_share"
+    )
+
+
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
     # The rank file holds the vocabulary of byte_bpe_50k.json; the ids are the same.
     packed = packing.pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), end_id=1)
@@ -52,6 +60,7 @@ def op6_super_minhash(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
+    "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_super_minhash": op6_super_minhash,
     "op9_byte_bpe": op9_byte_bpe,
