@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, lines, minhash, packing, quality
+from pagemill.llm import bpe, lines, minhash, packing, quality, secrets
 
 
 def tokenizer_path(name: str) -> str:
@@ -58,11 +58,17 @@ def op6_super_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, folder, "documents"), words=2, percent=80)
 
 
+def op7_secret_scan(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    return secrets.find_secrets(docs, secrets.fit_tokens(docs)).drop("redacted")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
     "op6_super_minhash": op6_super_minhash,
+    "op7_secret_scan": op7_secret_scan,
     "op9_byte_bpe": op9_byte_bpe,
 }
 
