@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, lines, minhash, packing, quality, secrets
+from pagemill.llm import bpe, chat, licences, lines, minhash, packing, quality, secrets
 
 
 def tokenizer_path(name: str) -> str:
@@ -32,6 +32,27 @@ def op9_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# Notices by which documents name their licence.
+NOTICES = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
+    ("CC0-1.0", "This work is dedicated to the public domain under CC0 1.0."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
+    ("MIT", "Released under the MIT License."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("proprietary", "All rights reserved."),
+)
+
+
+def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
+    values = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES)
+    known = spark.sql(f"SELECT * FROM VALUES {values} AS t(licence, text)")
+    return licences.scan(table(spark, folder, "documents"), known)
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(table(spark, folder, "documents"), shortest=40, documents=5).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
@@ -73,6 +94,7 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_licence_scan": op1_licence_scan,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
@@ -86,7 +108,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
+
+
+def canonical_sql(text: str) -> str:
+    """licences.canonical for DuckDB."""
+    out = f"lower({text})"
+    for old, new in licences.SPELLINGS:
+        out = f"replace({out}, '{old}', '{new}')"
+    out = f"regexp_replace({out}, '{licences.COPYRIGHT_LINE}', '', 'g')"
+    out = f"regexp_replace({out}, '{licences.PUNCTUATION}', ' ', 'g')"
+    return f"trim(regexp_replace({out}, '{licences.BLANKS}', chr(10), 'g'), ' ' || chr(10))"
+
+
 ORACLES: dict[str, str] = {
+    "op1_licence_scan": f"""
+WITH known AS (
+  SELECT body, min(licence) AS licence FROM (
+    SELECT licence, replace({canonical_sql("text")}, chr(10), ' ') AS body
+    FROM (VALUES {", ".join(f"('{name}', '{text}')" for name, text in NOTICES)}) t(licence, text)) GROUP BY body),
+docs AS (SELECT doc_id, {canonical_sql("text")} AS body FROM documents),
+lines AS (SELECT doc_id, unnest(string_split(body, chr(10))) AS body FROM docs WHERE body <> ''),
+notices AS (
+  SELECT doc_id, string_agg(DISTINCT licence, ',' ORDER BY licence) AS notices, count(*) AS n
+  FROM lines JOIN known USING (body) GROUP BY doc_id),
+entire AS (
+  SELECT doc_id, min(licence) AS licence FROM docs JOIN known ON replace(docs.body, chr(10), ' ') = known.body GROUP BY doc_id)
+SELECT doc_id, licence, coalesce(notices, '') AS notices, coalesce(n, 0)::BIGINT AS n_notices
+FROM (SELECT DISTINCT doc_id FROM documents) LEFT JOIN notices USING (doc_id) LEFT JOIN entire USING (doc_id)
+""",
     "op3_line_dedup": f"""
 WITH docs AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
 lined AS (
