@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, licences, lines, minhash, packing, quality, secrets
+from pagemill.llm import bpe, chat, hnsw, licences, lines, minhash, packing, quality, secrets
 
 
 def tokenizer_path(name: str) -> str:
@@ -93,6 +93,11 @@ def op10_chat_format(spark: SparkSession, folder: str) -> DataFrame:
     return chat.read_back(chat.to_segments(turns)).drop("state", "final")
 
 
+def op8_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = table(spark, folder, "embeddings")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op3_line_dedup": op3_line_dedup,
@@ -100,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_packing": op5_packing,
     "op6_super_minhash": op6_super_minhash,
     "op7_secret_scan": op7_secret_scan,
+    "op8_hnsw": op8_hnsw,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_chat_format": op10_chat_format,
 }
