@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, hnsw, licences, lines, minhash, packing, quality, secrets
+from pagemill.llm import bpe, chat, extraction, hnsw, licences, lines, minhash, packing, quality, secrets
 
 
 def tokenizer_path(name: str) -> str:
@@ -53,6 +53,11 @@ def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licences.scan(table(spark, folder, "documents"), known)
 
 
+def op2_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    return extraction.extract(pages, extraction.fit_weights(pages))
+
+
 def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return lines.dedup_lines(table(spark, folder, "documents"), shortest=40, documents=5).select(
         "doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256")
@@ -100,6 +105,7 @@ def op8_hnsw(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
+    "op2_html_extraction": op2_html_extraction,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_packing": op5_packing,
