@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 4 << 20
 
@@ -35,6 +36,27 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def narrow(docs: DataFrame, carry: bool) -> DataFrame:
+    """doc_id and text of docs; with carry also row, a struct of all its columns but text.
+
+    An operator takes row through its pass over the texts, so that a stage gets its
+    table back without joining it again, whatever the columns are called.
+    """
+    rest = [F.struct(*(F.col(f"`{c}`") for c in docs.columns if c != "text")).alias("row")] if carry else []
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), *rest)
+
+
+def row_schema(rows: DataFrame) -> str:
+    """Schema text of the carried row, with a leading comma; empty without one."""
+    return f", row {rows.schema['row'].dataType.simpleString()}" if "row" in rows.columns else ""
+
+
+def unpacked(found: DataFrame, columns: list[str], text: str) -> DataFrame:
+    """A table with the given columns again, from a carried row and a text; n_chars follows the text."""
+    made = {"text": F.col(text), "n_chars": F.length(text).cast("long")}
+    return found.select(*((made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in columns))
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of batch with about limit bytes of column each; a longer row stands alone."""
     start = size = 0

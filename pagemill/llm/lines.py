@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import chunks
+from pagemill.llm.common import chunks, narrow, row_schema
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -60,15 +60,18 @@ def without_lines(docs: DataFrame, shortest: int) -> DataFrame:
                     n_lines.append(len(lines))
                     n_dropped.append(len(lines) - len(kept))
                     texts.append("\n".join(kept))
+                found = (pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string()))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id"), pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(texts, pa.string())],
-                    names=["doc_id", "n_lines", "n_dropped", "text"],
+                    [batch.column("doc_id"), *found, *map(batch.column, rest)],
+                    names=["doc_id", "n_lines", "n_dropped", "text", *rest],
                 )
 
-    return docs.select("doc_id", "text", "drop").mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string")
+    rest = [c for c in docs.columns if c == "row"]
+    rows = docs.select("doc_id", "text", "drop", *rest)
+    return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string" + row_schema(rows))
 
 
-def dedup_lines(docs: DataFrame, shortest: int = 40, documents: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, shortest: int = 40, documents: int = 5, carry: bool = False) -> DataFrame:
     """docs(doc_id, text) without its repeated lines: doc_id, n_lines, n_dropped, text.
 
     Lines are cut at line feeds; a null or empty text is one empty line and becomes
@@ -77,10 +80,11 @@ def dedup_lines(docs: DataFrame, shortest: int = 40, documents: int = 5) -> Data
     lose all their lines but those of the largest doc_id that holds them. Rows that
     share a doc_id count as one document and are treated alike, so the survivor keeps
     its lines in each of them. Rows with a null doc_id are not counted and lose
-    nothing. n_lines counts before dropping. Other columns are left out.
+    nothing. n_lines counts before dropping. Other columns are left
+    out; with carry they come along as row.
     """
-    texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    keyed = line_keys(texts.where("doc_id IS NOT NULL"), shortest)
+    texts = narrow(docs, carry)
+    keyed = line_keys(texts.where("doc_id IS NOT NULL").select("doc_id", "text"), shortest)
     pairs = keyed.select("doc_id", F.explode("keys").alias("key"))
     counts = pairs.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
     common = counts.where(F.col("n") >= documents).select("key", "keeper")

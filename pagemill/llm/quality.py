@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import crf
-from pagemill.llm.common import chunks
+from pagemill.llm.common import chunks, narrow, row_schema
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -128,7 +128,9 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: i
     return crf.fit(sequences, tags, N_FEATURES, 2)
 
 
-def label_lines(docs: DataFrame, model: crf.Model, least_content: float = LEAST_CONTENT) -> DataFrame:
+def label_lines(
+    docs: DataFrame, model: crf.Model, least_content: float = LEAST_CONTENT, carry: bool = False
+) -> DataFrame:
     """Statistics, line tags and verdict of every row of docs(doc_id, text).
 
     doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
@@ -136,7 +138,7 @@ def label_lines(docs: DataFrame, model: crf.Model, least_content: float = LEAST_
     without ASCII white space; a null text has none, its one line is empty. A text
     without visible lines has the share 0. Ties between tags are content under the
     empty model. Null ids are kept, repeated rows give repeated rows, other columns
-    are left out.
+    are left out; with carry they come along as row, and text as it is.
     """
     blank = not model.weights.any()
 
@@ -162,16 +164,19 @@ def label_lines(docs: DataFrame, model: crf.Model, least_content: float = LEAST_
                         pa.array(shares, pa.float64()),
                         pa.array([t == 1 for t in tags], pa.list_(pa.bool_())),
                         pa.array(kept, pa.bool_()),
+                        *((batch.column("text"), batch.column("row")) if carry else ()),
                     ],
                     names=[
                         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
-                        "base_failed", "content_share", "content", "kept",
+                        "base_failed", "content_share", "content", "kept", *(("text", "row") if carry else ()),
                     ],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = narrow(docs, carry)
     return rows.mapInArrow(
         run,
         "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, "
-        "base_failed boolean, content_share double, content array<boolean>, kept boolean",
+        "base_failed boolean, content_share double, content array<boolean>, kept boolean"
+        + (", text string" if carry else "")
+        + row_schema(rows),
     )
