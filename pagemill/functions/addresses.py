@@ -67,10 +67,15 @@ def canonical_ipv4(host: Column) -> Column:
     parts = F.split(bare, r"\.")
 
     def number(p: Column) -> Column:
+        """Value of a part; null when it is no number or larger than any address."""
+
+        def based(digits: Column, base: int, most: int) -> Column:
+            short = F.regexp_replace(digits, "^0+", "")
+            return F.when(short == "", F.lit("0")).when(F.length(short) <= most, F.conv(short, base, 10))
+
         text = (
-            F.when(p.rlike("^0x$"), F.lit("0"))
-            .when(p.rlike("^0x[0-9a-f]+$"), F.conv(F.substring(p, 3, 64), 16, 10))
-            .when(p.rlike("^0[0-7]+$"), F.conv(p, 8, 10))
+            F.when(p.rlike("^0x[0-9a-f]*$"), based(F.substring(p, F.lit(3), F.length(p)), 16, 8))
+            .when(p.rlike("^0[0-7]+$"), based(p, 8, 11))
             .when(p.rlike("^(?:0|[1-9][0-9]*)$"), p)
         )
         return text.try_cast("bigint")

@@ -53,14 +53,18 @@ FREQUENT = {"amp;": "&", "nbsp;": "\u00a0", "quot;": '"', "lt;": "<", "gt;": ">"
 
 
 @lru_cache(maxsize=None)
-def _reference_table() -> str:
-    """All named references as lines `name=text`. One string literal keeps the
-    plan small; a map literal of this size would be shipped with every task."""
-    return "\n" + "".join(f"{name}={text}\n" for name, text in html5.items() if "\n" not in text)
+def _reference_tables() -> tuple[str, ...]:
+    """Named references as lines `name=text`, one table per first letter from A to z.
+    Few string literals keep the plan small, and a search reads one short table."""
+    tables = {chr(c): ["\n"] for c in range(ord("A"), ord("z") + 1)}
+    for name, text in html5.items():
+        if "\n" not in text:
+            tables[name[0]].append(f"{name}={text}\n")
+    return tuple("".join(lines) for lines in tables.values())
 
 
 def _named(name: Column) -> Column:
-    """Text of a named reference, null when unknown."""
+    """Text of a named reference (letters and digits, perhaps with a semicolon), null when unknown."""
 
     def search(v: Column) -> Column:
         return F.when(
@@ -68,16 +72,26 @@ def _named(name: Column) -> Column:
             F.substring_index(F.call_function("substring_index", v["table"], v["key"], F.lit(-1)), "\n", 1),
         )
 
+    tables = F.array(*[F.lit(t) for t in _reference_tables()])
     both = F.named_struct(
-        F.lit("table"), F.lit(_reference_table()), F.lit("key"), F.concat(F.lit("\n"), name, F.lit("="))
+        F.lit("table"),
+        F.try_element_at(tables, F.ascii(name) - (ord("A") - 1)),
+        F.lit("key"),
+        F.concat(F.lit("\n"), name, F.lit("=")),
     )
-    found = let(both, search)
+    found = F.when(name.rlike("^[A-Za-z]"), let(both, search))
     frequent = None
     for key, text in FREQUENT.items():
         frequent = F.when(name == key, F.lit(text)) if frequent is None else frequent.when(name == key, F.lit(text))
     return frequent.when(name == "NewLine;", F.lit("\n")).otherwise(found)
 
 
+@lru_cache(maxsize=None)
+def _old_names() -> str:
+    """Pattern of the names that may stand without a semicolon, longer ones first."""
+    return "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+
 # Numeric references 128 to 159 mean the Windows-1252 characters: one character
 # per number, the number's own where that code page has none.
 _REMAPPED = "".join(
@@ -98,19 +112,33 @@ def _code_point(number: Column) -> Column:
 def decode_entities(col: Column, in_attribute: bool = False) -> Column:
     """Character references to characters; unknown names stay as written.
 
-    Text also accepts the old names that may stand without a semicolon;
-    attribute values do not, so that `?a=1&copy=2` keeps its query.
+    Text also accepts the old names that may stand without a semicolon, before
+    anything; attribute values accept them only where no letter, digit or equals
+    sign follows, so that `?a=1&copy=2` keeps its query. Numbers of any length
+    are read; those beyond Unicode give the replacement character.
     """
-    end = ";" if in_attribute else ";?"
-    reference = rf"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][a-zA-Z0-9]*{end})"
+    bare = f"(?:{_old_names()})" + (r"(?![a-zA-Z0-9=])" if in_attribute else "")
+    reference = rf"&(?:#[xX][0-9a-fA-F]+;?|#[0-9]+;?|[a-zA-Z][a-zA-Z0-9]*;|{bare})"
+
+    def numeric(piece: Column) -> Column:
+        # Leading zeros apart, no character needs more than 6 hex or 7 decimal digits.
+        digits = F.regexp_extract(piece, "^&#[xX]?0*([0-9a-fA-F]*)", 1)
+        number = F.when(piece.rlike("^&#[xX]"), F.when(F.length(digits) <= 6, F.conv(digits, 16, 10))).otherwise(
+            F.when(F.length(digits) <= 7, digits)
+        )
+        return let(number.try_cast("bigint"), _code_point)
+
+    def old(piece: Column) -> Column:
+        """The longest old name that an unknown name starts with, then the rest as written."""
+        name = F.regexp_extract(piece, f"^&({_old_names()})", 1)
+        return F.when(name != "", F.concat(_named(name), F.substring(piece, F.length(name) + 2, F.length(piece))))
 
     def one(piece: Column) -> Column:
-        digits = F.regexp_extract(piece, "[0-9a-fA-F]+", 0)
-        number = F.when(piece.rlike("^&#[xX]"), F.conv(digits, 16, 10)).otherwise(digits)
+        known = _named(F.substring(piece, F.lit(2), F.length(piece)))
         return (
             F.when(~piece.startswith("&"), piece)
-            .when(piece.rlike("^&#[xX]?[0-9a-fA-F]"), let(number.try_cast("bigint"), _code_point))
-            .otherwise(F.coalesce(let(F.substring(piece, 2, 64), _named), piece))
+            .when(piece.rlike("^&#[xX]?[0-9a-fA-F]"), numeric(piece))
+            .otherwise(F.coalesce(known, piece if in_attribute else old(piece), piece))
         )
 
     def whole(text: Column) -> Column:

@@ -115,7 +115,11 @@ SELECT event_id AS id, CASE event_id % 21
   WHEN 19 THEN 'http://300.1.1.' || {b} || '/'
   ELSE 'http://localhost/' || {e} || '.docx' END AS url
 FROM {{events}}
-UNION ALL SELECT 1000000000 + page_id AS id, url FROM {{pages}}"""
+UNION ALL SELECT 1000000000 + page_id AS id, url FROM {{pages}}
+UNION ALL SELECT 2000000000 + page_id AS id, CASE page_id % 6
+  WHEN 0 THEN 'http://0xfffffffffffffffffffff/' WHEN 1 THEN 'http://07777777777777777777777777777/'
+  WHEN 2 THEN 'http://99999999999999999999999999/' WHEN 3 THEN 'http://0x00000000000000000000007f.1/'
+  WHEN 4 THEN 'http://00000000000000000000000000177.1/' ELSE 'http://1.2.0xffffffffffffffffffff/' END AS url FROM {{pages}}"""
 
 
 def allowed_host(d: Dialect) -> str:
@@ -155,14 +159,15 @@ def href_x(d: Dialect) -> str:
 SELECT event_id AS id,
   CASE event_id % 3 WHEN 0 THEN 'http://Shop.Example.com/a/b/c.html?x=1#top' WHEN 1 THEN 'https://shop.example.com:8443/'
     ELSE 'http://news.example.org' END AS base,
-  CASE event_id % 20
+  CASE event_id % 22
     WHEN 0 THEN 'http://shop.example.com/abs/' || {e} WHEN 1 THEN 'https://SHOP.example.com:444/p?a=1&b=' || {e}
     WHEN 2 THEN 'http://other.example.net/' || {e} WHEN 3 THEN '//shop.example.com/p/' || {e}
     WHEN 4 THEN '?q=' || {e} WHEN 5 THEN '#f' || {e} WHEN 6 THEN '../a/./b' || {e} WHEN 7 THEN 'mailto:x@example.com'
     WHEN 8 THEN 'JavaScript:go(' || {e} || ')' WHEN 9 THEN ' data:text/plain,x' WHEN 10 THEN 'tel:' || {e}
     WHEN 11 THEN '  ' WHEN 12 THEN '/' || {e} || '/für.html' WHEN 13 THEN 'rel ative/' || {e}
     WHEN 14 THEN '/../../x/../y' || {e} || '/.' WHEN 15 THEN 'VBScript:x' WHEN 16 THEN 'http://news.example.org:80'
-    WHEN 17 THEN 'sub/..' WHEN 18 THEN '//news.example.org/ü?ü' ELSE '/the,' || {e} || '.' END AS href,
+    WHEN 17 THEN 'sub/..' WHEN 18 THEN '//news.example.org/ü?ü'
+    WHEN 20 THEN 'http://0xfffffffffffffffffffff/' || {e} WHEN 21 THEN 'http://shop.example.com/&#x11111111111111111111;' || {e} ELSE '/the,' || {e} || '.' END AS href,
   CASE event_id % 4 WHEN 1 THEN '' WHEN 2 THEN 'nofollow' WHEN 3 THEN 'noopener me' END AS rel
 FROM {{events}}"""
 
@@ -234,7 +239,7 @@ SELECT doc_id AS page_id, '<html><head><title>Doc ' || {i} || '</title></head><b
   WHEN 8 THEN '<h2>' || t || '</h2><p>x</p>'
   WHEN 9 THEN '<p># no</p><p>- no</p><p>+ no</p><p>1. no</p><p>&gt; no</p><p>== no</p><p>~~~ no</p><p>a*b_c[d]`e' || t || '</p>'
   WHEN 10 THEN '<!-- c --><style>p{{{{}}}}</style><script>if (a<b) x("<p>")</script><p>' || t || '</p><!-- open'
-  WHEN 11 THEN '<p>&#233;&#x1F600; &copy;&nbsp;&middot; &lt;b&gt; &unknown; &#0; &#128; ' || t || '</p>'
+  WHEN 11 THEN '<p>&#233;&#x1F600; &copy;&nbsp;&middot; &lt;b&gt; &unknown; &#0; &#128; &#x11111111111111111111; &#99999999999999999999; &#x00000000000000000041; ' || t || '</p>'
   WHEN 12 THEN '<div>' || t || '<br> - a<br>2. b<br></div>'
   WHEN 13 THEN '<p>  lead ' || replace(t, ' ', '  ') || '  </p>'
   WHEN 14 THEN '<ul><li>' || t || '<blockquote>q</blockquote></ul>'
