@@ -24,7 +24,10 @@ TASK_DONE, TASK_OPEN = "\x15", "\x16"
 ROW, CELL, HEAD_CELL, TABLE_OPEN, TABLE_CLOSE = "\x19", "\x1a", "\x1b", "\x1c", "\x1d"
 BLOCK, BODY = "\x1e", "\x1f"
 
-WORD = r"[^ \t\r\n\f\x{A0}]+"
+# Scripts that are written without spaces between words.
+UNSPACED = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+# A letter of these counts as a word; otherwise words are runs between spaces.
+WORD = rf"[{UNSPACED}]|[^ \t\r\n\f\x{{A0}}{UNSPACED}]+"
 
 # Inline elements, the marks that open and close them, and the
 # Markdown written on both sides.

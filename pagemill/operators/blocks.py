@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pagemill.functions import inline
 from pagemill.functions.markup import raw_attribute, tag_of
 from pagemill.functions.reuse import reuse
-from pagemill.operators.layout import spread
 
 LIST_TAGS = ("ul", "ol", "menu", "dir")
 
@@ -66,19 +65,15 @@ def _features() -> dict[str, Column]:
     }
 
 
-def page_blocks(
-    pages: DataFrame, base: Column | None = None, carry: tuple[str, ...] = (), placed: bool = False
-) -> DataFrame:
+def page_blocks(pages: DataFrame, base: Column | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per block that shows something or shapes the page.
 
     `base` is a split URL (see `functions.urls.url_parts`) that makes links
     absolute. The columns in `carry` ride on block 0 only, as struct `page`.
-    `placed` says that the caller has already spread the pages.
+    Pages are cut where they are read; give an input of few splits more files.
     """
     wanted = ["page_id", "html", *[c for c in carry if c not in ("page_id", "html")]]
     source = pages.select(*wanted, *([] if base is None else [base.alias("_base")]))
-    if not placed:
-        source = spread(source, "page_id")
     page = F.struct(*[F.col(c) for c in carry]) if carry else F.struct(F.lit(1).alias("_none"))
     # The outer form: the plain one would have Spark cut every page twice, first
     # in a filter for pages without blocks. Every page has at least one.

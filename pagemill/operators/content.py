@@ -13,7 +13,7 @@ DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 HTML = ("text/html", "application/xhtml+xml")
 OCTETS = "application/octet-stream"
 # First bytes of a PDF.
-PDF_MAGIC = bytes.fromhex("255044462d")
+PDF_MAGIC = b"%PDF-"
 MAX_BYTES = 50 * 1024 * 1024
 
 
@@ -37,8 +37,13 @@ def classify(content_type: Column) -> Column:
     )
 
 
+def first_bytes(body: Column) -> Column:
+    """As much of a body as its kind depends on."""
+    return F.substring(body, 1, len(PDF_MAGIC))
+
+
 def has_pdf_magic(body: Column) -> Column:
-    return F.coalesce(F.substring(body, 1, len(PDF_MAGIC)) == F.lit(PDF_MAGIC), F.lit(False))
+    return F.coalesce(first_bytes(body) == F.lit(PDF_MAGIC), F.lit(False))
 
 
 def refine_by_extension(content_type: Column, extension: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -23,17 +25,31 @@ def parse_cidrs(cidrs: DataFrame) -> DataFrame:
     )
 
 
+def _ranges(cidrs: tuple[str, ...]) -> list[tuple[int, int]]:
+    """First and last address of the well-formed entries of a configuration list."""
+    out = []
+    for cidr in cidrs:
+        m = re.fullmatch(r"([0-9]{1,3}(?:\.[0-9]{1,3}){3})/([0-9]{1,2})", cidr.strip(), re.ASCII)
+        if m and int(m[2]) <= 32 and all(int(o) <= 255 for o in m[1].split(".")):
+            size = 1 << 32 - int(m[2])
+            low = sum(int(o) << s for o, s in zip(m[1].split("."), (24, 16, 8, 0), strict=True)) // size * size
+            out.append((low, low + size - 1))
+    return out
+
+
 def _listed_range(address: Column, cidrs: tuple[str, ...]) -> Column:
     """Is the IPv4 address inside a range of a configuration list?"""
-    if not cidrs:
+    ranges = _ranges(cidrs)
+    if not ranges:
         return F.lit(False)
-    ranges = F.filter(
-        F.transform(F.array(*[F.lit(c) for c in cidrs]), parse_cidr), lambda r: r.isNotNull()
-    )
-    return F.coalesce(
-        let(ip_to_int(address), lambda a: F.exists(ranges, lambda r: a.between(r["lo"], r["hi"]))),
-        F.lit(False),
-    )
+
+    def inside(value: Column) -> Column:
+        hit = F.lit(False)
+        for low, high in ranges:
+            hit = hit | value.between(low, high)
+        return hit
+
+    return F.coalesce(let(ip_to_int(address), inside), F.lit(False))
 
 
 def protocol_error(parts: Column) -> Column:
@@ -78,16 +94,18 @@ def allowed_by_range(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
     IPv4 range of `cidrs(cidr)`, however long that list is.
 
     An equi-join per prefix: an address lies in a range of length b exactly
-    where its first b bits equal those of the range. Addresses are made
-    distinct first; there are fewer than 52 million private ones.
+    where its first b bits equal those of the range. Only lengths that occur
+    are looked up. Addresses are made distinct first; there are fewer than 52
+    million private ones.
     """
     ranges = parse_cidrs(cidrs).select("bits", "lo").distinct()
+    lengths = ranges.agg(F.collect_set("bits")).scalar()  # 33 at most
     keys = (
         addresses.select("addr")
         .distinct()
         .select("addr", ip_to_int(F.col("addr")).alias("value"))
         .filter("value IS NOT NULL")
-        .select("addr", "value", F.explode(F.sequence(F.lit(0), F.lit(32))).alias("bits"))
+        .select("addr", "value", F.explode(lengths).alias("bits"))
         .select(
             "addr",
             "bits",
@@ -105,13 +123,6 @@ def address_verdicts(addresses: DataFrame, cidrs: DataFrame) -> DataFrame:
     return marked.withColumn("blocked", F.col("private") & ~F.col("in_range")).drop("in_range")
 
 
-def blocked_hosts(dns: DataFrame, cidrs: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct hosts of `dns(host, addr)` with an address that is private and
-    not allowed. Only these few rows travel on."""
-    bad = is_private(F.col("addr")) & ~_listed_range(F.col("addr"), cidrs)
-    return dns.filter(bad).select(F.lower("host").alias("host")).distinct()
-
-
 def _named_host(p: Column, hosts: tuple[str, ...]) -> Column:
     """Host of a fetchable URL when only a look-up can tell its address."""
     listed = p["host"].isin(*[h.lower() for h in hosts]) if hosts else F.lit(False)

@@ -2,42 +2,34 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Below this estimated size an input has few splits, and hashing it first gives
-# every core a share. Larger inputs have splits enough and stay where they are.
-SPREAD_BYTES = 2 * 1024 ** 3
-SALTS = 16
 
+def salt_count() -> int:
+    """Tasks that may share one hot key: as many as a shuffle has partitions."""
+    return max(1, int(SparkSession.active().conf.get("spark.sql.shuffle.partitions")))
 
-def estimated_bytes(df: DataFrame) -> int:
-    """Spark's size estimate from file sizes; runs no job."""
-    return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
 
+def all_salts() -> Column:
+    """Array of every salt, to write a key once per salt."""
+    return F.sequence(F.lit(0), F.lit(salt_count() - 1))
 
-def spread(df: DataFrame, *keys: str, always: bool = False) -> DataFrame:
-    """Hash a small input by its key before heavy per-row work; a large one only
-    where the caller needs all rows of a key together from the start."""
-    if not df.isStreaming and estimated_bytes(df) <= SPREAD_BYTES:
-        return df.repartition(df.sparkSession.sparkContext.defaultParallelism, *keys)
-    return df.repartition(*keys) if always else df
 
-
-def mark_known(rows: DataFrame, known: DataFrame, on: str, flag: str, salts: int = SALTS) -> DataFrame:
+def mark_known(rows: DataFrame, known: DataFrame, on: str, flag: str) -> DataFrame:
     """Add boolean `flag`: is `on` among the keys of `known`?
 
     One key may hold a large part of `rows`, so each known key is written once
-    per salt and every row draws a salt: a hot key is shared by `salts` tasks.
+    per salt and every row draws a salt by its place, whatever it holds: a hot key
+    is shared by all tasks, even where its rows are equal. Any salt finds its key,
+    so a row that draws another one when its task runs again gets the same flag.
     Where Spark's own size check finds `known` small it broadcasts it and
     `rows` do not move.
     """
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in rows.columns]), F.lit(salts)).cast("int")
-    keys = known.select(on).distinct().select(
-        on, F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"), F.lit(True).alias(flag)
-    )
+    keys = known.select(on).distinct().select(on, F.explode(all_salts()).alias("_salt"), F.lit(True).alias(flag))
+    salt = F.pmod(F.monotonically_increasing_id(), F.lit(salt_count())).cast("int")
     return (
         rows.withColumn("_salt", salt)
         .join(keys, [on, "_salt"], "left")
@@ -47,11 +39,8 @@ def mark_known(rows: DataFrame, known: DataFrame, on: str, flag: str, salts: int
 
 
 def shared_folder(spark: SparkSession, prefix: str) -> str:
-    """A new folder name in the cluster's shared folder; a local temporary one
-    only where none is configured, as in tests."""
-    import uuid
-
+    """A new folder name in the storage that the cluster names in spark.checkpoint.dir."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="pagemill-")
+        raise ValueError("name a target and a checkpoint, or set spark.checkpoint.dir to shared storage")
     return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"

@@ -1,8 +1,9 @@
 """Request limits over a log `(event_id, key, ts)`.
 
 One key may send a large part of all requests. Counts combine before the
-shuffle; the row that reaches the limit is found with a ranked filter, which
-Spark applies in every map task first; joins back to the log are salted.
+shuffle. The request that reaches a limit is found in two steps, whatever the
+limit: counts per slice of time name the slice that holds it, and only the
+requests of that slice are ranked. Joins back to the log are salted.
 """
 
 from __future__ import annotations
@@ -11,10 +12,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.operators.layout import SALTS
+from pagemill.operators.layout import all_salts, salt_count
 
 # Default policy.
 REQUESTS, DURATION, BLOCK = 60, "1 minute", "5 minutes"
+# Parts of a window that are counted apart.
+SLICES = 256
 
 
 def _span(text: str) -> Column:
@@ -22,11 +25,11 @@ def _span(text: str) -> Column:
 
 
 def _salted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(SALTS)).cast("int"))
+    return rows.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salt_count())).cast("int"))
 
 
 def _per_salt(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])))
+    return rows.withColumn("_salt", F.explode(all_salts()))
 
 
 def with_window(log: DataFrame, duration: str = DURATION) -> DataFrame:
@@ -40,12 +43,20 @@ def request_counts(log: DataFrame, duration: str = DURATION) -> DataFrame:
 
 def nth_request(log: DataFrame, n: int, duration: str = DURATION) -> DataFrame:
     """The n-th request of each key and window that has so many."""
+    place = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))
+    end = F.unix_micros((F.col("window_start") + _span(duration)).cast("timestamp"))
+    width = end - F.unix_micros(F.col("window_start").cast("timestamp"))
+    rows = with_window(log, duration).withColumn("_slice", F.floor(place * SLICES / width).cast("int"))
+    counts = rows.groupBy("key", "window_start", "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy("key", "window_start").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    holds = counts.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
+    near = rows.join(holds.drop("_n"), ["key", "window_start", "_slice"])
     order = W.partitionBy("key", "window_start").orderBy("ts", "event_id")
     return (
-        with_window(log, duration)
-        .withColumn("nth", F.row_number().over(order))
-        .filter(F.col("nth") == n)
-        .drop("nth")
+        near.withColumn("_nth", F.row_number().over(order) + F.col("_before"))
+        .filter(F.col("_nth") == n)
+        .select(*log.columns, "window_start")
     )
 
 

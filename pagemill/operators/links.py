@@ -13,7 +13,6 @@ from pagemill.functions.markup import _ATTRS, ANCHOR_REGEX, plain_text, raw_attr
 from pagemill.functions.reuse import reuse
 from pagemill.functions.text import decode_entities, let, web_trim
 from pagemill.functions.urls import is_parsable, render_url, resolve_text, url_parts
-from pagemill.operators.layout import spread
 
 # How an href starts that names no other page.
 SKIPPED_PREFIXES = ("#", "javascript:", "data:", "vbscript:", "mailto:")
@@ -81,12 +80,11 @@ def _base(url: str) -> Column:
     return url_parts(F.col(url))
 
 
-def page_links(pages: DataFrame, url: str = "url", placed: bool = False) -> DataFrame:
+def page_links(pages: DataFrame, url: str = "url") -> DataFrame:
     """Add `links`: same-host links over the whole page, in document order,
     duplicates kept. `url` names the column with the final URL of the page."""
     return (
-        (pages if placed else spread(pages, "page_id"))
-        .withColumn("_base", _base(url))
+        pages.withColumn("_base", _base(url))
         .withColumn("links", F.coalesce(_links("html", "_base"), F.array().cast(LINK_TYPE)))
         .drop("_base")
     )

@@ -82,8 +82,7 @@ def to_markdown(
     base: Column | None = None,
     carry: tuple[str, ...] = (),
     main_content: bool = True,
-    placed: bool = False,
 ) -> DataFrame:
     """Markdown of every page in `pages(page_id, html, ...)`."""
-    blocks = with_structure(page_blocks(pages, base, carry, placed))
+    blocks = with_structure(page_blocks(pages, base, carry))
     return assemble(with_keep(blocks) if main_content else keep_all(blocks))

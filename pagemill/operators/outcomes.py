@@ -13,11 +13,11 @@ from pagemill.operators.content import (
     MAX_BYTES,
     classify,
     document_error,
+    first_bytes,
     refined_type,
     unsupported_error,
 )
 from pagemill.operators.guard import parts_error, redirect_error, resolved_error, with_lookups
-from pagemill.operators.layout import spread
 from pagemill.operators.links import LINK_TYPE, page_links
 from pagemill.operators.markdown import to_markdown
 from pagemill.operators.select import select_content
@@ -52,12 +52,12 @@ def _judgement(cidrs: tuple[str, ...], hosts: tuple[str, ...], cap: int, decoded
             resolved_error(parts_error(v["u"], cidrs, hosts), F.col("url_private")).alias("guard_error"),
             redirect_error(final_error, url, final_url).alias("redirect_error"),
             let(
-                refined_type(F.col("content_type"), path_extension(v["u"]), F.col("body")),
+                refined_type(F.col("content_type"), path_extension(v["u"]), F.col("_head")),
                 lambda m: F.struct(m.alias("name"), classify(m).alias("category")),
             ).alias("media"),
             F.col("fetch_error").alias("fetch_error"),
             F.coalesce("status", F.lit(0)).alias("status"),
-            F.octet_length("body").alias("size"),
+            F.col("_size").alias("size"),
             has_text.alias("has_text"),
         )
 
@@ -112,7 +112,10 @@ def outcomes(
     """
     decoded = tuple(c for c in ("decoded_html", "decoded_markdown") if c in crawl.columns)
     cidrs, hosts = tuple(cidrs), tuple(hosts)
-    rows = with_lookups(crawl, dns, ("url", "final_url"), cidrs, hosts)
+    # Of a body only its size and first bytes are looked at; they are taken in the
+    # scan, so that no body meets the look-ups unless the caller wants it after.
+    narrow = crawl.withColumn("_size", F.octet_length("body")).withColumn("_head", first_bytes(F.col("body")))
+    rows = with_lookups(narrow, dns, ("url", "final_url"), cidrs, hosts)
     kept = [c for c in crawl.columns if c != "status"]
     return rows.select(*kept, _judgement(cidrs, hosts, cap, decoded).alias("_verdict")).select(*kept, "_verdict.*")
 
@@ -134,8 +137,7 @@ def page_results(judged: DataFrame) -> DataFrame:
     carry = ("url", "doc_title", "links")
     pages = done.filter(F.col("category") == "html").withColumn("url", F.coalesce("final_url", "url"))
     wanted = ["page_id", "url", "html"] + (["selector"] if "selector" in judged.columns else [])
-    pages = spread(pages.select(*wanted), "page_id").withColumn("doc_title", _title())
-    pages = page_links(pages, "url", placed=True)
+    pages = page_links(pages.select(*wanted).withColumn("doc_title", _title()), "url")
 
     def finish(rows: DataFrame, title: Column) -> DataFrame:
         return rows.select(
@@ -149,7 +151,7 @@ def page_results(judged: DataFrame) -> DataFrame:
 
     read = pages.filter(F.col("selector").isNull()) if "selector" in judged.columns else pages
     out = finish(
-        to_markdown(read, base=_base(), carry=carry, placed=True),
+        to_markdown(read, base=_base(), carry=carry),
         F.coalesce("article_title", "page.doc_title"),
     )
     if "selector" in judged.columns:

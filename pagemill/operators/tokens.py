@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.markup import BLOCK_TAGS, kind_of, tag_of, tokens_of
 from pagemill.operators.blocks import LIST_TAGS
-from pagemill.operators.layout import spread
 
 
 def tokens(pages: DataFrame, *carry: str) -> DataFrame:
@@ -17,7 +16,7 @@ def tokens(pages: DataFrame, *carry: str) -> DataFrame:
     Whole pages are hashed by their key before they are cut: the windows over
     tokens then need no further shuffle, and a page is smaller than its tokens.
     """
-    source = spread(pages.select("page_id", "html", *carry), "page_id", always=True)
+    source = pages.select("page_id", "html", *carry).repartition("page_id")
     rows = source.select("page_id", *carry, F.posexplode_outer(tokens_of(F.col("html"))).alias("pos", "raw"))
     rows = rows.filter(F.col("raw").isNotNull())
     rows = rows.withColumn("tag", tag_of(F.col("raw")))

@@ -247,6 +247,14 @@ SELECT doc_id AS page_id, '<html><head><title>Doc ' || {i} || '</title></head><b
 FROM (SELECT doc_id, replace(replace(replace(text, '<', '('), '>', ')'), '&', '+') AS t FROM {{documents}}) q"""
 
 
+def unspaced_x(d: Dialect) -> str:
+    """Pages in scripts that put no spaces between words, beside Latin ones."""
+    return """
+SELECT -1 - page_id AS page_id, '<nav><a href="/a">首页</a> <a href="/b">新闻</a></nav><p>' || repeat('磨坊在两条河的交汇处。', CAST(page_id % 9 AS INT)) ||
+  '</p><p>a few plain words ' || CAST(page_id AS STRING) || '</p><p>' || repeat('水車とカタカナ x ', CAST(page_id % 4 AS INT)) || repeat('ภาษาไทย', CAST(page_id % 3 AS INT)) ||
+  '</p>' AS html FROM {pages}"""
+
+
 def select_x(d: Dialect) -> str:
     return """
 SELECT page_id, html, CASE page_id % 9 WHEN 0 THEN 'h1' WHEN 1 THEN 'div.ad' WHEN 2 THEN '.ad' WHEN 3 THEN 'nav a'
@@ -283,7 +291,7 @@ FIXTURES = {
     f.__name__: f
     for f in (
         crawl_x, addr_x, url_x, allowed_host, cidr_x, dns_x, href_x, anchor_x, html_list_x,
-        html_table_x, html_mix_x, select_x, file_x, flag_x, request_log,
+        html_table_x, html_mix_x, unspaced_x, select_x, file_x, flag_x, request_log,
     )
 }
 

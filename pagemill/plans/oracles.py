@@ -249,6 +249,11 @@ ORACLES["resolve_kind"] = f"""SELECT path, CASE WHEN {_EXT} = 'docx' THEN 'docx'
 ORACLES["intake_limits"] = f"""SELECT path, length, CASE WHEN length > {INTAKE_CAP} THEN 413 WHEN {_EXT} NOT IN ('pdf', 'docx') THEN 415 END AS status,
   CASE WHEN length > {INTAKE_CAP} THEN 'File too large (max {INTAKE_CAP / 1048576:g}MB)' WHEN {_EXT} NOT IN ('pdf', 'docx') THEN 'Unsupported file type' END AS error
 FROM ({duck_fixture('file_x')}) f"""
+ORACLES["doc_intake"] = f"""WITH f AS (SELECT *, regexp_extract(path, '[^/]*$') AS url, {_EXT} AS ext, hex(content)[1:10] = '255044462D' AS pdf
+  FROM ({duck_fixture('file_x')}) x), j AS (SELECT *, CASE WHEN length > {INTAKE_CAP} THEN 1 WHEN ext NOT IN ('pdf', 'docx') THEN 2
+  WHEN ext = 'pdf' AND NOT pdf THEN 3 ELSE 0 END AS fault FROM f)
+SELECT url, length, CASE WHEN fault = 0 THEN ext END AS kind, CASE fault WHEN 1 THEN 413 WHEN 2 THEN 415 WHEN 3 THEN 415 END AS status,
+  CASE fault WHEN 1 THEN 'File too large (max {INTAKE_CAP / 1048576:g}MB)' WHEN 2 THEN 'Unsupported file type' WHEN 3 THEN 'File type mismatch' END AS error FROM j"""
 _STATUS_ERR = (
     "CASE WHEN status NOT BETWEEN 200 AND 299 THEN 'Failed to process ' || upper(category) || ': ' || upper(category) || "
     "' fetch failed with status ' || CAST(status AS VARCHAR) END"
@@ -456,7 +461,8 @@ def block_ctes(source: str, base: bool = False) -> str:
     WHEN tag = 'input' AND lower({attr('type')}) = 'checkbox' THEN CASE WHEN {attr('checked')} IS NULL THEN chr(22) ELSE chr(21) END
     ELSE '' END"""
     text = f"CASE WHEN in_head THEN '' WHEN kind = 'text' THEN {decoded('raw')} WHEN tag = 'br' OR cellmark THEN ' ' ELSE '' END"
-    words = r"len(regexp_extract_all({0}, '[^ \t\r\n\f\x{{A0}}]+'))"
+    unspaced = r"\p{{Han}}\p{{Hiragana}}\p{{Katakana}}\p{{Thai}}\p{{Lao}}\p{{Khmer}}\p{{Myanmar}}"
+    words = rf"len(regexp_extract_all({{0}}, '[{unspaced}]|[^ \t\r\n\f\x{{{{A0}}}}{unspaced}]+'))"
 
     def span(s: str, o: int, c: int, mark: str) -> str:
         ho, hc = f"\\x{o:02X}", f"\\x{c:02X}"
@@ -565,8 +571,9 @@ d AS (SELECT page_id, pos, {_DEPTH.format(f'tag IN ({_LISTS})')} AS l, {_DEPTH.f
 SELECT page_id, pos, CAST(l - least(0, min(l) OVER w) AS BIGINT) AS list_depth, CAST(q - least(0, min(q) OVER w) AS BIGINT) AS quote_depth FROM d
 WINDOW w AS (PARTITION BY page_id ORDER BY pos)"""
 PAGE_BLOCKS = block_ctes(_PAGES, base=True)
-ORACLES["block_features"] = f"WITH {PAGE_BLOCKS} SELECT page_id, {NUMBERED} AS block_no, words, link_words FROM shaped WHERE shows"
-ORACLES["main_content_blocks"] = f"WITH {PAGE_BLOCKS}, {KEEP} SELECT page_id, {NUMBERED} AS block_no, main AS keep FROM chosen"
+ALL_SCRIPTS = block_ctes(f"SELECT page_id, html FROM pages UNION ALL {duck_fixture('unspaced_x')}")
+ORACLES["block_features"] = f"WITH {ALL_SCRIPTS} SELECT page_id, {NUMBERED} AS block_no, words, link_words FROM shaped WHERE shows"
+ORACLES["main_content_blocks"] = f"WITH {ALL_SCRIPTS}, {KEEP} SELECT page_id, {NUMBERED} AS block_no, main AS keep FROM chosen"
 _FALLBACK = "SELECT page_id, html FROM pages UNION ALL SELECT -1 - page_id, regexp_extract(html, '<nav>.*</nav>') FROM pages"
 ORACLES["content_fallback"] = f"""WITH {block_ctes(_FALLBACK)}, {KEEP}
 SELECT page_id, bool_or(fallback) AS fallback, count(*) FILTER (main OR fallback) AS n_kept, count(*) AS n_blocks FROM chosen GROUP BY page_id"""

@@ -5,6 +5,8 @@ Results are flat: lists are written as text, so that any engine can check them.
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -13,7 +15,7 @@ from pagemill.functions import addresses, urls
 from pagemill.functions.markup import page_title
 from pagemill.functions.text import comma_list, decode_entities, flag_word
 from pagemill.operators import blocks, content, guard, limits, links, markdown, outcomes, select, tokens
-from pagemill.operators.layout import spread
+from pagemill.operators.layout import shared_folder
 from pagemill.plans.fixtures import spark_fixture
 from pagemill.sources import documents, pages
 from pagemill.streaming import page_stream, request_stream
@@ -36,6 +38,13 @@ def named(name: str):
     return lambda fn: query(fn, name)
 
 
+def _folder(spark: SparkSession, name: str) -> str:
+    """Place for a query's stream: shared storage, or in a session of one machine a temporary folder."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        return f"{tempfile.mkdtemp(prefix='pagemill-')}/{name}"
+    return shared_folder(spark, name)
+
+
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.read_pages(spark, f"{sf}/pages.parquet")
 
@@ -68,7 +77,8 @@ def scan_pages(spark, sf):
 
 @query
 def doc_intake(spark, sf):
-    return documents.doc_intake(documents.read_files(spark, sf))
+    files = spark_fixture(spark, sf, "file_x")
+    return documents.doc_intake(documents.heads(files, INTAKE_CAP), INTAKE_CAP)
 
 
 @query
@@ -81,7 +91,8 @@ def stream_pages(spark, sf):
     def job(batch):
         return outcomes.page_metrics(outcomes.page_results(outcomes.outcomes(pages.as_crawl(batch))))
 
-    target = page_stream.stream_pages(spark, f"{sf}/pages.parquet*", pages.PAGE_SCHEMA, job)
+    target, checkpoint = _folder(spark, "pages"), _folder(spark, "pages-checkpoint")
+    page_stream.stream_pages(spark, f"{sf}/pages.parquet*", pages.PAGE_SCHEMA, job, target, checkpoint, max_files=64)
     return spark.read.parquet(target).drop("batch")
 
 
@@ -214,9 +225,8 @@ def document_status(spark, sf):
 
 @query
 def status_filter(spark, sf):
-    rows = pages.as_crawl(_crawl(spark, sf)).drop("status").join(
-        _crawl(spark, sf).select("page_id", "status"), "page_id"
-    )
+    crawl = _crawl(spark, sf)
+    rows = pages.as_crawl(crawl, status=F.col("status"))
     return (
         outcomes.outcomes(rows)
         .filter(F.col("outcome") == "upstream_status")
@@ -376,15 +386,20 @@ def _numbered(rows: DataFrame) -> DataFrame:
     return rows.withColumn("block_no", F.row_number().over(order))
 
 
+def _in_all_scripts(spark, sf) -> DataFrame:
+    """The given pages, and as many in scripts without spaces."""
+    return _pages(spark, sf).select("page_id", "html").unionByName(spark_fixture(spark, sf, "unspaced_x"))
+
+
 @query
 def block_features(spark, sf):
-    rows = blocks.page_blocks(_pages(spark, sf)).filter("shows")
+    rows = blocks.page_blocks(_in_all_scripts(spark, sf)).filter("shows")
     return _numbered(rows).select("page_id", "block_no", "words", "link_words")
 
 
 @query
 def main_content_blocks(spark, sf):
-    rows = blocks.with_keep(blocks.page_blocks(_pages(spark, sf))).filter("shows")
+    rows = blocks.with_keep(blocks.page_blocks(_in_all_scripts(spark, sf))).filter("shows")
     return _numbered(rows).select("page_id", "block_no", F.col("main").alias("keep"))
 
 
@@ -548,7 +563,7 @@ def md_paragraphs(spark, sf):
 def md_dropped(spark, sf):
     """What remains of each page as words once hidden parts are gone."""
     rows = markdown.to_markdown(
-        spread(spark_fixture(spark, sf, "html_mix_x"), "page_id"), main_content=False, placed=True
+        spark_fixture(spark, sf, "html_mix_x"), main_content=False
     )
     return rows.select(
         "page_id",
@@ -566,7 +581,9 @@ def stream_request_counts(spark, sf):
     log = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(
         F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")
     )
-    target = request_stream.run_counts(spark, log, DURATION, DELAY)
+    target = request_stream.run_counts(
+        spark, log, DURATION, DELAY, _folder(spark, "counts"), _folder(spark, "counts-checkpoint")
+    )
     return spark.read.parquet(target).select(
         "key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_requests"
     )

@@ -5,20 +5,41 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.operators.content import MAX_BYTES, file_name, intake_error, intake_status, resolve_kind
+from pagemill.operators.content import (
+    MAX_BYTES,
+    file_extension,
+    file_name,
+    first_bytes,
+    intake_error,
+    intake_status,
+    resolve_kind,
+)
+
+
+def heads(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
+    """`files(path, length, content)` with `head`, the first bytes, in place of the content.
+
+    Only PDF names within the cap have their content read: the tests on length
+    and path come first, and Spark's file source reads no file whose content is
+    not asked for.
+    """
+    wanted = (F.col("length") <= cap) & (file_extension(F.col("path")) == "pdf")
+    opened = files.filter(wanted).select("path", "length", first_bytes(F.col("content")).alias("head"))
+    others = files.filter(~wanted).select("path", "length", F.lit(None).cast("binary").alias("head"))
+    return opened.unionByName(others)
 
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+def read_files(spark: SparkSession, path: str, cap: int = MAX_BYTES) -> DataFrame:
+    """(path, length, head) of every file under `path`. Spark's file sources list no files of zero bytes."""
+    return heads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), cap)
 
 
 def doc_intake(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
-    """(url, length, kind, error, status) for `files(path, length, content)`.
+    """(url, length, kind, error, status) for `files(path, length, head)`.
 
-    Size is reported before extension; a PDF name needs PDF bytes. Spark's file
-    sources list no files of zero bytes, so those give no row.
+    Size is reported before extension; a PDF name needs PDF bytes.
     """
-    kind = resolve_kind(F.col("path"), F.col("content"))
+    kind = resolve_kind(F.col("path"), F.col("head"))
     rows = files.select(
         file_name(F.col("path")).alias("url"),
         "length",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url_parts
@@ -18,13 +18,13 @@ def read_pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def as_crawl(pages: DataFrame) -> DataFrame:
-    """Bare pages count as fetched from their own URL with status 200."""
+def as_crawl(pages: DataFrame, status: Column | None = None) -> DataFrame:
+    """Bare pages count as fetched from their own URL, with status 200 unless told otherwise."""
     return pages.select(
         "page_id",
         "url",
         F.col("url").alias("final_url"),
-        F.lit(200).alias("status"),
+        (F.lit(200) if status is None else status).alias("status"),
         F.lit("text/html").alias("content_type"),
         "html",
         F.lit(None).cast("binary").alias("body"),

@@ -16,10 +16,13 @@ def stream_pages(
     job: Callable[[DataFrame], DataFrame],
     target: str | None = None,
     checkpoint: str | None = None,
-    max_files: int | None = None,
+    *,
+    max_files: int | None,
 ) -> str:
     """Run `job` on each batch of files under `source`; returns the folder with
-    its output. A batch that is run again after a failure replaces its own
+    its output. `max_files` bounds a batch; None takes all that is there as one.
+    Target and checkpoint have to be in storage that all executors share; left
+    out, they are new folders under spark.checkpoint.dir. A batch that is run again after a failure replaces its own
     folder, so the output holds every page once."""
     target = target or shared_folder(spark, "pages")
     checkpoint = checkpoint or shared_folder(spark, "pages-checkpoint")

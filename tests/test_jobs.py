@@ -5,7 +5,6 @@ import re
 from pyspark.sql import functions as F
 
 from pagemill import api
-from pagemill.operators import layout
 from pagemill.operators.markdown import to_markdown
 from pagemill.plans.queries import QUERIES
 from pagemill.sources import documents, pages
@@ -83,7 +82,7 @@ def test_document_intake(spark, tmp_path):
         "a.pdf": b"%PDF-1.4", "b.PDF": b"%PDF-1.4", "c.pdf": b"plain", "d.docx": b"anything", "e.txt": b"x", "f.txt": b"x" * 60, "g": b"y",
     }.items():
         (tmp_path / name).write_bytes(body)
-    got = {r.url: (r.kind, r.status) for r in documents.doc_intake(documents.read_files(spark, str(tmp_path)), cap=50).collect()}
+    got = {r.url: (r.kind, r.status) for r in documents.doc_intake(documents.read_files(spark, str(tmp_path), 50), cap=50).collect()}
     assert got == {
         "a.pdf": ("pdf", None), "b.PDF": ("pdf", None), "c.pdf": (None, 415), "d.docx": ("docx", None),
         "e.txt": (None, 415), "f.txt": (None, 413), "g": (None, 415),
@@ -105,7 +104,7 @@ def test_page_stream_equals_batch(spark, data, tmp_path):
     assert streamed.select("batch").distinct().count() == 3
     assert streamed.drop("batch").exceptAll(batch).count() == 0 and streamed.count() == batch.count()
     # Nothing new: a second run adds nothing.
-    page_stream.stream_pages(spark, source, pages.PAGE_SCHEMA, job, str(tmp_path / "out"), str(tmp_path / "ck"))
+    page_stream.stream_pages(spark, source, pages.PAGE_SCHEMA, job, str(tmp_path / "out"), str(tmp_path / "ck"), max_files=None)
     assert spark.read.parquet(target).count() == batch.count()
 
 
@@ -120,8 +119,7 @@ def test_page_job_moves_pages_once(spark, data):
     assert len(re.findall(r"\bExchange\b", plan_of(api.page_links(source)))) <= 1
 
 
-def test_large_input_moves_blocks_not_pages(spark, data, monkeypatch):
-    monkeypatch.setattr(layout, "SPREAD_BYTES", -1)
+def test_blocks_move_not_pages(spark, data):
     source = pages.read_pages(spark, f"{data}/pages.parquet")
     made = to_markdown(source, carry=("url",))
     plan = plan_of(made)

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 
 from pagemill.api import block_intervals, blocked_requests, over_limit_requests, request_counts
+from pagemill.operators.limits import nth_request
 
 START = dt.datetime(2024, 1, 1)
 N, BLOCK = 5, dt.timedelta(minutes=5)
@@ -65,6 +66,15 @@ def test_no_block(spark, log):
     assert block_intervals(frame(spark, log), N, block=None).count() == 0
 
 
-def test_rank_is_limited_before_the_shuffle(spark, log):
-    plan = over_limit_requests(frame(spark, log), N)._jdf.queryExecution().executedPlan().toString()
-    assert "WindowGroupLimit" in plan and "Partial" in plan
+def test_high_limit_of_one_hot_key(spark):
+    """The n-th request by sorting, for limits beyond Spark's own threshold for ranked filters."""
+    rng = random.Random(5)
+    rows = [(i, 1, START + dt.timedelta(hours=rng.randrange(40), microseconds=rng.randrange(10**9))) for i in range(12000)]
+    rows += [(i, 1, START) for i in range(12000, 13500)]
+    days = defaultdict(list)
+    for i, _, ts in rows:
+        days[ts.date()].append((ts, i))
+    n = 5000
+    want = {d: sorted(v)[n - 1][1] for d, v in days.items() if len(v) >= n}
+    got = nth_request(frame(spark, rows), n, "1 day").collect()
+    assert want and {r.window_start.date(): r.event_id for r in got} == want

@@ -9,6 +9,8 @@ import duckdb
 import pytest
 
 from __spark_entry__ import oracle_sql, queries
+from pagemill.plans.oracles import ORACLES
+from pagemill.plans.queries import QUERIES
 
 SOME = (
     "validate_url", "ip_canonical", "url_parts", "normalize_url", "resolve_href", "same_host_links", "refine_by_extension",
@@ -37,7 +39,7 @@ def rows_of(df):
     return sorted(rows, key=lambda r: tuple((x is None, str(x)) for x in r))
 
 
-@pytest.mark.parametrize("name", list(oracle_sql()) if os.environ.get("PAGEMILL_ALL") else SOME)
+@pytest.mark.parametrize("name", list(ORACLES) if os.environ.get("PAGEMILL_ALL") else SOME)
 def test_query_matches(spark, duck, data, name):
     mine = queries()[name](spark, data).toPandas()
     theirs = duck.execute(oracle_sql()[name]).df()
@@ -45,6 +47,6 @@ def test_query_matches(spark, duck, data, name):
     assert rows_of(mine) == rows_of(theirs)
 
 
-def test_every_query_but_the_file_scan_has_sql():
-    assert set(queries()) - set(oracle_sql()) == {"doc_intake"}
-    assert set(oracle_sql()) <= set(queries())
+def test_every_query_has_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(queries()) and set(ORACLES) <= set(oracle_sql())
