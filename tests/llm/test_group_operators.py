@@ -1,0 +1,220 @@
+"""Near duplicates, nearest neighbours, chats and the pipeline: against brute force."""
+
+import random
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from pagemill.llm import chat, hnsw, minhash
+
+# -- near duplicates -----------------------------------------------------------
+
+
+def brute_groups(rows, words, percent):
+    sets = defaultdict(set)
+    for i, t in rows:
+        w = (t or "").encode().lower().split()
+        if i is not None and w:
+            n = min(words, len(w))
+            sets[i, t] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)}
+    root = {i: i for i, _ in rows if i is not None}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    items = list(sets.items())
+    for a, ((i, _), x) in enumerate(items):
+        for (j, _), y in items[:a]:
+            both = len(x & y)
+            if 100 * both >= percent * (len(x) + len(y) - both):
+                p, q = sorted((find(i), find(j)))
+                root[q] = p
+    return {i: find(i) for i in root}, {k: len(v) for k, v in sets.items()}
+
+
+def mutated(rng, text, changes):
+    words = text.split()
+    for _ in range(changes):
+        words[rng.randrange(len(words))] = f"new{rng.randrange(10**6)}"
+    return " ".join(words)
+
+
+@pytest.mark.parametrize("words", [2, 5])
+def test_groups_against_brute_force(docs_of, prose, words):
+    rng = random.Random(words)
+    texts = [prose(i, rng.randint(1, 120)) for i in range(60)]
+    base = prose(1000, 200)
+    texts += [mutated(rng, base, rng.randint(0, 14 if words == 2 else 5)) for _ in range(120)]  # many near copies, in steps
+    texts += [base] * 30 + [base.upper(), base + "  \n"]
+    texts += [mutated(rng, texts[i], 1) for i in range(40)]
+    shared = prose(2000, 40)
+    texts += [prose(3000 + i, 12) + " " + shared for i in range(60)]  # alike, but less than enough
+    texts += [None, "", " \n ", "solo", "SOLO", "two words", "two words"]
+    order = list(range(len(texts)))
+    rng.shuffle(order)
+    ids = [i * 7 for i in order]
+    ids += [None, ids[3]]
+    texts += [base, texts[3]]
+    want, sizes = brute_groups(list(zip(ids, texts, strict=True)), words, 80)
+    got = minhash.near_duplicates(docs_of(texts, ids), words, 80).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r.component_id == want.get(r.doc_id) and r.kept == (r.doc_id is None or r.component_id == r.doc_id)
+    assert sorted(r.n_shingles for r in got) == sorted(sizes.get((i, t), 0) if i is not None else sizes.get((ids[0], t), len(set(zip(*[base.split()[k:] for k in range(words)], strict=False)))) for i, t in zip(ids, texts, strict=True))
+
+
+def test_super_minhash_against_the_plain_algorithm():
+    rng = np.random.default_rng(3)
+    sets = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (1, 2, 17, 300)]
+    got = minhash.super_minhash(sets, 32)
+    for s, signature in zip(sets, got, strict=True):
+        want = np.full(32, np.iinfo(np.uint64).max, np.uint64)
+        for e in s:
+            p = np.arange(32)
+            for j in range(32):
+                with np.errstate(over="ignore"):
+                    d = int(minhash.mix(np.array([e + minhash.GOLDEN * np.uint64(j + 1)], np.uint64))[0])
+                k = j + ((d & 0xFFFFFFFF) * (32 - j) >> 32)
+                p[j], p[k] = p[k], p[j]
+                want[p[j]] = min(int(want[p[j]]), (j << 32) | (d >> 32))
+        assert (signature == want).all()
+
+
+def test_signatures_estimate_similarity():
+    rng = np.random.default_rng(5)
+    errors = []
+    for _ in range(40):
+        both, own = rng.integers(1, 2**63, 160).astype(np.uint64), rng.integers(1, 2**63, (2, 20)).astype(np.uint64)
+        a, b = minhash.super_minhash([np.append(both, own[0]), np.append(both, own[1])])
+        errors.append((a == b).mean() - 160 / 200)
+    assert abs(np.mean(errors)) < 0.02 and np.std(errors) < 0.04
+
+
+def test_groups_of_odd_rows(odd, none):
+    got = minhash.near_duplicates(odd).collect()
+    assert len(got) == odd.count()
+    assert {(r.doc_id, r.component_id) for r in got} == {(0, 0), (1, 1), (2, 2), (3, 3), (4, 4), (5, 4), (6, 6), (None, None)}
+    assert minhash.near_duplicates(none).count() == 0
+
+
+def test_components_of_a_long_chain(spark):
+    edges = [(i, i + 1) for i in range(0, 60)] + [(100, 101), (102, 101), (103, 100)]
+    got = {tuple(r) for r in minhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {(i, 0) for i in range(61)} | {(i, 100) for i in range(100, 104)}
+
+
+# -- nearest neighbours --------------------------------------------------------
+
+
+def brute_nearest(rows, queries, k):
+    ids, vectors = np.array([i for i, _ in rows]), np.array([v for _, v in rows], float)
+    out = {}
+    for q, v in queries:
+        c = hnsw.cosines(vectors, np.array(v, float))
+        found = {}
+        for s, i in zip(c.tolist(), ids.tolist(), strict=True):
+            if i != q:
+                found[i] = max(s, found.get(i, -2))
+        out[q] = sorted(((-s, i) for i, s in found.items()))[:k]
+    return out
+
+
+def test_recall_scores_and_ties(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(12, 16))
+    rows = [(i, (centres[i % 12] + 0.4 * rng.normal(size=16)).astype(np.float32).tolist()) for i in range(1500)]
+    rows += [(2000 + i, rows[7][1]) for i in range(300)]  # one very common vector
+    bad = [(5000, None), (5050, [0.0] * 16), (5100, [float("nan")] + [1.0] * 15), (5150, [float("inf")] + [1.0] * 15), (None, rows[0][1]), (5200, [])]
+    holes = [(5300, [None] + [1.0] * 15)]
+    df = spark.createDataFrame([(i, v, 1, "s") for i, v in [*rows, *bad, *holes, rows[3]]], "vec_id long, embedding array<float>, rank int, score string")
+    asked = df.where("vec_id % 50 = 0 OR vec_id IS NULL")
+    got = defaultdict(list)
+    for r in hnsw.nearest(df, asked, 5, shard_rows=400).collect():
+        got[r.query_id].append((r["rank"], r.vec_id, r.score))
+    queries = [(i, v) for i, v in rows if i % 50 == 0]
+    want = brute_nearest(rows, queries, 5)
+    assert set(got) == set(want)
+    hits = 0
+    for q, found in got.items():
+        found.sort()
+        assert [r for r, _, _ in found] == [1, 2, 3, 4, 5] and q not in {v for _, v, _ in found}
+        assert [(-s, v) for _, v, s in found] == sorted((-s, v) for _, v, s in found)
+        hits += len({v for _, v, _ in found} & {v for _, v in want[q]})
+    assert hits / (5 * len(want)) >= 0.9
+    hot = [q for q, _ in queries if 2000 <= q < 2300]
+    for q in hot:  # exact ties of the common vector go to its smallest ids
+        assert [v for _, v, _ in sorted(got[q])] == [v for _, v in want[q]]
+
+
+def test_few_and_no_vectors(spark):
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 2.0]), (2, [3.0, 3.0]), (3, [1.0, 2.0, 3.0])], "vec_id long, embedding array<float>")
+    rows = hnsw.nearest(df, df.where("vec_id = 0 OR vec_id = 3")).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.vec_id) for r in rows] == [(0, 1, 2), (0, 2, 1)]
+    assert abs(rows[0].score - 0.5**0.5) < 1e-12
+    assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
+
+
+# -- chats ---------------------------------------------------------------------
+
+
+def test_round_trip_of_control_strings(spark):
+    hard = ["<|im_end|>", "<\\|im_start|>x", "<\\\\||>", "<||>", "a<|b<\\|c\\", None, "", "\n<|im_start|>assistant\nok"]
+    rows = [(1, t, "user" if t % 2 == 0 else "assistant", x, "s") for t, x in enumerate(hard)]
+    rows += [(2, None, None, None, "s"), (None, 0, "user", "x", "s"), (3, 0, "sys\n<|tem\\", "odd", "s"), (4, 0, "user", "a", "s"), (4, 0, "user", "a", "s")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, segment string")
+    segments = chat.to_segments(df)
+    pieces = segments.collect()
+    assert all("<|" not in r.text for r in pieces if r.kind == "text")
+    assert [chat.unescape(chat.escape(t or "")) for t in hard] == [t or "" for t in hard]
+    assert chat.unescape_role(chat.escape_role("sys\n<|tem\\")) == "sys\n<|tem\\"
+    loss = "".join(chat.unescape(r.text) for r in sorted(pieces, key=lambda r: r.segment) if r.loss and r.conv_id == 1)
+    assert loss == "".join(x or "" for x in hard[1::2])
+    back = {r.conv_id: r for r in chat.read_back(segments).collect()}
+    assert {k: r.n_turns for k, r in back.items()} == {1: 8, 2: 1, None: 1, 3: 1, 4: 2}
+    assert (back[1].state, back[1].final) == ("answered", True)
+    assert back[2].state == back[3].state == back[4].state == chat.BROKEN and back[None].state == "asked" and not back[None].final
+    assert back[1].formatted_chars == sum(len(r.text) for r in pieces if r.conv_id == 1)
+    assert chat.to_segments(df.limit(0)).count() == 0 and chat.read_back(chat.to_segments(df.limit(0))).count() == 0
+
+
+def test_long_conversation_over_batches(spark):
+    df = spark.range(25000).select(
+        F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("t"), "id").alias("text")
+    )
+    row = chat.read_back(chat.to_segments(df)).first()
+    assert row.n_turns == 25000 and row.final and row.loss_chars == sum(len(f"t{i}") for i in range(1, 25000, 2))
+
+
+# -- the pipeline --------------------------------------------------------------
+
+
+def test_pipeline_stages(spark, data):
+    docs = before = spark.read.parquet(f"{data}/documents.parquet")
+    assert [n for n, _ in corpus_pipeline.STAGES] == ["quality_rules", "line_dedup", "near_dedup", "secret_scan", "packing"]
+    counts = [docs.count()]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, data), name)
+        assert docs.schema.simpleString() == before.schema.simpleString()
+        counts.append(docs.count())
+    assert counts[0] > counts[1] == counts[2] > counts[3] == counts[4] > 0
+    assert docs.where("n_chars <> length(text)").count() == 0
+    packed = corpus_pipeline.pack(spark, docs, data)
+    assert packed.select("doc_id").distinct().count() == counts[4]
+    lost = packed.groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("doc_tokens").alias("t")).where("n <> t")
+    assert lost.count() == 0
+
+
+def test_pipeline_of_odd_rows(spark, odd, none, data):
+    for docs in (odd, none):
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, data)
+            assert out.count() >= 0 and (name == "packing" or out.columns == docs.columns)
+
+
+def test_whole_run(spark, data):
+    assert corpus_pipeline.run(spark, data).columns == ["doc_id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
