@@ -190,11 +190,14 @@ def pack(docs: DataFrame, ranks_path: str, end_id: int = 1, capacity: int = CAPA
     counts = cut.groupBy("part", "length").count()
     by_length = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("base"))
+    # Stored, so that Spark knows its size: where that is small, the pieces do not move.
+    base = stored(base, "bases")
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    slots = spark.createDataFrame(
-        [tuple(vars(s).values()) for s in layout(histogram, capacity)],
-        "length long, first_rank long, end_rank long, per_sequence long, at long, first_sequence long, cuts array<int>",
-    )
+    kinds = [(n, pa.int64()) for n in ("length", "first_rank", "end_rank", "per_sequence", "at", "first_sequence")]
+    rows = [tuple(vars(s).values()) for s in layout(histogram, capacity)]
+    columns = zip(*rows, strict=True) if rows else [()] * 7
+    kinds.append(("cuts", pa.list_(pa.int32())))
+    slots = spark.createDataFrame(pa.table([pa.array(c, t) for c, (_, t) in zip(columns, kinds, strict=True)], [n for n, _ in kinds]))
     ranked = cut.join(base, ["part", "length"]).withColumn("rank", F.col("base") + F.col("rank_in_part"))
     placed = ranked.join(slots, "length").where("rank >= first_rank AND rank < end_rank")
     placed = placed.select(
