@@ -74,20 +74,29 @@ def kind_of(raw: Column, tag: Column) -> Column:
     )
 
 
-def raw_attribute(raw: Column, name: str) -> Column:
-    """Value of the first attribute `name` as written; null when absent, empty
-    when it has no value. Text inside other attributes' values never matches."""
+def _attribute_pattern(name: str) -> str:
     s = HTML_SPACE
     not_s = r"[^ \t\r\n\f/>=]"
     value = r"""(?:"[^"]*+"|'[^']*+'|[^ \t\r\n\f>]*+)"""
     skip = rf"(?:[ \t\r\n\f/]++(?!{name}[ \t\r\n\f/>=]){not_s}++(?:{s}*+={s}*+{value})?+)*+"
-    pattern = (
+    return (
         rf"(?is)^<[a-z][^ \t\r\n\f/>]*+{skip}[ \t\r\n\f/]++{name}(?=[ \t\r\n\f/>=])"
         rf"(?:{s}*+={s}*+({value}))?+"
     )
-    text = F.regexp_extract(raw, pattern, 1)
+
+
+def raw_attribute(raw: Column, name: str | Column) -> Column:
+    """Value of the first attribute `name` as written; null when absent, empty
+    when it has no value. Text inside other attributes' values never matches.
+    A name that differs by row holds letters, digits, `-` and `_` only."""
+    if isinstance(name, Column):
+        pieces = _attribute_pattern("\0").split("\0")
+        pattern = F.concat(F.lit(pieces[0]), *[x for p in pieces[1:] for x in (name, F.lit(p))])
+    else:
+        pattern = F.lit(_attribute_pattern(name))
+    text = F.call_function("regexp_extract", raw, pattern, F.lit(1))
     bare = F.regexp_replace(text, r"""(?s)^(?:"(.*)"|'(.*)')$""", "$1$2")
-    return F.when(raw.rlike(pattern), bare)
+    return F.when(F.call_function("rlike", raw, pattern), bare)
 
 
 def attribute(raw: Column, name: str) -> Column:

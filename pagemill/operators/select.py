@@ -11,77 +11,83 @@ from pagemill.functions.text import web_trim
 from pagemill.operators.tokens import tokens
 
 _NAME = r"[A-Za-z_\-][A-Za-z0-9_\-]*"
-# Subset: tag, #id, .class, tag#id, tag.class, and "ancestor descendant" pairs.
-_SIMPLE = rf"(?:{_NAME})?(?:#{_NAME})?(?:\.{_NAME})?"
-
-
-def _simple(text: Column, prefix: str) -> list[Column]:
-    return [
-        F.lower(F.regexp_extract(text, rf"^({_NAME})", 1)).alias(f"{prefix}_tag"),
-        F.regexp_extract(text, rf"#({_NAME})", 1).alias(f"{prefix}_id"),
-        F.regexp_extract(text, rf"\.({_NAME})", 1).alias(f"{prefix}_class"),
-    ]
+_EQUALS = rf"\[{_NAME}=(?:\"[^\"\]\s,]*\"|'[^'\]\s,]*'|[A-Za-z0-9_\-]+)\]"
+# Subset: compounds of tag, #id, .class and [name=value]; up to two ancestors
+# before the element, parted by spaces; alternatives parted by commas.
+_COMPOUND = rf"(?=[^\s,])(?:{_NAME})?(?:#{_NAME}|\.{_NAME}|{_EQUALS})*"
+_CHAIN = rf"{_COMPOUND}(?:\s+{_COMPOUND}){{0,2}}"
+_SUPPORTED = rf"^{_CHAIN}(?:\s*,\s*{_CHAIN})*$"
 
 
 def is_supported(selector: Column) -> Column:
-    return web_trim(selector).rlike(rf"^{_SIMPLE}(?:[ \t\r\n\f]+{_SIMPLE})?$") & (web_trim(selector) != "")
-
+    return F.coalesce(web_trim(selector).rlike(_SUPPORTED), F.lit(False))
 
-def _matches(prefix: str) -> Column:
-    def unset_or(name: str, test: Column) -> Column:
-        return (F.col(f"{prefix}_{name}") == "") | test
 
+def _matches(compound: Column) -> Column:
+    """Is the token an element that the compound names? False without a compound."""
+    bare = F.regexp_replace(compound, r"\[[^\]]*\]", "")
+    tag = F.lower(F.regexp_extract(bare, rf"^({_NAME})", 1))
+    ids = F.regexp_extract_all(bare, F.lit(rf"#({_NAME})"), F.lit(1))
+    wanted = F.regexp_extract_all(bare, F.lit(rf"\.({_NAME})"), F.lit(1))
+    equals = F.regexp_extract_all(compound, F.lit(_EQUALS), F.lit(0))
     classes = F.split(F.coalesce(raw_attribute(F.col("raw"), "class"), F.lit("")), r"[ \t\r\n\f]+")
-    named = F.concat_ws("", f"{prefix}_tag", f"{prefix}_id", f"{prefix}_class") != ""
+
+    def holds(test: Column) -> Column:
+        name = F.regexp_extract(test, rf"^\[({_NAME})=", 1)
+        value = F.regexp_replace(F.regexp_replace(test, rf"^\[{_NAME}=|\]$", ""), r"""^["']|["']$""", "")
+        return F.coalesce(raw_attribute(F.col("raw"), name) == value, F.lit(False))
+
     return F.coalesce(
         F.col("kind").isin("open", "void")
-        & named
-        & unset_or("tag", F.col("tag") == F.col(f"{prefix}_tag"))
-        & unset_or("id", raw_attribute(F.col("raw"), "id") == F.col(f"{prefix}_id"))
-        & unset_or("class", F.array_contains(classes, F.col(f"{prefix}_class"))),
+        & (compound != "")
+        & ((tag == "") | (F.col("tag") == tag))
+        & ((F.size(ids) == 0) | F.forall(ids, lambda i: raw_attribute(F.col("raw"), "id") == i))
+        & ((F.size(wanted) == 0) | (F.size(F.array_except(wanted, classes)) == 0))
+        & F.forall(equals, holds),
         F.lit(False),
     )
 
 
+def _inside(rows: DataFrame, region: Column, name: str) -> DataFrame:
+    """Add `name`: does the token stand inside an element that `region` marks?"""
+    upto = (W.unboundedPreceding, W.currentRow)
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    rows = rows.withColumn("_mark", region & (F.col("kind") == "open"))
+    pair = W.partitionBy("page_id", "alt", "tag", "level").orderBy("pos").rowsBetween(*upto)
+    own = F.last(F.when(F.col("kind") == "open", F.col("_mark")), ignorenulls=True).over(pair)
+    rows = rows.withColumn("_own", own)
+    order = W.partitionBy("page_id", "alt").orderBy("pos").rowsBetween(*upto)
+    depth = F.sum(F.when(F.coalesce(F.col("_own"), F.lit(False)), step).otherwise(0)).over(order)
+    rows = rows.withColumn(name, depth - F.when(F.col("_mark"), 1).otherwise(0) > 0)
+    return rows.drop("_mark", "_own")
+
+
 def select_content(pages: DataFrame) -> DataFrame:
-    """(page_id, selector, content) for `pages(page_id, html, selector)`.
+    """(page_id, selector, content, supported) for `pages(page_id, html, selector)`.
 
-    Content is '' where nothing matches or the selector is outside the subset.
+    Content is '' where nothing matches; where the selector is outside the
+    subset, `supported` is false as well.
     """
     text = web_trim(F.col("selector"))
-    last = F.regexp_extract(text, r"([^ \t\r\n\f]+)$", 1)
-    first = F.regexp_extract(text, r"^([^ \t\r\n\f]+)[ \t\r\n\f]", 1)
-    rows = tokens(pages, "selector").select("*", *_simple(last, "want"), *_simple(first, "within"))
-    paired = F.concat_ws("", "within_tag", "within_id", "within_class") != ""
-    rows = rows.select(
-        "*",
-        (_matches("want") & is_supported(F.col("selector"))).alias("hit"),
-        (_matches("within") & (F.col("kind") == "open")).alias("region"),
-        paired.alias("paired"),
-    )
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    chains = F.when(is_supported(F.col("selector")), F.split(text, r"\s*,\s*")).otherwise(F.array(F.lit("")))
+    rows = tokens(pages, "selector").select("*", F.posexplode(chains).alias("alt", "_chain"))
+    rows = rows.withColumn("_chain", F.split("_chain", r"\s+"))
 
     # Depth of every element among those of its own name; a closing tag belongs
     # to the last opening tag of its level.
     upto = (W.unboundedPreceding, W.currentRow)
-    same = W.partitionBy("page_id", "tag").orderBy("pos").rowsBetween(*upto)
+    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
+    same = W.partitionBy("page_id", "alt", "tag").orderBy("pos").rowsBetween(*upto)
     rows = rows.withColumn("_sum", F.sum(step).over(same))
     rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(same)))
     rows = rows.withColumn(
         "level", F.when(F.col("kind") == "close", F.col("depth") + 1).otherwise(F.col("depth"))
     )
-    pair = W.partitionBy("page_id", "tag", "level").orderBy("pos").rowsBetween(*upto)
-    rows = rows.withColumn(
-        "_region",
-        F.last(F.when(F.col("kind") == "open", F.col("region")), ignorenulls=True).over(pair),
-    )
-    order = W.partitionBy("page_id").orderBy("pos")
-    region_step = F.when(F.coalesce(F.col("_region"), F.lit(False)), step).otherwise(0)
-    rows = rows.withColumn(
-        "_inside",
-        F.sum(region_step).over(order.rowsBetween(*upto)) - F.when(F.col("region"), 1).otherwise(0),
-    )
-    chosen = F.col("hit") & (~F.col("paired") | (F.col("_inside") > 0))
+    outer, near = (F.try_element_at("_chain", F.lit(k)) for k in (-3, -2))
+    rows = _inside(rows, _matches(outer), "_in_outer")
+    rows = _inside(rows, _matches(near) & (outer.isNull() | F.col("_in_outer")), "_in_near")
+    chosen = _matches(F.try_element_at("_chain", F.lit(-1))) & (near.isNull() | F.col("_in_near"))
+
     whole = W.partitionBy("page_id")
     rows = rows.withColumn(
         "_start", F.min(F.when(chosen, F.struct("pos", "tag", "level", "kind"))).over(whole)
@@ -94,7 +100,8 @@ def select_content(pages: DataFrame) -> DataFrame:
     )
     rows = rows.withColumn("_end", F.min(F.when(end, F.col("pos"))).over(whole))
     inner = (
-        (F.col("_start.kind") == "open")
+        (F.col("alt") == 0)
+        & (F.col("_start.kind") == "open")
         & (F.col("pos") > F.col("_start.pos"))
         & (F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
     )
@@ -103,4 +110,5 @@ def select_content(pages: DataFrame) -> DataFrame:
         F.array_join(
             F.transform(F.array_sort(F.collect_list(F.when(inner, F.struct("pos", "raw")))), lambda x: x["raw"]), ""
         ).alias("content"),
+        F.first(is_supported(F.col("selector"))).alias("supported"),
     )

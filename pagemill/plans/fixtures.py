@@ -257,8 +257,9 @@ SELECT -1 - page_id AS page_id, '<nav><a href="/a">首页</a> <a href="/b">新
 
 def select_x(d: Dialect) -> str:
     return """
-SELECT page_id, html, CASE page_id % 9 WHEN 0 THEN 'h1' WHEN 1 THEN 'div.ad' WHEN 2 THEN '.ad' WHEN 3 THEN 'nav a'
-  WHEN 4 THEN '#none' WHEN 5 THEN 'article' WHEN 6 THEN 'nav ul' WHEN 7 THEN 'article h1' ELSE 'ul > li' END AS selector
+SELECT page_id, html, CASE page_id % 14 WHEN 0 THEN 'h1' WHEN 1 THEN 'div.ad' WHEN 2 THEN '.ad' WHEN 3 THEN 'nav a'
+  WHEN 4 THEN '#none' WHEN 5 THEN 'article' WHEN 6 THEN 'nav ul' WHEN 7 THEN 'article h1'
+  WHEN 8 THEN 'h9 , article' WHEN 9 THEN 'div.ad.none' WHEN 10 THEN 'div[class="ad"]' WHEN 11 THEN 'nav ul a' WHEN 12 THEN 'body nav li' ELSE 'ul > li' END AS selector
 FROM {pages}"""
 
 

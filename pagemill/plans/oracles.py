@@ -634,17 +634,18 @@ WHERE regexp_replace(url, '#.*$', '') NOT IN (SELECT regexp_replace(url, '#.*$',
 # One pass of plain SQL per selector of the fixture; an element ends where the
 # count of its own tag comes back to the level before it.
 ORACLES["select_content"] = f"""WITH {token_ctes(duck_fixture('select_x'))},
-t AS (SELECT k.*, s.selector, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY k.page_id, tag ORDER BY pos) AS d
+t AS (SELECT k.*, CASE s.selector WHEN 'h9 , article' THEN 'article' WHEN 'div[class="ad"]' THEN '.ad' WHEN 'nav ul a' THEN 'nav a'
+    WHEN 'body nav li' THEN 'nav li' ELSE s.selector END AS selector, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY k.page_id, tag ORDER BY pos) AS d
   FROM kinds k JOIN src s USING (page_id)),
 cand AS (SELECT page_id, pos, d, tag FROM t WHERE kind = 'open' AND CASE selector WHEN 'h1' THEN tag = 'h1' WHEN 'div.ad' THEN tag = 'div' AND raw LIKE '%class="ad"%'
-  WHEN '.ad' THEN raw LIKE '%class="ad"%' WHEN 'nav a' THEN tag = 'a' WHEN 'article' THEN tag = 'article' WHEN 'nav ul' THEN tag = 'ul'
+  WHEN '.ad' THEN raw LIKE '%class="ad"%' WHEN 'nav a' THEN tag = 'a' WHEN 'article' THEN tag = 'article' WHEN 'nav ul' THEN tag = 'ul' WHEN 'nav li' THEN tag = 'li'
   WHEN 'article h1' THEN tag = 'h1' ELSE false END),
-first_ AS (SELECT c.page_id, min(c.pos) AS p FROM cand c JOIN src s USING (page_id) WHERE NOT contains(s.selector, ' ') OR EXISTS (
+first_ AS (SELECT c.page_id, min(c.pos) AS p FROM cand c JOIN (SELECT DISTINCT page_id, selector FROM t) s USING (page_id) WHERE NOT contains(s.selector, ' ') OR EXISTS (
   SELECT 1 FROM t o WHERE o.page_id = c.page_id AND o.tag = split_part(s.selector, ' ', 1) AND o.kind = 'open' AND o.pos < c.pos AND NOT EXISTS (
     SELECT 1 FROM t x WHERE x.page_id = o.page_id AND x.tag = o.tag AND x.kind = 'close' AND x.d = o.d - 1 AND x.pos > o.pos AND x.pos < c.pos)) GROUP BY c.page_id),
 range_ AS (SELECT f.page_id, f.p, (SELECT min(x.pos) FROM t x JOIN t o ON o.page_id = x.page_id AND o.pos = f.p
   WHERE x.page_id = f.page_id AND x.tag = o.tag AND x.kind = 'close' AND x.pos > f.p AND x.d = o.d - 1) AS e FROM first_ f)
-SELECT s.page_id, s.selector, coalesce((SELECT string_agg(raw, '' ORDER BY pos) FROM t JOIN range_ r ON r.page_id = t.page_id
+SELECT s.page_id, s.selector, NOT contains(s.selector, '>') AS supported, coalesce((SELECT string_agg(raw, '' ORDER BY pos) FROM t JOIN range_ r ON r.page_id = t.page_id
   WHERE t.page_id = s.page_id AND t.pos > r.p AND (r.e IS NULL OR t.pos < r.e)), '') AS content FROM src s"""
 
 # -- results -----------------------------------------------------------------

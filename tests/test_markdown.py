@@ -107,12 +107,23 @@ def test_selectors(spark):
         "nav#n": '<div class="a b"><p>1<div>in</div></p></div><a href=/>A</a>',
         "#none": "",
         "br": "",
+        ".b.a": "<p>1<div>in</div></p>",
+        "div.a.c": "",
+        "[class=x]": "0",
+        "a[href='/']": "A",
+        "a[href=x]": "",
+        "h1, .s a , p": "1<div>in</div>",
+        "nav div p": "1<div>in</div>",
+        "section div p": "",
+        "#n .a.b p": "1<div>in</div>",
         "a > b": "",
+        "a b c d": "",
         "": "",
     }
     rows = spark.createDataFrame([(i, page, s) for i, s in enumerate(cases)], "page_id long, html string, selector string")
-    got = {r.selector: r.content for r in select_content(rows).collect()}
-    assert got == cases
+    found = select_content(rows).collect()
+    assert {r.selector: r.content for r in found} == cases
+    assert {r.selector for r in found if not r.supported} == {"a > b", "a b c d", ""}
 
 
 def test_long_page(spark):
