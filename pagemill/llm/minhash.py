@@ -8,7 +8,7 @@ first step that leaves no slot open: the later steps cannot change it. Here all
 sets of a chunk take step j at once.
 
 Sets that are equal share one representative. Representatives that agree on a band
-of rows meet in a bucket; each is checked against the least of its bucket on the
+of rows meet in a bucket; each is checked against one centre of its bucket on the
 full sets, which finds large groups without listing their pairs. What a bucket then
 still holds in different components is compared in bounded blocks. Components come
 from alternating large-star and small-star steps, the union-find of edge tables.
@@ -29,8 +29,8 @@ from pagemill.llm.common import chunks, stored
 BANDS, ROWS = 32, 5  # a pair at similarity 0.8 misses all bands with probability 3e-6
 SLOTS = BANDS * ROWS
 BLOCK = 256
-# Representatives whose sketches agree on less are not verified: 6 sigma below 0.8.
-SKETCH_SHARE = 0.6
+# Representatives whose sketches agree on less are not verified: 4 sigma below 0.8.
+SKETCH_SHARE = 0.67
 CACHE_WORDS = 300_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -147,21 +147,26 @@ def hashed_sets(docs: DataFrame, words: int) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
 
 
+def close_sets(p: np.ndarray, q: np.ndarray, percent: int) -> bool:
+    """Whether two sorted sets have 100 * intersection >= percent * union."""
+    short, long = (p, q) if len(p) <= len(q) else (q, p)
+    if 100 * len(short) < percent * len(long):  # no intersection could do
+        return False
+    both = np.count_nonzero(long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short)
+    return 100 * both >= percent * (len(p) + len(q) - both)
+
+
+def as_set(value: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), np.uint64)
+
+
 def similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column("left"), batch.column("right"), strict=True):
-                p, q = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y))
-                short, long = (p, q) if len(p) <= len(q) else (q, p)
-                # No intersection can do if the sizes differ by too much.
-                ok = 100 * len(short) >= percent * len(long)
-                if ok:
-                    both = np.count_nonzero(long[np.minimum(np.searchsorted(long, short), len(long) - 1)] == short)
-                    ok = 100 * both >= percent * (len(p) + len(q) - both)
-                keep.append(ok)
+            both = zip(batch.column("left"), batch.column("right"), strict=True)
+            keep = [close_sets(as_set(x), as_set(y), percent) for x, y in both]
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("left"))
@@ -189,55 +194,110 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("v").alias("node"), F.col("u").alias("component")).unionAll(roots)
 
 
-def across(members: DataFrame, reps: DataFrame, comps: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Pairs (a, b) that share a bucket, lie in different components and have close sketches.
+def stars(members: DataFrame) -> DataFrame:
+    """Pairs (a, b) of each member of a bucket and its centre, for members(key, rep, n).
 
-    A bucket is dealt into blocks of about block members; a group holds two blocks.
+    The centre is the member that meets most others in all its buckets. The text that
+    a group was copied from is nearer to its copies than they are to each other, so
+    it becomes the centre of most of their buckets.
+    """
+    met = members.groupBy("rep").agg(F.sum("n").alias("met"))
+    centre = members.join(met, "rep").groupBy("key").agg(F.max(F.struct("met", (-F.col("rep")).alias("id"))).alias("c"))
+    pairs = members.join(centre, "key").select(F.col("rep").alias("a"), (-F.col("c.id")).alias("b"))
+    return pairs.where("a <> b").distinct()
+
+
+def promising(component: np.ndarray, size: np.ndarray, sketch: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(place, later places) of members in different components with fitting sizes and close sketches."""
+    for i in range(len(component) - 1):
+        rest = slice(i + 1, None)
+        fit = 100 * np.minimum(size[rest], size[i]) >= percent * np.maximum(size[rest], size[i])
+        at = np.flatnonzero(fit & (component[rest] != component[i])) + i + 1
+        if len(at):
+            at = at[(sketch[at] == sketch[i]).mean(axis=1) >= SKETCH_SHARE]
+            if len(at):
+                yield i, at
+
+
+def groups_of(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.StructArray, tuple[np.ndarray, ...]]]:
+    """Number, rows and (rep, component, size, sketch) of every list of a batch."""
+    lists = batch.column("rows")
+    for g in range(len(lists)):
+        rows = lists[g].values
+        plain = tuple(rows.field(c).to_numpy(zero_copy_only=False) for c in ("rep", "component", "n_shingles"))
+        sketch = np.frombuffer(b"".join(rows.field("sketch").to_pylist()), np.uint8).reshape(len(rows), -1)
+        yield g, rows, (*plain, sketch)
+
+
+def across(members: DataFrame, reps: DataFrame, sets: DataFrame, comps: DataFrame, percent: int, block: int = BLOCK) -> DataFrame:
+    """Links (a, b) between members of a bucket that lie in different components.
+
+    In a bucket, the members of its largest component are compared with the others, and
+    the others among themselves. Both are dealt into blocks of about block members; a
+    group holds two blocks. A first pass finds, by sketches, the members that are near
+    any other of their group; only those meet again with their full sets. No pass lists
+    pairs: the first gives members, the second links.
     """
     known = members.join(comps, members["rep"] == comps["node"], "left").select(
         "key", "rep", F.coalesce("component", "rep").alias("component")
     )
-    mixed = known.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")
+    sizes = known.groupBy("key", "component").agg(F.count("*").alias("n"))
+    mixed = sizes.groupBy("key").agg(
+        F.count("*").alias("parts"), F.sum("n").alias("n"), F.max(F.struct("n", "component")).alias("major")
     )
-    mixed = mixed.where("lo <> hi").select("key", F.expr(f"(n + {block - 1}) div {block}").alias("blocks"))
-    rows = known.join(mixed, "key").withColumn("own", F.expr("pmod(xxhash64(rep), blocks)"))
-    rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
-    rows = rows.select(
-        "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "rep", "component"
+    blocks = f"(%s + {block - 1}) div {block}"
+    mixed = mixed.where("parts > 1").select(
+        "key",
+        F.col("major.component").alias("major"),
+        F.expr(blocks % "major.n").alias("majors"),
+        F.expr(blocks % "(n - major.n)").alias("minors"),
     )
-    rows = rows.join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    groups = rows.groupBy("key", "i", "j").agg(
-        F.collect_list(F.struct("rep", "component", "n_shingles", "sketch")).alias("rows")
+    rows = known.join(mixed, "key").withColumn("large", F.expr("component = major"))
+    rows = rows.withColumn("own", F.expr("pmod(xxhash64(rep), if(large, majors, minors))"))
+    # i < 0: a block of the others with a block of the largest component; else two blocks of the others.
+    groups = F.expr(
+        "if(large, transform(sequence(0L, minors - 1), m -> struct(-1 - m AS i, own AS j)), "
+        "concat(transform(sequence(0L, majors - 1), c -> struct(-1 - own AS i, c AS j)), "
+        "transform(sequence(0L, minors - 1), m -> struct(least(own, m) AS i, greatest(own, m) AS j))))"
     )
+    rows = rows.withColumn("g", F.explode(groups)).select("key", "g.i", "g.j", "rep", "component")
+    rows = rows.join(reps.select("rep", "n_shingles", "sketch"), "rep")
+    place = ("key", "i", "j")
+    fields = ("rep", "component", "n_shingles", "sketch")
+    groups = rows.groupBy(*place).agg(F.collect_list(F.struct(*fields)).alias("rows"))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for g, rows, (_, component, size, sketch) in groups_of(batch):
+                kept = np.zeros(len(rows), bool)
+                for i, at in promising(component, size, sketch, percent):
+                    kept[i] = True
+                    kept[at] = True
+                if kept.any():
+                    own = rows.filter(pa.array(kept))
+                    keys = [pa.array([batch.column(c)[g].as_py()] * len(own), pa.int64()) for c in place]
+                    yield pa.RecordBatch.from_arrays([*keys, *(own.field(c) for c in fields)], names=[*place, *fields])
+
+    kinds = "key long, i long, j long, rep long, component long, n_shingles long, sketch binary"
+    found = groups.mapInArrow(near, kinds).join(sets.select(F.col("doc_id").alias("rep"), "shingles"), "rep")
+    again = found.groupBy(*place).agg(F.collect_list(F.struct(*fields, "shingles")).alias("rows"))
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("rows")
-            flat = lists.flatten()
-            rep, component, size = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(3))
-            sketch = np.frombuffer(b"".join(flat.field(3).to_pylist()), np.uint8).reshape(len(rep), -1)
-            ends = np.cumsum([len(x) for x in lists.to_pylist()]) if lists.null_count else lists.offsets.to_numpy()[1:] - lists.offsets[0].as_py()
-            left, right, start = [], [], 0
-            for end in ends.tolist():
-                for i in range(start, end - 1):
-                    rest = slice(i + 1, end)
-                    near = (component[rest] != component[i]) & (
-                        5 * np.minimum(size[rest], size[i]) >= 3 * np.maximum(size[rest], size[i])
-                    )
-                    at = np.flatnonzero(near) + i + 1
-                    if len(at):
-                        at = at[(sketch[at] == sketch[i]).mean(axis=1) >= SKETCH_SHARE]
-                        left.append(np.full(len(at), rep[i]))
-                        right.append(rep[at])
-                start = end
-            x = np.concatenate(left) if left else np.empty(0, np.int64)
-            y = np.concatenate(right) if right else np.empty(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.minimum(x, y), pa.int64()), pa.array(np.maximum(x, y), pa.int64())], names=["a", "b"]
-            )
-
-    return groups.select("rows").mapInArrow(run, "a long, b long").distinct()
+            out: list[tuple[int, int]] = []
+            for _, rows, (rep, component, size, sketch) in groups_of(batch):
+                full = [as_set(x) for x in rows.field("shingles")]
+                # Components that a link has joined need no second one.
+                now = component.copy()
+                for i, at in promising(component, size, sketch, percent):
+                    for j in at.tolist():
+                        if now[i] != now[j] and close_sets(full[i], full[j], percent):
+                            out.append((int(rep[i]), int(rep[j])))
+                            now[now == now[j]] = now[i]
+            columns = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+    return again.select("rows").mapInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -263,15 +323,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         "representatives",
     )
     keyed = reps.select("rep", F.explode("bands").alias("key"))
-    buckets = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("rep").alias("centre")).where("n > 1")
-    members = stored(keyed.join(buckets, "key").select("key", "rep", "centre"), "members")
+    buckets = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    members = stored(keyed.join(buckets, "key").select("key", "rep", "n"), "members")
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = stored(hashed_sets(texts.join(needed, "doc_id", "left_semi"), words), "sets")
-    stars = members.where("rep <> centre").select(F.col("rep").alias("a"), F.col("centre").alias("b")).distinct()
-    links = stored(similar(stars, sets, percent), "star-links")
+    links = stored(similar(stars(members), sets, percent), "star-links")
     comps = components(links)
-    more = stored(similar(across(members, reps, comps), sets, percent), "cross-links")
+    more = stored(across(members.drop("n"), reps, sets, comps, percent), "cross-links")
     comps = components(links.unionAll(more))
     named = reps.select("digest", "rep").join(comps, F.col("rep") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("component"))
