@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import chunks
+from pagemill.llm.common import chunks, sampled_ids
 from pagemill.llm.labelled_pages import CLOSE, LABELLED_PAGES, OPEN
 
 TOKEN = re.compile(
@@ -229,8 +229,7 @@ def fit_weights(pages: DataFrame, sample: int = SAMPLE) -> dict[str, float]:
     The sample is the pages with the least hashes of their ids; of it, those with an
     article or main element are labelled by that element. Null ids are passed over.
     """
-    ids = pages.select(F.col("page_id").cast("long")).where("page_id IS NOT NULL")
-    chosen = [r[0] for r in ids.orderBy(F.xxhash64("page_id"), "page_id").limit(sample).collect()]
+    chosen = sampled_ids(pages, "page_id", sample)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,6 +270,45 @@ def edge(token: Token) -> bool:
     return token.kind in ("open", "close") and token.name in BLOCKS
 
 
+def widened(tokens: list[Token], start: int, end: int) -> tuple[int, int]:
+    """A run in whole blocks, and on over blocks beside it that hold words but no links.
+
+    Short blocks at the edges of the content cost more in tags than their words bring;
+    they belong to it where the same element holds them, short of the page itself.
+    """
+    if start >= end:
+        return start, end
+    around = [
+        (i, t.partner) for i, t in enumerate(tokens[:start])
+        if t.kind == "open" and t.partner >= end and t.name not in ("html", "body")
+    ]
+    low, high = around[-1] if around else (start, end)
+
+    def whole(i: int, step: int) -> int:
+        """From a place to the end of its block in one direction."""
+        while 0 <= i < len(tokens) and not edge(tokens[i]):
+            i += step
+        return i
+
+    def plain(own: list[Token]) -> bool | None:
+        """Whether a block has words but no links; None for one without either."""
+        shown = [t for t in own if t.kind == "text" and t.words and not t.gone]
+        return not any(t.linked for t in shown) if shown else None
+
+    start, end = whole(start - 1, -1) + 1, whole(end, 1)
+    while end < high:
+        stop = whole(end + 1, 1)
+        if plain(tokens[end:stop]) is False:
+            break
+        end = stop
+    while start > low + 1:
+        first = whole(start - 2, -1) + 1
+        if plain(tokens[first:start]) is False:
+            break
+        start = first
+    return start, min(end, len(tokens))
+
+
 def main_text(page: str, weights: dict[str, float]) -> str:
     """Blocks of the content region, in page order, joined by two line feeds."""
     tokens = prepare(page)
@@ -278,12 +316,7 @@ def main_text(page: str, weights: dict[str, float]) -> str:
     for t, kind in zip(tokens, classes(tokens), strict=True):
         weight = weights.get(kind, 0.1 if t.kind == "text" else -1.0)
         scores.append(0.0 if t.gone or t.kind == "mark" else weight * t.words if t.kind == "text" else weight)
-    start, end = best_run(scores)
-    if start < end:  # blocks count whole
-        while start and not edge(tokens[start - 1]):
-            start -= 1
-        while end < len(tokens) and not edge(tokens[end]):
-            end += 1
+    start, end = widened(tokens, *best_run(scores))
     blocks, parts = [], []
     for t in tokens[start:end]:
         if t.kind == "text":

@@ -38,4 +38,11 @@ prices fall</a> <a href="/2">New lighthouse keeper</a></div><p>Write to us about
     """<body><div><a href="/in">Sign in</a></div><main><!--[--><h1>Release notes</h1><h2>Speed</h2><p>Start-up takes half
 as long.</p><h2>Mends</h2><p>The list no longer jumps when a row is taken out. Dates are shown in the order of the
 reader's country.</p><pre>run --fast</pre><!--]--></main><div><a href="/all">All releases</a></div></body>""",
+    # Paragraphs as blocks of their own, some of them short.
+    """<body><div><div><a href="/">Top</a></div><div><a href="/list">List</a></div></div><div id="c"><!--[--><div>The bell
+on the hill</div><div><div>Every evening at seven somebody rings the bell on the hill, and nobody in the valley has ever
+found out who it is.</div><div>It rings nine times.</div><div>On the night of the great storm it rang as well, although
+the rope had been taken down the week before to be mended by the saddler.</div><div>He swore to it.</div><div><div>Some
+say that the wind does it, but then the wind has learnt to count.</div><div>Listen tonight.</div></div></div><!--]-->
+</div><div><div><a href="/p">Previous</a></div><div><a href="/n">Next</a></div></div></body>""",
 )
