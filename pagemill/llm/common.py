@@ -57,6 +57,18 @@ def unpacked(found: DataFrame, columns: list[str], text: str) -> DataFrame:
     return found.select(*((made[c] if c in made else F.col(f"row.`{c}`")).alias(c) for c in columns))
 
 
+def sampled_ids(rows: DataFrame, column: str, n: int) -> list[int]:
+    """n ids of a column, those with the least hashes; nulls are passed over.
+
+    A first cut by hash leaves about 2 n of them, so that no task sends more than its share.
+    """
+    ids = rows.select(F.col(column).cast("long").alias("id")).where("id IS NOT NULL")
+    key, total = F.pmod(F.xxhash64("id"), F.lit(1 << 40)), ids.count()
+    if total > 4 * n:
+        ids = ids.where(key < (1 << 40) * 2 * n // total)
+    return [r["id"] for r in ids.orderBy(key, "id").limit(n).collect()]
+
+
 def chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of batch with about limit bytes of column each; a longer row stands alone."""
     start = size = 0

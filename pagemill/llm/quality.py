@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pagemill.llm import crf
-from pagemill.llm.common import chunks, narrow, row_schema
+from pagemill.llm.common import chunks, narrow, row_schema, sampled_ids
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\x0b\x0c\r"
@@ -108,8 +108,7 @@ def fit_lines(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, lines: i
     )
     chosen = {}
     for quality in (0, 1):
-        rows = known.where(F.col("quality") == quality).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample // 2)
-        chosen |= {r["doc_id"]: quality for r in rows.collect()}
+        chosen |= dict.fromkeys(sampled_ids(known.where(F.col("quality") == quality), "doc_id", sample // 2), quality)
     if not chosen:
         return crf.empty(N_FEATURES, 2)
 
