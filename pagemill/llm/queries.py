@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, extraction, hnsw, licences, lines, minhash, packing, quality, secrets
+from pagemill.llm import bpe, chat, extraction, hnsw, known_licences, licences, lines, minhash, packing, quality, secrets
 
 
 def tokenizer_path(name: str) -> str:
@@ -48,8 +48,9 @@ NOTICES = (
 
 
 def op1_licence_scan(spark: SparkSession, folder: str) -> DataFrame:
-    values = ", ".join(f"('{name}', '{text}')" for name, text in NOTICES)
-    known = spark.sql(f"SELECT * FROM VALUES {values} AS t(licence, text)")
+    texts = [*NOTICES, *known_licences.HEADERS, *known_licences.bodies()]
+    rows = F.array(*(F.struct(F.lit(name).alias("licence"), F.lit(text).alias("text")) for name, text in texts))
+    known = spark.range(1).select(F.inline(rows))
     return licences.scan(table(spark, folder, "documents"), known)
 
 

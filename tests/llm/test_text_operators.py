@@ -124,6 +124,35 @@ def test_licence_forms(spark, odd, none, docs_of):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_whole_licences_and_wrapped_notices(spark, docs_of, tmp_path):
+    import textwrap
+
+    from pagemill.llm import known_licences
+
+    mit = known_licences.FOLDER.joinpath("MIT.txt").read_text()
+    body = mit[mit.index("Permission") :]
+    bsd = known_licences.FOLDER.joinpath("BSD-3-Clause.txt").read_text()
+    apache = f"{known_licences.APACHE} {known_licences.APACHE_TERMS}"
+    texts = [
+        mit.replace("<year> <copyright holders>", "2019 Ann Miller"),
+        "Some words before.\n\n" + mit + "\nand some after",
+        *("first line\n" + "\n".join(textwrap.wrap(" ".join(body.split()), width)) + "\nlast line" for width in (37, 60, 120)),
+        "code()\n" + "\n".join(f" * {x}" for x in textwrap.wrap(apache, 70)) + "\nmore()",
+        "x\n" + bsd.replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* ") + "y",
+        "a\n// " + "\n// ".join(textwrap.wrap(known_licences.MPL.format("https://"), 60)) + "\nb",
+        known_licences.FOLDER.joinpath("GPL-3.0.txt").read_text(),
+        "Permission is hereby granted, free of charge, to no one\nat all",
+        "z\n" + known_licences.BSD,
+        'z\nLicensed under the Apache License, Version 2.0 (the "License");\nz',
+    ]
+    docs_of(texts).write.parquet(f"{tmp_path}/documents.parquet")
+    got = pairs(queries.op1_licence_scan(spark, str(tmp_path)))
+    assert [got[i][0] for i in (0, 8, 1)] == ["MIT", "GPL-3.0", None]
+    assert [got[i][1] for i in range(1, 5)] == ["MIT"] * 4 and got[9] == (None, "", 0)
+    assert "Apache-2.0" in got[5][1] and "BSD-3-Clause" in got[6][1] and got[10][1] == "BSD" and got[11][1:] == ("Apache-2.0", 1)
+    assert "MPL-2.0" in got[7][1]
+
+
 # -- packing -----------------------------------------------------------------
 
 
