@@ -38,7 +38,8 @@ def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of 2048 tokens, a row per piece."""
-    return packing.pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"), end_id=1)
+    added = packing.added_tokens(tokenizer_path("byte_bpe_50k.json"))
+    return packing.pack(docs, tokenizer_path("byte_bpe_50k.tiktoken"), end_id=1, added=added)
 
 
 STAGES = [

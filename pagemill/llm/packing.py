@@ -15,6 +15,8 @@ by arithmetic, so no sequence is ever collected.
 
 from __future__ import annotations
 
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -141,7 +143,28 @@ def layout(histogram: dict[int, int], capacity: int = CAPACITY) -> list[Slot]:
     return slots
 
 
-def pieces(docs: DataFrame, ranks_path: str, end_id: int, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
+def added_tokens(json_path: str) -> dict[str, int]:
+    """Texts and ids of the added tokens in a tokenizer's JSON file."""
+    with open(json_path, encoding="utf-8") as file:
+        return {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
+
+
+def encode_with(texts: list[str | None], ranks_path: str, added: dict[str, int]) -> list[np.ndarray]:
+    """Ids of every text, which is cut at the added tokens before; of those that start at one place the longest counts."""
+    if not added:
+        return encode_texts(texts, ranks_path)
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
+    parts = [cut.split(t or "") for t in texts]
+    plain, out = iter(encode_texts([p for own in parts for p in own[::2]], ranks_path)), []
+    for own in parts:
+        ids = [next(plain) if i % 2 == 0 else np.array([added[p]], "<i4") for i, p in enumerate(own)]
+        out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
+    return out
+
+
+def pieces(
+    docs: DataFrame, ranks_path: str, end_id: int, capacity: int = CAPACITY, grid: int = GRID, added: dict[str, int] | None = None
+) -> DataFrame:
     """Pieces of every document with their ids, counted within the task by length.
 
     part and rank_in_part hold only together with the table they are stored in: a
@@ -154,7 +177,7 @@ def pieces(docs: DataFrame, ranks_path: str, end_id: int, capacity: int = CAPACI
             for batch in chunks(whole, "text", 1 << 20):
                 rows: dict[str, list] = {n: [] for n in names}
                 keys = batch.column("doc_id").to_pylist()
-                for key, ids in zip(keys, encode_texts(batch.column("text").to_pylist(), ranks_path), strict=True):
+                for key, ids in zip(keys, encode_with(batch.column("text").to_pylist(), ranks_path, added or {}), strict=True):
                     ids = np.append(ids, np.int32(end_id)).astype("<i4")
                     n = len(ids)
                     full = n - n % capacity
@@ -175,18 +198,20 @@ def pieces(docs: DataFrame, ranks_path: str, end_id: int, capacity: int = CAPACI
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, part long, rank_in_part long")
 
 
-def pack(docs: DataFrame, ranks_path: str, end_id: int = 1, capacity: int = CAPACITY, grid: int = GRID) -> DataFrame:
+def pack(
+    docs: DataFrame, ranks_path: str, end_id: int = 1, capacity: int = CAPACITY, grid: int = GRID, added: dict[str, int] | None = None
+) -> DataFrame:
     """docs(doc_id, text) as sequences of at most capacity tokens.
 
     One row per piece: doc_id, start (tokens of its document before it), length, ids
     (binary, little-endian 32-bit), doc_tokens, sequence_id, offset. A document is the
-    ids of its text and end_id; a null or empty text is end_id alone; a null doc_id is
+    ids of its text, where added maps texts to ids of their own, and end_id; a null or empty text is end_id alone; a null doc_id is
     kept; repeated rows are packed each; other columns are left out. Within a sequence
     pieces lie without gaps from offset 0. An empty table gives an empty one. The
     driver gets the histogram of piece lengths: capacity / grid + grid rows at most.
     """
     spark = docs.sparkSession
-    cut = stored(pieces(docs, ranks_path, end_id, capacity, grid), "pieces")
+    cut = stored(pieces(docs, ranks_path, end_id, capacity, grid, added), "pieces")
     counts = cut.groupBy("part", "length").count()
     by_length = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("part", "length", F.coalesce(F.sum("count").over(by_length), F.lit(0)).alias("base"))

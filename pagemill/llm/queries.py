@@ -74,8 +74,9 @@ def op4_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
-    # The rank file holds the vocabulary of byte_bpe_50k.json; the ids are the same.
-    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), end_id=1)
+    # The rank file holds the vocabulary of byte_bpe_50k.json but its added tokens; the ids are the same.
+    added = packing.added_tokens(tokenizer_path("byte_bpe_50k.json"))
+    packed = packing.pack(table(spark, folder, "documents"), tokenizer_path("byte_bpe_50k.tiktoken"), end_id=1, added=added)
     return packed.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

@@ -189,6 +189,17 @@ def test_packing(docs_of, none, prose, reference, capacity, grid):
     assert packing.pack(none, RANKS).count() == 0
 
 
+def test_packing_reads_added_tokens():
+    from tokenizers import Tokenizer
+
+    path = public.path("byte_bpe_50k.json")
+    own, added = Tokenizer.from_file(path), packing.added_tokens(path)
+    texts = ["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|><|endoftext|>\n y", "<|endoftext|", None, "", "plain words 12"]
+    got = packing.encode_with(texts, public.path("byte_bpe_50k.tiktoken"), added)
+    assert [g.tolist() for g in got] == [own.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert got[0].tolist() == [64, 50256, 65]
+
+
 def test_layout_holds_every_piece_once():
     rng = np.random.default_rng(4)
     histogram = {int(n): int(c) for n, c in zip(rng.choice(np.arange(1, 97), 60, replace=False), rng.integers(1, 400, 60), strict=True)}
