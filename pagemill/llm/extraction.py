@@ -24,7 +24,8 @@ from pagemill.llm.labelled_pages import CLOSE, LABELLED_PAGES, OPEN
 
 TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|textarea|title|object|math)\b(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title)(?=[\s/>])(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<svg(?=[\s/>])(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+(?:(?<=/)>|>.*?(?:</svg\s*>|\Z))"
     r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text><?[^<]+|<)",

@@ -163,6 +163,16 @@ def test_hand_made_pages(spark, weights):
     assert extraction.extract(pages.limit(0), extraction.fit_weights(pages.limit(0))).count() == 0
 
 
+def test_names_like_raw_elements(weights):
+    for page, text in (
+        ("<article><svg-icon></svg-icon><p>text of it</p></article>", "text of it"),
+        ("<article><title-bar>a b</title-bar><p>text of it</p></article>", "a b\n\ntext of it"),
+        ("<article><p>one <svg width='3'/> two</p><p>three</p><svg><text>no</text></svg></article>", "one two\n\nthree"),
+        ("<article><p>so <math><mi>x</mi></math> is</p><object data=a>fallback words</object></article>", "so x is\n\nfallback words"),
+    ):
+        assert extraction.main_text(page, weights) == text
+
+
 def test_best_run_against_all_runs():
     rng = np.random.default_rng(8)
     for _ in range(200):
