@@ -50,6 +50,14 @@ MARKS = frozenset(
     "comment comments replies respond disqus discussion form paywall teaser teasers trending popular skip".split()
 )
 READERS = frozenset("comment comments replies respond disqus discussion".split())
+#: Words that make a compound with a mark, as in cookie-notice-box; any other word takes the mark away.
+BESIDE = frozenset(
+    "box bar bars list lists section sections container wrapper wrap block blocks link links area widget site page top bottom left right "
+    "primary secondary global inner outer item items button buttons content text body title meta icon icons panel thread slot unit main post posts".split()
+)
+#: Marks that a section of a text may well be named after.
+TITLES = frozenset("discussion legal search social related notice notices recommendations copyright disclaimer popular trending form".split())
+JUDGED_BY_NAME = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 SPLIT_MARK = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 CONTENT = ("article", "main")
 SAMPLE = 400
@@ -119,9 +127,17 @@ def unwanted(token: Token, within: bool) -> str:
     attrs = {(m[1] or m[5]).lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(token.attrs)}
     if attrs.get("role", "").lower() in ROLES or "hidden" in attrs or re.search(r"display\s*:\s*none", attrs.get("style", "")):
         return "name"
-    words = {w.lower() for key in ("class", "id") for w in SPLIT_MARK.split(attrs.get(key, ""))} & MARKS
+    if token.name in JUDGED_BY_NAME:
+        return ""
+    words: set[str] = set()
+    for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
+        own = {w.lower() for w in SPLIT_MARK.split(name) if w}
+        if own & MARKS and own <= MARKS | BESIDE:
+            words |= own & MARKS
     if within:
         words -= {"header"}
+        if token.name in ("section", "div"):
+            words -= TITLES
     return "readers" if words & READERS else "mark" if words else ""
 
 
@@ -142,9 +158,10 @@ def prepare(page: str) -> list[Token]:
             if t.name == aim and not unwanted(t, False):
                 within_until = max(within_until, end)
             why = unwanted(t, i < within_until and t.name not in CONTENT)
-            if why == "mark":
+            if why == "mark" or why == "readers" and i < within_until:
                 # A class may speak of what stands beside: it takes out no article and not most of the page.
-                if holds[min(end, len(tokens))] - holds[i + 1] or 2 * (before[min(end, len(tokens))] - before[i]) > before[-1]:
+                # Comments within an article may be articles of their own.
+                if why == "mark" and holds[min(end, len(tokens))] - holds[i + 1] or 2 * (before[min(end, len(tokens))] - before[i]) > before[-1]:
                     why = ""
             if why:
                 if not closed and t.name not in ("footer", "nav", "head"):

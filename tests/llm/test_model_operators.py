@@ -173,6 +173,18 @@ def test_names_like_raw_elements(weights):
         assert extraction.main_text(page, weights) == text
 
 
+def test_slug_ids_and_words_of_marks(weights):
+    for page, text in (
+        ("<article><h2 id='legal-issues'>Legal issues</h2><p class='alert'>first words here</p><section id='social-impact'><p>more words</p></section></article>",
+         "Legal issues\n\nfirst words here\n\nmore words"),
+        ("<article><p>one two three four five six</p><section id='discussion'><h2>Discussion</h2><p>we saw it</p></section></article>",
+         "one two three four five six\n\nDiscussion\n\nwe saw it"),
+        ("<body><div class='has-comments'><article class='post discussion'><p>words of the text</p></article></div></body>", "words of the text"),
+        ("<article><p>words of the text that go on</p><div class='ad-box'>buy it</div><div id='comments'>so nice</div></article>", "words of the text that go on"),
+    ):
+        assert extraction.main_text(page, weights) == text
+
+
 def test_best_run_against_all_runs():
     rng = np.random.default_rng(8)
     for _ in range(200):
