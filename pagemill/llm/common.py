@@ -36,6 +36,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder of shared_folder that is no longer read."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def narrow(docs: DataFrame, carry: bool) -> DataFrame:
     """doc_id and text of docs; with carry also row, a struct of all its columns but text.
 

@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pagemill.llm import bpe, chat, extraction, hnsw, known_licences, licences, lines, minhash, packing, quality, secrets
+from pagemill.llm import (
+    bpe, chat, clustering, extraction, hnsw, known_licences, licences, lines, minhash, packing, quality, resampling, secrets, url_filters,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -105,6 +107,32 @@ def op8_hnsw(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"), k=5)
 
 
+# The rules of the contract, and the names of sites that no corpus wants.
+URL_RULES = (
+    ("allow", "org", "/"),
+    ("block", "example.org", "/es/"),
+    ("block", "example.org", "/en/1"),
+    ("allow", "com", "/fr/"),
+    ("block", "com", "/de/"),
+)
+LISTED_NAMES = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+LISTED_DOMAINS = tuple(f"{name}.example.{ending}" for name in LISTED_NAMES for ending in ("com", "net", "org"))
+
+
+def op11_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    listed = spark.createDataFrame([(d,) for d in LISTED_DOMAINS], "key string")
+    return url_filters.judge(table(spark, folder, "pages"), URL_RULES, listed)
+
+
+def op12_ns_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return clustering.cluster(table(spark, folder, "embeddings"), dim=64, k=8, rounds=10, scale=1024, seed=3)
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    docs, target = table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    return resampling.resample(docs, target, longest=1, buckets=10000, percent=10, shortest=20, seed=2024)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_licence_scan": op1_licence_scan,
     "op2_html_extraction": op2_html_extraction,
@@ -116,6 +144,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_hnsw": op8_hnsw,
     "op9_byte_bpe": op9_byte_bpe,
     "op10_chat_format": op10_chat_format,
+    "op11_url_filter": op11_url_filter,
+    "op12_ns_clusters": op12_ns_clusters,
+    "op13_importance_resampling": op13_importance_resampling,
 }
 
 # Letters and white space of the contract's classes, for SQL.
@@ -123,7 +154,6 @@ LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz
 WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
 
-
 def canonical_sql(text: str) -> str:
     """licences.canonical for DuckDB."""
     out = f"lower({text})"
@@ -134,6 +164,38 @@ def canonical_sql(text: str) -> str:
     return f"trim(regexp_replace({out}, '{licences.BLANKS}', chr(10), 'g'), ' ' || chr(10))"
 
 
+
+def clusters_sql(dim: int, k: int, rounds: int, scale: int, seed: int) -> str:
+    """clustering.cluster for DuckDB, every distance of every round."""
+    nearest = """
+SELECT vec_id, v, unnest(arg_min(j, (d, j), 1)) AS j, unnest(min(d, 1)) AS d FROM (
+  SELECT vec_id, row, v, j, list_sum(list_transform(range(1, len(v) + 1), lambda i: (v[i] - c[i]) * (v[i] - c[i])))::BIGINT AS d
+  FROM kept, c{t}) GROUP BY row, vec_id, v"""
+    steps = []
+    for t in range(rounds):
+        steps.append(f"a{t} AS MATERIALIZED ({nearest.format(t=t)})")
+        steps.append(f"""c{t + 1} AS MATERIALIZED (
+  SELECT j, coalesce(m.c, c{t}.c) AS c FROM c{t} LEFT JOIN (
+    SELECT j, list((s - ((s % n) + n) % n) // n ORDER BY i) AS c FROM (
+      SELECT j, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{t}, range(1, {dim} + 1) r(i) GROUP BY j, i) GROUP BY j) m USING (j))""")
+    return f"""
+WITH kept AS MATERIALIZED (
+  SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: floor({scale} * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim}),
+c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS j, v AS c FROM (SELECT v, sha256('{seed}:' || vec_id) AS h FROM kept ORDER BY h, v LIMIT {k})),
+{", ".join(steps)},
+done AS MATERIALIZED ({nearest.format(t=rounds)}),
+digests AS (SELECT j, sha256(array_to_string(c, ',')) AS h FROM c{rounds})
+SELECT vec_id, j::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY j)::BIGINT AS cluster_inertia,
+  sum(d) OVER ()::BIGINT AS inertia, h AS centroid_sha256
+FROM done JOIN digests USING (j)
+"""
+
+
+# CRC-32 of the list of bytes b, by the usual table of 256 entries, entry.
+CRC32_SQL = "xor(list_reduce(list_prepend(4294967295::BIGINT, b), lambda c, x: xor(entry[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"
+
 ORACLES: dict[str, str] = {
     "op1_licence_scan": f"""
 WITH known AS (
@@ -195,5 +257,51 @@ SELECT conv_id, count(*)::BIGINT AS n_turns,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   sum(length('<|im_start|>') + length(role) + 1 + length(escaped) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
 FROM seen GROUP BY conv_id
+""",
+    "op11_url_filter": f"""
+WITH parts AS (
+  SELECT page_id, {LOWER.format("coalesce(regexp_extract(url, '^(?s:.*?)://([^/?#]*)', 1), '')")} AS host,
+    coalesce(regexp_extract(url, '^(?s:.*?)://[^/?#]*([^?#]*)', 1), '') AS path FROM pages),
+rules AS (SELECT * FROM (VALUES {", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in URL_RULES)}) t(verdict, host, path)),
+listed AS (SELECT * FROM (VALUES {", ".join(f"('{d}')" for d in LISTED_DOMAINS)}) t(host)),
+hosts AS (
+  SELECT host, EXISTS (SELECT 1 FROM listed l WHERE p.host = l.host OR ends_with(p.host, '.' || l.host)) AS listed
+  FROM (SELECT DISTINCT host FROM parts) p),
+ruled AS (
+  SELECT p.host, p.path, max_by(r.host || r.path, length(r.host || r.path)) AS rule, max_by(r.verdict, length(r.host || r.path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM parts) p JOIN rules r
+    ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY p.host, p.path)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
+FROM parts JOIN hosts USING (host) LEFT JOIN ruled USING (host, path)
+""",
+    "op12_ns_clusters": clusters_sql(dim=64, k=8, rounds=10, scale=1024, seed=3),
+    "op13_importance_resampling": rf"""
+WITH crc_table AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(3988292384, c >> 1) ELSE c >> 1 END)) AS entry),
+texts AS (
+  SELECT doc_id, NULL AS item_id, text FROM documents UNION ALL SELECT NULL, item_id, text FROM benchmark),
+words AS (
+  SELECT doc_id, item_id IS NOT NULL AS aim, unnest(regexp_extract_all({LOWER.format("text")}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS w
+  FROM texts),
+hexed AS (SELECT w, hex(w) AS x FROM (SELECT DISTINCT w FROM words)),
+bytes AS (
+  SELECT w, list_transform(range(0, len(x) // 2), lambda i: (16 * (instr('0123456789ABCDEF', x[2 * i + 1]) - 1)
+    + instr('0123456789ABCDEF', x[2 * i + 2]) - 1)::BIGINT) AS b FROM hexed),
+hashed AS (SELECT w, {CRC32_SQL} % 10000 AS bucket FROM bytes, crc_table),
+met AS MATERIALIZED (SELECT doc_id, aim, bucket FROM words JOIN hashed USING (w)),
+totals AS (SELECT count(*) FILTER (NOT aim) AS s_all, count(*) FILTER (aim) AS t_all FROM met),
+gains AS (
+  SELECT bucket, floor(1000 * ln((t + 1)::DOUBLE * (t_s + 10000)::DOUBLE / ((s + 1)::DOUBLE * (t_t + 10000)::DOUBLE)))::BIGINT AS gain
+  FROM (SELECT bucket, count(*) FILTER (NOT aim) AS s, count(*) FILTER (aim) AS t, any_value(s_all) AS t_s, any_value(t_all) AS t_t
+    FROM met, totals GROUP BY bucket)),
+weighed AS (
+  SELECT doc_id, count(gain)::BIGINT AS n_features, coalesce(sum(gain), 0)::BIGINT AS weight
+  FROM documents d LEFT JOIN (SELECT doc_id, gain FROM met JOIN gains USING (bucket) WHERE NOT aim) USING (doc_id) GROUP BY doc_id),
+drawn AS (SELECT *, ('0x' || substr(sha256('2024:' || doc_id), 1, 8))::BIGINT AS h FROM weighed),
+scored AS (SELECT *, weight + floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS score FROM drawn),
+ranked AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, 10 * count(*) OVER () // 100 AS most FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN r <= most THEN r END AS rank FROM scored LEFT JOIN ranked USING (doc_id)
 """,
 }
