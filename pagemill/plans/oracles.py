@@ -384,6 +384,8 @@ ORACLES["stream_request_counts"] = f"""WITH {LOG}, late AS (SELECT max(ts) - INT
 SELECT key, window_start, count(*) AS n_requests FROM log, late WHERE window_start + INTERVAL 1 DAY <= t GROUP BY key, window_start"""
 ORACLES["over_limit_requests"] = f"WITH {LOG} SELECT event_id, key, ts, window_start FROM ranked WHERE n > {REQUESTS}"
 ORACLES["block_intervals"] = f"WITH {BLOCKS} SELECT key, blocked_from, blocked_until FROM blocks"
+ORACLES["stream_block_intervals"] = f"""WITH {BLOCKS}, late AS (SELECT max(ts) - INTERVAL 1 HOUR AS t FROM events)
+SELECT key, blocked_from, blocked_until FROM blocks, late WHERE date_trunc('day', blocked_until) + INTERVAL 1 DAY <= t"""
 ORACLES["blocked_requests"] = f"""WITH {BLOCKS} SELECT event_id, key, ts FROM log l WHERE EXISTS (
   SELECT 1 FROM blocks b WHERE b.key = l.key AND l.ts > b.blocked_from AND l.ts <= b.blocked_until)"""
 

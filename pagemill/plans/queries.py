@@ -18,7 +18,7 @@ from pagemill.operators import blocks, content, guard, limits, links, markdown,
 from pagemill.operators.layout import shared_folder
 from pagemill.plans.fixtures import spark_fixture
 from pagemill.sources import documents, pages
-from pagemill.streaming import page_stream, request_stream
+from pagemill.streaming import block_stream, page_stream, request_stream
 
 # Policy of the limit queries: events are spread thinly, so windows are long.
 REQUESTS, DURATION, BLOCK, DELAY = 5, "1 day", "12 hours", "1 hour"
@@ -575,14 +575,17 @@ def md_dropped(spark, sf):
 # -- streams -----------------------------------------------------------------
 
 
-@query
-def stream_request_counts(spark, sf):
+def _log_stream(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
-    log = spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parquet*").select(
         F.col("user_id").alias("key"), F.col("ts").cast("timestamp").alias("ts")
     )
+
+
+@query
+def stream_request_counts(spark, sf):
     target = request_stream.run_counts(
-        spark, log, DURATION, DELAY, _folder(spark, "counts"), _folder(spark, "counts-checkpoint")
+        spark, _log_stream(spark, sf), DURATION, DELAY, _folder(spark, "counts"), _folder(spark, "counts-checkpoint")
     )
     return spark.read.parquet(target).select(
         "key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_requests"
@@ -592,3 +595,13 @@ def stream_request_counts(spark, sf):
 @query
 def block_intervals(spark, sf):
     return limits.block_intervals(_log(spark, sf), REQUESTS, DURATION, BLOCK)
+
+
+@query
+def stream_block_intervals(spark, sf):
+    target = block_stream.run_blocks(
+        spark, _log_stream(spark, sf), REQUESTS, DURATION, BLOCK, DELAY, _folder(spark, "blocks"), _folder(spark, "blocks-checkpoint")
+    )
+    return spark.read.parquet(target).select(
+        "key", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("blocked_from", "blocked_until")]
+    )
