@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.markup import BLOCK_TAGS, OPAQUE_TAGS, TABLE_TAGS, raw_attribute, tag_of, tokens_of
-from pagemill.functions.text import decode_entities, let, strip_controls
+from pagemill.functions.text import decode_entities, let, run_at_end, strip_controls
 from pagemill.functions.urls import resolve_href
 
 BREAK = "\x01"
@@ -206,7 +206,7 @@ def _span(opener: str, closer: str, mark: str):
 
     def wrap(inner: Column) -> Column:
         lead = F.regexp_extract(inner, r"^[ \x01]*", 0)
-        trail = F.regexp_extract(inner, r"[ \x01]*\z", 0)
+        trail = F.regexp_extract(inner, run_at_end(r"[ \x01]"), 0)
         core = F.substring(inner, F.length(lead) + 1, F.length(inner) - F.length(lead) - F.length(trail))
         return F.when(inner.rlike(r"[^ \x01-\x1F]"), F.concat(lead, F.lit(mark), core, F.lit(mark), trail)).otherwise(
             inner
@@ -262,7 +262,7 @@ def inline_markdown(body: Column) -> Column:
     )
     bare = F.regexp_replace(tasks, r"[\x02-\x1F]", "")
     spaced = F.regexp_replace(bare, " *\x01 *", BREAK)
-    return F.regexp_replace(F.regexp_replace(spaced, " +", " "), r"^[ \x01]+|[ \x01]+\z", "")
+    return F.regexp_replace(F.regexp_replace(spaced, " +", " "), rf"^[ \x01]++|{run_at_end(r'[ \x01]')}", "")
 
 
 def inline_parts(body: Column, tag: Column, opened: Column) -> Column:
@@ -304,7 +304,7 @@ def code_block(body: Column, head: Column) -> Column:
     )
     bare = F.regexp_replace(body, r"\x10[^\x11]*\x11|\x02[^\x17]*\x17|[\x02-\x08\x0E-\x1F]", "")
     text = unescape_text(F.translate(bare, BREAK, "\n"))
-    trimmed = F.regexp_replace(text, r"^\r?\n|[ \t\r\n]+\z", "")
+    trimmed = F.regexp_replace(text, rf"^\r?\n|{run_at_end(r'[ \t\r\n]')}", "")
     return let(
         trimmed,
         lambda t: F.when(t == "", t).otherwise(

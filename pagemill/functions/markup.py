@@ -7,31 +7,33 @@ from pyspark.sql import functions as F
 
 from pagemill.functions.text import HTML_SPACE, decode_entities
 
-# Quoted attribute values may hold any character; possessive loops keep the
-# match linear and free of recursion.
-_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+"""
+# Quoted attribute values may hold any character; a quote that has no partner is
+# a character like others. A tag that is left open reaches to the end of the
+# page, as in a browser, and is no element. So every `<` that begins a tag ends
+# one, no character is looked at from two of them, and the time to cut a page
+# grows with its length. Possessive loops keep the match free of recursion.
+_ATTRS = r"""(?:[^>"']++|"[^"]*+"|'[^']*+'|["'])*+"""
+_END = r"(?:>|\z)"
 
 _OPAQUE = (
     r"<!--.*?(?:-->|\z)"
-    r"|<script(?:[ \t\r\n\f/][^>]*)?>.*?(?:</script[ \t\r\n\f]*>|\z)"
-    r"|<style(?:[ \t\r\n\f/][^>]*)?>.*?(?:</style[ \t\r\n\f]*>|\z)"
-    r"|<title(?:[ \t\r\n\f/][^>]*)?>.*?(?:</title[ \t\r\n\f]*>|\z)"
+    r"|<script(?:[ \t\r\n\f/][^>]*+)?>.*?(?:</script[ \t\r\n\f]*+>|\z)"
+    r"|<style(?:[ \t\r\n\f/][^>]*+)?>.*?(?:</style[ \t\r\n\f]*+>|\z)"
+    r"|<title(?:[ \t\r\n\f/][^>]*+)?>.*?(?:</title[ \t\r\n\f]*+>|\z)"
 )
+_MARKUP = rf"{_OPAQUE}|</?[a-z]{_ATTRS}{_END}|<[!?/][^>]*+{_END}"
 
 # Joined in order, the matches give back the whole text.
-TOKEN_REGEX = (
-    rf"(?is){_OPAQUE}"
-    rf"|</?[a-z]{_ATTRS}>|</?[a-z][^>]*>|<[!?/][^>]*>"
-    r"|[^<]+|<"
-)
+TOKEN_REGEX = rf"(?is){_MARKUP}|[^<]+|<"
 
 # One match per anchor (open tag and everything up to the next anchor tag), and
 # one per token that could hide something looking like an anchor. Hidden parts
 # and other tags are passed over whole, inside anchors as outside.
+ANCHOR_TAG = rf"<a(?:[ \t\r\n\f/]{_ATTRS})?>"
 ANCHOR_REGEX = (
     rf"(?is){_OPAQUE}"
-    rf"|<a(?:[ \t\r\n\f/]{_ATTRS})?>(?:[^<]++|{_OPAQUE}|</?(?!a[ \t\r\n\f/>])[a-z]{_ATTRS}>|<(?!/?a[ \t\r\n\f/>]))*+"
-    rf"|</?[a-z]{_ATTRS}>"
+    rf"|{ANCHOR_TAG}(?:[^<]++|{_OPAQUE}|</?(?!a[ \t\r\n\f/>])[a-z]{_ATTRS}{_END}|<(?!/?a[ \t\r\n\f/>]))*+"
+    rf"|</?[a-z]{_ATTRS}{_END}"
 )
 
 # Elements without content.
@@ -60,7 +62,8 @@ def tokens_of(html: Column) -> Column:
 
 
 def tag_of(raw: Column) -> Column:
-    return F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][^ \t\r\n\f/>]*)", 1))
+    """Name of a tag; empty for other tokens and for a tag that is left open."""
+    return F.when(raw.endswith(">"), F.lower(F.regexp_extract(raw, r"^</?([a-zA-Z][^ \t\r\n\f/>]*)", 1))).otherwise(F.lit(""))
 
 
 def kind_of(raw: Column, tag: Column) -> Column:
@@ -106,10 +109,7 @@ def attribute(raw: Column, name: str) -> Column:
 
 def plain_text(markup: Column) -> Column:
     """Text of a piece of HTML: tags and hidden parts gone, references decoded."""
-    bare = F.regexp_replace(
-        markup, rf"(?is){_OPAQUE}|</?[a-z]{_ATTRS}>|</?[a-z][^>]*>|<[!?/][^>]*>", ""
-    )
-    return decode_entities(bare)
+    return decode_entities(F.regexp_replace(markup, rf"(?is){_MARKUP}", ""))
 
 
 def page_title(html: Column) -> Column:

@@ -31,8 +31,13 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def run_at_end(one: str) -> str:
+    """Pattern of the run of `one` at the end; tried from the start of a run only, so runs elsewhere cost their length."""
+    return rf"(?<!{one}){one}++\z"
+
+
 def web_trim(col: Column) -> Column:
-    return F.regexp_replace(col, rf"^{TRIM_CLASS}+|{TRIM_CLASS}+\z", "")
+    return F.regexp_replace(col, rf"^{TRIM_CLASS}++|{run_at_end(TRIM_CLASS)}", "")
 
 
 def strip_controls(col: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions.markup import _ATTRS, ANCHOR_REGEX, plain_text, raw_attribute
+from pagemill.functions.markup import ANCHOR_REGEX, ANCHOR_TAG, plain_text, raw_attribute
 from pagemill.functions.reuse import reuse
 from pagemill.functions.text import decode_entities, let, web_trim
 from pagemill.functions.urls import is_parsable, render_url, resolve_text, url_parts
@@ -34,8 +34,8 @@ def href_wanted(href: Column) -> Column:
 
 def anchors(html: Column) -> Column:
     """Array of {href, text, rel} for every `a[href]`, in page order."""
-    found = F.filter(F.regexp_extract_all(html, F.lit(ANCHOR_REGEX), F.lit(0)), lambda m: m.rlike(r"^<[aA][ \t\r\n\f/>]"))
-    tag = rf"(?is)^<a{_ATTRS}>"
+    tag = rf"(?is)^{ANCHOR_TAG}"
+    found = F.filter(F.regexp_extract_all(html, F.lit(ANCHOR_REGEX), F.lit(0)), lambda m: m.rlike(tag))
 
     def fields(anchor: Column) -> Column:
         values = F.transform(

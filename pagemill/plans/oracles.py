@@ -392,12 +392,12 @@ ORACLES["blocked_requests"] = f"""WITH {BLOCKS} SELECT event_id, key, ts FROM lo
 # -- pages as token rows -----------------------------------------------------
 
 _S = r"[ \t\r\n\f]"
-_TAIL = """(?:[^>"'']+|"[^"]*"|''[^'']*'')*"""
+_TAIL = """(?:[^>"'']+|"[^"]*"|''[^'']*''|["''])*(?:>|\\z)"""
 _OPAQUE = "|".join(
     [r"<!--.*?(?:-->|\z)"]
     + [rf"<{t}(?:[ \t\r\n\f/][^>]*)?>.*?(?:</{t}[ \t\r\n\f]*>|\z)" for t in ("script", "style", "title")]
 )
-_TOKEN = rf"(?is){_OPAQUE}|</?[a-z]{_TAIL}>|</?[a-z][^>]*>|<[!?/][^>]*>|[^<]+|<"
+_TOKEN = rf"(?is){_OPAQUE}|</?[a-z]{_TAIL}|<[!?/][^>]*(?:>|\z)|[^<]+|<"
 _VOID = "'area','base','br','col','embed','hr','img','input','link','meta','param','source','track','wbr'"
 _BLOCK = (
     "'address','article','aside','blockquote','body','center','dd','details','dialog','dir','div','dl','dt','fieldset',"
@@ -413,7 +413,7 @@ def token_ctes(source: str) -> str:
     return f"""src AS ({source}),
 tl AS (SELECT page_id, regexp_extract_all(html, '{_TOKEN}') AS l FROM src),
 tok AS (SELECT page_id, unnest(l) AS raw, unnest(range(len(l))) AS pos FROM tl),
-tagged AS (SELECT *, lower(regexp_extract(raw, '^</?([a-zA-Z][^ \\t\\r\\n\\f/>]*)', 1)) AS tag FROM tok),
+tagged AS (SELECT *, CASE WHEN raw[-1] = '>' THEN lower(regexp_extract(raw, '^</?([a-zA-Z][^ \\t\\r\\n\\f/>]*)', 1)) ELSE '' END AS tag FROM tok),
 kinds AS (SELECT *, CASE WHEN raw[1] <> '<' OR length(raw) = 1 THEN 'text' WHEN tag = '' OR tag IN ('script','style','title') THEN 'drop'
   WHEN raw[2] = '/' THEN 'close' WHEN tag IN ({_VOID}) THEN 'void' ELSE 'open' END AS kind FROM tagged)"""
 
