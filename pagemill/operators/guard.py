@@ -11,10 +11,12 @@ from pagemill.functions.addresses import ip_to_int, is_ip_literal, is_private, p
 from pagemill.functions.reuse import reuse
 from pagemill.functions.text import let
 from pagemill.functions.urls import BLOCKED_SCHEMES, is_parsable, url_parts
-from pagemill.operators.layout import mark_known
+from pagemill.operators.layout import mark_known, stored
 
 INVALID = "Invalid URL"
 PRIVATE = "URLs targeting private/internal IP addresses are not allowed"
+# Hits of a look-up that every task may hold: some 20 MB of them.
+MOST_BROADCAST = 500_000
 REDIRECT = "Redirect target blocked by SSRF guard: "
 
 
@@ -152,20 +154,32 @@ def blocked_hosts(dns: DataFrame, cidrs: tuple[str, ...] = ()) -> DataFrame:
     return dns.filter(_bad_address(cidrs)).select(F.lower("host").alias("host")).distinct()
 
 
+def lookup_flags(rows: DataFrame, dns: DataFrame, urls: tuple[str, ...], cidrs=(), hosts=()) -> DataFrame:
+    """(page_id, `<url>_private`...) of the rows with a host name that resolves
+    to a blocked address. Works on keys and host names only."""
+    stacked = rows.select("page_id", F.explode(_named_hosts(urls, tuple(hosts))).alias("s")).select(
+        "page_id", "s.role", "s.host"
+    ).filter("host IS NOT NULL")
+    hits = mark_known(stacked, blocked_hosts(dns, tuple(cidrs)), "host", "hit").filter("hit")
+    return hits.groupBy("page_id").agg(*[F.max(F.col("role") == u).alias(f"{u}_private") for u in urls])
+
+
 def with_lookups(
     rows: DataFrame, dns: DataFrame | None, urls: tuple[str, ...], cidrs=(), hosts=()
 ) -> DataFrame:
     """Add `<url>_private` for each column of `urls`: does its host name resolve
-    to a blocked address? The look-up works on keys and host names only; the
-    pages themselves meet just the keys of the blocked rows."""
+    to a blocked address?
+
+    The look-up runs when this is called, over keys and host names, and its few
+    hits are stored; rows stay where they are. Up to MOST_BROADCAST hits go to
+    every task. More are hashed to the buckets of `rows`, if those are bucketed
+    by `page_id` (`sources.pages.save_crawl`); only other rows would be shuffled.
+    """
     if dns is None:
         return rows.select("*", *[F.lit(False).alias(f"{u}_private") for u in urls])
-    stacked = rows.select("page_id", F.explode(_named_hosts(urls, tuple(hosts))).alias("s")).select(
-        "page_id", "s.role", "s.host"
-    ).filter("host IS NOT NULL")
-    hits = mark_known(stacked, blocked_hosts(dns, tuple(cidrs)), "host", "hit").filter("hit")
-    flags = hits.groupBy("page_id").agg(*[F.max(F.col("role") == u).alias(f"{u}_private") for u in urls])
-    return rows.join(flags, "page_id", "left")
+    flags = stored(lookup_flags(rows, dns, urls, cidrs, hosts), "lookups")
+    few = flags.count() <= MOST_BROADCAST
+    return rows.join(F.broadcast(flags) if few else flags.hint("shuffle_hash"), "page_id", "left")
 
 
 @reuse

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -44,3 +45,17 @@ def shared_folder(spark: SparkSession, prefix: str) -> str:
     if not root:
         raise ValueError("name a target and a checkpoint, or set spark.checkpoint.dir to shared storage")
     return f"{root.rstrip('/')}/{prefix}-{uuid.uuid4().hex}"
+
+
+def working_folder(spark: SparkSession, prefix: str) -> str:
+    """A new shared folder; in a session of one machine that names none, a temporary one."""
+    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
+        return f"{tempfile.mkdtemp(prefix='pagemill-')}/{prefix}"
+    return shared_folder(spark, prefix)
+
+
+def stored(rows: DataFrame, prefix: str) -> DataFrame:
+    """rows written to a working folder and read back."""
+    path = working_folder(rows.sparkSession, prefix)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

@@ -5,8 +5,6 @@ Results are flat: lists are written as text, so that any engine can check them.
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -15,7 +13,7 @@ from pagemill.functions import addresses, urls
 from pagemill.functions.markup import page_title
 from pagemill.functions.text import comma_list, decode_entities, flag_word
 from pagemill.operators import blocks, content, guard, limits, links, markdown, outcomes, select, tokens
-from pagemill.operators.layout import shared_folder
+from pagemill.operators.layout import working_folder
 from pagemill.plans.fixtures import spark_fixture
 from pagemill.sources import documents, pages
 from pagemill.streaming import block_stream, page_stream, request_stream
@@ -38,13 +36,6 @@ def named(name: str):
     return lambda fn: query(fn, name)
 
 
-def _folder(spark: SparkSession, name: str) -> str:
-    """Place for a query's stream: shared storage, or in a session of one machine a temporary folder."""
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext.master.startswith("local["):
-        return f"{tempfile.mkdtemp(prefix='pagemill-')}/{name}"
-    return shared_folder(spark, name)
-
-
 def _pages(spark: SparkSession, sf: str) -> DataFrame:
     return pages.read_pages(spark, f"{sf}/pages.parquet")
 
@@ -91,7 +82,7 @@ def stream_pages(spark, sf):
     def job(batch):
         return outcomes.page_metrics(outcomes.page_results(outcomes.outcomes(pages.as_crawl(batch))))
 
-    target, checkpoint = _folder(spark, "pages"), _folder(spark, "pages-checkpoint")
+    target, checkpoint = working_folder(spark, "pages"), working_folder(spark, "pages-checkpoint")
     page_stream.stream_pages(spark, f"{sf}/pages.parquet*", pages.PAGE_SCHEMA, job, target, checkpoint, max_files=64)
     return spark.read.parquet(target).drop("batch")
 
@@ -585,7 +576,7 @@ def _log_stream(spark, sf):
 @query
 def stream_request_counts(spark, sf):
     target = request_stream.run_counts(
-        spark, _log_stream(spark, sf), DURATION, DELAY, _folder(spark, "counts"), _folder(spark, "counts-checkpoint")
+        spark, _log_stream(spark, sf), DURATION, DELAY, working_folder(spark, "counts"), working_folder(spark, "counts-checkpoint")
     )
     return spark.read.parquet(target).select(
         "key", F.col("window_start").cast("timestamp_ntz").alias("window_start"), "n_requests"
@@ -600,7 +591,7 @@ def block_intervals(spark, sf):
 @query
 def stream_block_intervals(spark, sf):
     target = block_stream.run_blocks(
-        spark, _log_stream(spark, sf), REQUESTS, DURATION, BLOCK, DELAY, _folder(spark, "blocks"), _folder(spark, "blocks-checkpoint")
+        spark, _log_stream(spark, sf), REQUESTS, DURATION, BLOCK, DELAY, working_folder(spark, "blocks"), working_folder(spark, "blocks-checkpoint")
     )
     return spark.read.parquet(target).select(
         "key", *[F.col(c).cast("timestamp_ntz").alias(c) for c in ("blocked_from", "blocked_until")]

@@ -32,6 +32,15 @@ def as_crawl(pages: DataFrame, status: Column | None = None) -> DataFrame:
     )
 
 
+def save_crawl(crawl: DataFrame, table: str, path: str, buckets: int) -> DataFrame:
+    """A crawl saved once in buckets of `page_id`: what is joined to it by that
+    key later comes to the pages, which are not moved again. A bucket is best a
+    few hundred MB."""
+    dealt = crawl.repartition(buckets, "page_id")
+    dealt.write.bucketBy(buckets, "page_id").option("path", path).saveAsTable(table)
+    return crawl.sparkSession.table(table)
+
+
 def write_results(results: DataFrame, path: str, buckets: int = 64, fmt: str = "parquet", mode: str = "overwrite"):
     """Results by hash bucket of their host. The rebalance hint gives each
     bucket few files and splits a bucket that one host makes large."""

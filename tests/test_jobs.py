@@ -5,6 +5,8 @@ import re
 from pyspark.sql import functions as F
 
 from pagemill import api
+from pagemill.functions.urls import url_parts
+from pagemill.operators import guard
 from pagemill.operators.markdown import to_markdown
 from pagemill.plans.queries import QUERIES
 from pagemill.sources import documents, pages
@@ -133,6 +135,43 @@ def test_blocks_move_not_pages(spark, data):
     assert len(re.findall(r"\bExchange\b", plan_of(api.select_content(chosen)))) == 1
 
 
+def payload_moves(df):
+    """Exchanges that a page's text or body goes through."""
+    plan = df._jdf.queryExecution().executedPlan()
+    found, todo = [], [plan]
+    while todo:
+        node = todo.pop()
+        if node.nodeName().startswith("AdaptiveSparkPlan"):
+            node = node.executedPlan()
+        if "Exchange" in node.nodeName():
+            names = {node.output().apply(i).name() for i in range(node.output().size())}
+            if names & {"html", "body"}:
+                found.append(node.nodeName())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+def test_lookups_move_no_pages(spark, data, tmp_path, monkeypatch):
+    source = pages.as_crawl(pages.read_pages(spark, f"{data}/pages.parquet"))
+    hosts = source.select(url_parts(F.col("url"))["host"].alias("host")).distinct().collect()
+    dns = spark.createDataFrame([(h.host, "10.0.0.1" if i % 3 == 0 else "93.184.1.1") for i, h in enumerate(hosts)], "host string, addr string")
+    judged = api.outcomes(source, dns=dns)
+    assert payload_moves(judged) == [] and payload_moves(guard.guard(source, dns=dns)) == []
+    # Only the blocks' text is shuffled for the results.
+    assert payload_moves(api.page_results(judged)) == []
+    few = {(r.page_id, r.outcome) for r in judged.select("page_id", "outcome").collect()}
+    assert {o for _, o in few} == {"ok", "blocked"}
+    # Many hits: a bucketed crawl stays where it is, the hits come to it.
+    monkeypatch.setattr(guard, "MOST_BROADCAST", 0)
+    saved = pages.save_crawl(source, "crawl_by_page", str(tmp_path / "crawl"), 3)
+    judged = api.outcomes(saved, dns=dns)
+    plan = plan_of(judged)
+    assert payload_moves(judged) == [] and "ShuffledHashJoin" in plan and "Bucketed: true" in plan
+    assert {(r.page_id, r.outcome) for r in judged.select("page_id", "outcome").collect()} == few
+    assert payload_moves(api.outcomes(source, dns=dns)) != []  # what the test would see otherwise
+    spark.sql("DROP TABLE crawl_by_page")
+
+
 def test_no_python_in_any_plan(spark, data):
     for name in ("page_results", "page_outcomes", "crawl_frontier", "over_limit_requests", "select_content"):
         plan = plan_of(QUERIES[name](spark, data))
