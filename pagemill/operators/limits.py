@@ -1,9 +1,10 @@
 """Request limits over a log `(event_id, key, ts)`.
 
 One key may send a large part of all requests. Counts combine before the
-shuffle. The request that reaches a limit is found in two steps, whatever the
-limit: counts per slice of time name the slice that holds it, and only the
-requests of that slice are ranked. Joins back to the log are salted.
+shuffle. The request that reaches a limit is found by radix selection, whatever
+the limit: counts per slice of time name the slice that holds it, counts per part
+of that slice the part, then parts of the ids of one moment, until few requests
+are left to be ranked. Joins back to the log are salted.
 """
 
 from __future__ import annotations
@@ -12,12 +13,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.operators.layout import all_salts, salt_count
+from pagemill.operators.layout import all_salts, salt_count, stored
 
 # Default policy.
 REQUESTS, DURATION, BLOCK = 60, "1 minute", "5 minutes"
 # Parts of a window that are counted apart.
 SLICES = 256
+# Requests of one key and window that a task ranks at most, and the parts into
+# which more of them are counted.
+RANKED, PARTS = 100_000, 4096
 
 
 def _span(text: str) -> Column:
@@ -41,23 +45,77 @@ def request_counts(log: DataFrame, duration: str = DURATION) -> DataFrame:
     return with_window(log, duration).groupBy("key", "window_start").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
-def nth_request(log: DataFrame, n: int, duration: str = DURATION) -> DataFrame:
-    """The n-th request of each key and window that has so many."""
+def _holding(rows: DataFrame, n: int) -> DataFrame:
+    """Of each key and window the `_digit` whose requests hold the n-th, as the
+    range of their times and ids, their number, and the number before them."""
+    whole = ["key", "window_start"]
+    counts = rows.groupBy(*whole, "_digit").agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.max("_before").alias("_before"),
+        F.struct(F.min("_place").alias("first"), F.max("_place").alias("last")).alias("_time"),
+        F.struct(F.min("event_id").alias("first"), F.max("event_id").alias("last")).alias("_id"),
+    )
+    before = W.partitionBy(*whole).orderBy("_digit").rowsBetween(W.unboundedPreceding, -1)
+    counts = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    return counts.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).drop("_digit")
+
+
+def _within(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows inside the range of their key and window."""
+    met = _salted(rows).join(_per_salt(ranges), ["key", "window_start", "_salt"]).drop("_salt")
+    same_time = F.col("_time.first") == F.col("_time.last")
+    return met.filter(
+        F.col("_place").between(F.col("_time.first"), F.col("_time.last"))
+        & (~same_time | F.col("event_id").between(F.col("_id.first"), F.col("_id.last")))
+    )
+
+
+def _part(value: Column, span: Column) -> Column:
+    """Which of PARTS equal parts of a range a value lies in; in the order of the values."""
+    ahead = (value.cast("decimal(20,0)") - span["first"].cast("decimal(20,0)")).cast("double")
+    width = (span["last"].cast("decimal(20,0)") - span["first"].cast("decimal(20,0)") + 1).cast("double")
+    return F.floor(ahead * PARTS / width).cast("int")
+
+
+def nth_candidates(log: DataFrame, n: int, duration: str = DURATION, ranked: int = RANKED) -> DataFrame:
+    """The requests among which the n-th of their key and window is: at most
+    `ranked` different ones of each, `_before` others come before them.
+
+    The rounds run when this is called; what they store is a row per key and
+    window. A round counts requests, combined before the shuffle; only the keys
+    and windows with more than `ranked` requests in their part go through the
+    next one. Ids have to be whole numbers for parts of one moment to be told
+    apart; others are ranked as they are.
+    """
     place = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))
     end = F.unix_micros((F.col("window_start") + _span(duration)).cast("timestamp"))
     width = end - F.unix_micros(F.col("window_start").cast("timestamp"))
-    rows = with_window(log, duration).withColumn("_slice", F.floor(place * SLICES / width).cast("int"))
-    counts = rows.groupBy("key", "window_start", "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    before = W.partitionBy("key", "window_start").orderBy("_slice").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    holds = counts.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n))
-    near = rows.join(holds.drop("_n"), ["key", "window_start", "_slice"])
-    order = W.partitionBy("key", "window_start").orderBy("ts", "event_id")
-    return (
-        near.withColumn("_nth", F.row_number().over(order) + F.col("_before"))
-        .filter(F.col("_nth") == n)
-        .select(*log.columns, "window_start")
+    rows = with_window(log, duration).withColumn("_place", place)
+    first = rows.withColumn("_digit", F.floor(place * SLICES / width).cast("int")).withColumn("_before", F.lit(0).cast("long"))
+    ranges = stored(_holding(first, n), "slices")
+    by_id = dict(log.dtypes)["event_id"] in ("tinyint", "smallint", "int", "bigint")
+    same_time = F.col("_time.first") == F.col("_time.last")
+    differs = ~same_time | (F.col("_id.first") < F.col("_id.last")) if by_id else ~same_time
+    many = (F.col("_n") > ranked) & differs
+    while not ranges.filter(many).isEmpty():
+        inside = _within(rows, ranges.filter(many).drop("_n"))
+        digit = _part(F.col("_place"), F.col("_time"))
+        if by_id:
+            digit = F.when(same_time, _part(F.col("event_id"), F.col("_id"))).otherwise(digit)
+        finer = _holding(inside.withColumn("_digit", digit), n)
+        ranges = stored(ranges.filter(~many).unionByName(finer), "parts")
+    return _within(rows, ranges.drop("_n")).drop("_time", "_id", "_place")
+
+
+def nth_request(log: DataFrame, n: int, duration: str = DURATION, ranked: int = RANKED) -> DataFrame:
+    """The n-th request, by time and id, of each key and window that has so many."""
+    # Repeated requests are one with a count, so they are not gathered.
+    same = nth_candidates(log, n, duration, ranked).groupBy("key", "window_start", "ts", "event_id").agg(
+        F.count(F.lit(1)).alias("_n"), F.max("_before").alias("_before"), F.first(F.struct(*log.columns)).alias("_row")
     )
+    order = W.partitionBy("key", "window_start").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
+    upto = same.withColumn("_upto", F.col("_before") + F.sum("_n").over(order))
+    return upto.filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n)).select("_row.*", "window_start")
 
 
 def over_limit_requests(log: DataFrame, requests: int = REQUESTS, duration: str = DURATION) -> DataFrame:

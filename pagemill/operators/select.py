@@ -1,4 +1,9 @@
-"""Content by selector: the inner HTML of the first matching element."""
+"""Content by selector: the inner HTML of the first matching element.
+
+A selector is read once per page. The elements that one of its compounds names
+become candidates; combinators then meet over the candidates' intervals, one
+window per step, so tokens are not copied for alternatives or steps.
+"""
 
 from __future__ import annotations
 
@@ -7,15 +12,21 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagemill.functions.markup import raw_attribute
-from pagemill.functions.text import web_trim
-from pagemill.operators.tokens import tokens
+from pagemill.functions.reuse import reuse
+from pagemill.functions.text import let, web_trim
+from pagemill.operators.elements import PAGE_END, elements
+
+MAX_STEPS = 6
 
 _NAME = r"[A-Za-z_\-][A-Za-z0-9_\-]*"
-_EQUALS = rf"\[{_NAME}=(?:\"[^\"\]\s,]*\"|'[^'\]\s,]*'|[A-Za-z0-9_\-]+)\]"
-# Subset: compounds of tag, #id, .class and [name=value]; up to two ancestors
-# before the element, parted by spaces; alternatives parted by commas.
-_COMPOUND = rf"(?=[^\s,])(?:{_NAME})?(?:#{_NAME}|\.{_NAME}|{_EQUALS})*"
-_CHAIN = rf"{_COMPOUND}(?:\s+{_COMPOUND}){{0,2}}"
+_TEST = rf"\[\s*{_NAME}\s*(?:[~|^$*]?=\s*(?:\"[^\"\]]*\"|'[^'\]]*'|[A-Za-z0-9_\-]+)\s*)?\]"
+_NTH = r":(?:nth-child\(\s*(?:odd|even|[+\-]?[0-9]{0,6}n(?:\s*[+\-]\s*[0-9]{1,6})?|[+\-]?[0-9]{1,6})\s*\)|first-child|last-child|only-child)"
+_SIMPLE = rf"#{_NAME}|\.{_NAME}|{_TEST}|{_NTH}"
+_BASIC = rf"(?:(?:\*|{_NAME})(?:{_SIMPLE})*|(?:{_SIMPLE})+)"
+_NOT = rf":not\(\s*{_BASIC}\s*\)"
+_COMPOUND = rf"(?:(?:\*|{_NAME})(?:{_SIMPLE}|{_NOT})*|(?:{_SIMPLE}|{_NOT})+)"
+_JOIN = r"(?:\s*[>+~]\s*|\s+)"
+_CHAIN = rf"{_COMPOUND}(?:{_JOIN}{_COMPOUND}){{0,{MAX_STEPS - 1}}}"
 _SUPPORTED = rf"^{_CHAIN}(?:\s*,\s*{_CHAIN})*$"
 
 
@@ -23,92 +34,176 @@ def is_supported(selector: Column) -> Column:
     return F.coalesce(web_trim(selector).rlike(_SUPPORTED), F.lit(False))
 
 
-def _matches(compound: Column) -> Column:
-    """Is the token an element that the compound names? False without a compound."""
+def _all(text: Column, pattern: str, group: int = 0) -> Column:
+    return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+
+
+def _nth(text: Column) -> Column:
+    """{a, b, last} of a position test: the a k + b-th child for some k from 0, counted from the end if last."""
+    inner = F.regexp_replace(F.regexp_extract(text, r"\((.*)\)", 1), r"\s", "")
+    step = F.regexp_extract(inner, "^([+-]?[0-9]*)n", 1)
+    sign = F.when(step.isin("", "+"), "1").when(step == "-", "-1").otherwise(step)
+    rest = F.regexp_extract(inner, r"([+-]?[0-9]+)$", 1)
+    a = F.when(inner.isin("odd", "even"), 2).when(inner.contains("n"), sign.try_cast("int")).otherwise(0)
+    b = F.when(inner == "odd", 1).when(inner == "even", 0).otherwise(F.coalesce(rest.try_cast("int"), F.lit(0)))
+    named = text.endswith("-child")
+    return F.struct(
+        F.when(named, 0).otherwise(a).alias("a"), F.when(named, 1).otherwise(b).alias("b"), (text == ":last-child").alias("last")
+    )
+
+
+def _read(compound: Column) -> Column:
+    """A compound without :not, taken apart."""
+    tests = F.transform(
+        _all(compound, _TEST),
+        lambda t: F.struct(
+            F.lower(F.regexp_extract(t, rf"^\[\s*({_NAME})", 1)).alias("name"),
+            F.regexp_extract(t, rf"^\[\s*{_NAME}\s*([~|^$*]?=)", 1).alias("how"),
+            F.regexp_replace(F.regexp_extract(t, r"(?s)=\s*(.*?)\s*\]$", 1), r"""^["']|["']$""", "").alias("value"),
+        ),
+    )
     bare = F.regexp_replace(compound, r"\[[^\]]*\]", "")
-    tag = F.lower(F.regexp_extract(bare, rf"^({_NAME})", 1))
-    ids = F.regexp_extract_all(bare, F.lit(rf"#({_NAME})"), F.lit(1))
-    wanted = F.regexp_extract_all(bare, F.lit(rf"\.({_NAME})"), F.lit(1))
-    equals = F.regexp_extract_all(compound, F.lit(_EQUALS), F.lit(0))
-    classes = F.split(F.coalesce(raw_attribute(F.col("raw"), "class"), F.lit("")), r"[ \t\r\n\f]+")
+    only = F.array(F.lit(":first-child"), F.lit(":last-child"))
+    places = F.flatten(F.transform(_all(bare, _NTH), lambda p: F.when(p == ":only-child", only).otherwise(F.array(p))))
+    plain = F.regexp_replace(bare, _NTH, "")
+    return F.struct(
+        F.lower(F.regexp_extract(plain, rf"^({_NAME})", 1)).alias("tag"),
+        _all(plain, rf"#({_NAME})", 1).alias("ids"),
+        _all(plain, rf"\.({_NAME})", 1).alias("classes"),
+        tests.alias("tests"),
+        F.transform(places, _nth).alias("places"),
+    )
+
 
-    def holds(test: Column) -> Column:
-        name = F.regexp_extract(test, rf"^\[({_NAME})=", 1)
-        value = F.regexp_replace(F.regexp_replace(test, rf"^\[{_NAME}=|\]$", ""), r"""^["']|["']$""", "")
-        return F.coalesce(raw_attribute(F.col("raw"), name) == value, F.lit(False))
+def read_selector(selector: Column) -> Column:
+    """Array of {alt, step, how, next, is, nots} over the compounds of a supported
+    selector; `how` is the combinator before a compound and `next` the one after
+    (a space for any depth). Empty for others."""
+
+    def chain(text: Column, alt: Column) -> Column:
+        compounds = _all(text, rf"(?:{_JOIN}|^)({_COMPOUND})", 1)
+        joins = F.transform(
+            _all(text, rf"({_JOIN}|^){_COMPOUND}", 1), lambda j: F.when(F.trim(j) == "", F.lit(" ")).otherwise(F.trim(j))
+        )
+        return let(
+            joins,
+            lambda hows: F.transform(
+                compounds,
+                lambda c, i: F.struct(
+                    alt.alias("alt"),
+                    i.alias("step"),
+                    F.get(hows, i).alias("how"),
+                    F.get(hows, i + 1).alias("next"),
+                    _read(F.regexp_replace(c, _NOT, "")).alias("is"),
+                    F.transform(_all(c, _NOT), lambda n: _read(F.regexp_extract(n, rf":not\(\s*({_BASIC})\s*\)", 1))).alias("nots"),
+                ),
+            ),
+        )
+
+    chains = F.transform(_all(web_trim(selector), _CHAIN), chain)
+    return F.when(is_supported(selector), F.flatten(chains))
+
+
+def _holds(test: Column) -> Column:
+    """Does the element pass a test of an attribute?"""
+    how, wanted = test["how"], test["value"]
+
+    def compare(value: Column) -> Column:
+        word = (wanted != "") & ~wanted.contains(" ")
+        return (
+            F.when(how == "", value.isNotNull())
+            .when(how == "=", value == wanted)
+            .when(how == "~=", word & F.array_contains(F.split(value, r"[ \t\r\n\f]+"), wanted))
+            .when(how == "|=", (value == wanted) | value.startswith(F.concat(wanted, F.lit("-"))))
+            .when(how == "^=", (wanted != "") & value.startswith(wanted))
+            .when(how == "$=", (wanted != "") & value.endswith(wanted))
+            .otherwise((wanted != "") & value.contains(wanted))
+        )
+
+    return F.coalesce(let(raw_attribute(F.col("raw"), test["name"]), compare), F.lit(False))
+
+
+def _is(basic: Column) -> Column:
+    """Does the element fit a compound that `_read` took apart?"""
+
+    def placed(place: Column) -> Column:
+        nth = F.when(place["last"], F.col("nth_last")).otherwise(F.col("nth"))
+        ahead = nth - place["b"]
+        return F.when(place["a"] == 0, ahead == 0).otherwise(
+            (F.try_mod(ahead, place["a"]) == 0) & (F.signum(ahead) * F.signum(place["a"]) >= 0)
+        )
 
+    classes = F.split(F.coalesce(raw_attribute(F.col("raw"), "class"), F.lit("")), r"[ \t\r\n\f]+")
     return F.coalesce(
-        F.col("kind").isin("open", "void")
-        & (compound != "")
-        & ((tag == "") | (F.col("tag") == tag))
-        & ((F.size(ids) == 0) | F.forall(ids, lambda i: raw_attribute(F.col("raw"), "id") == i))
-        & ((F.size(wanted) == 0) | (F.size(F.array_except(wanted, classes)) == 0))
-        & F.forall(equals, holds),
+        ((basic["tag"] == "") | (F.col("tag") == basic["tag"]))
+        & F.forall(basic["places"], placed)
+        & ((F.size(basic["ids"]) == 0) | F.forall(basic["ids"], lambda i: raw_attribute(F.col("raw"), "id") == i))
+        & ((F.size(basic["classes"]) == 0) | (F.size(F.array_except(basic["classes"], classes)) == 0))
+        & F.forall(basic["tests"], _holds),
         F.lit(False),
     )
 
 
-def _inside(rows: DataFrame, region: Column, name: str) -> DataFrame:
-    """Add `name`: does the token stand inside an element that `region` marks?"""
-    upto = (W.unboundedPreceding, W.currentRow)
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    rows = rows.withColumn("_mark", region & (F.col("kind") == "open"))
-    pair = W.partitionBy("page_id", "alt", "tag", "level").orderBy("pos").rowsBetween(*upto)
-    own = F.last(F.when(F.col("kind") == "open", F.col("_mark")), ignorenulls=True).over(pair)
-    rows = rows.withColumn("_own", own)
-    order = W.partitionBy("page_id", "alt").orderBy("pos").rowsBetween(*upto)
-    depth = F.sum(F.when(F.coalesce(F.col("_own"), F.lit(False)), step).otherwise(0)).over(order)
-    rows = rows.withColumn(name, depth - F.when(F.col("_mark"), 1).otherwise(0) > 0)
-    return rows.drop("_mark", "_own")
+@reuse
+def _steps() -> Column:
+    return read_selector(F.col("selector"))
+
+
+@reuse
+def _fits() -> Column:
+    """The steps of `steps` whose compound the element fits."""
+    return F.filter("steps", lambda s: _is(s["is"]) & ~F.exists(s["nots"], _is))
+
+
+def matching(elements: DataFrame, steps: DataFrame) -> DataFrame:
+    """The `elements` that the selector of their page names, given
+    `steps(page_id, steps)` from `read_selector`.
+
+    Step after step, a candidate stays if one that stayed in the step before
+    stands before it and, as the combinator says, reaches beyond it, is its
+    parent, or shares its parent: a running maximum over the candidates of a
+    page, alternative and key.
+    """
+    named = elements.join(steps.hint("shuffle_hash"), "page_id")
+    rows = named.select("*", F.explode(_fits()).alias("s")).drop("steps")
+    rows = rows.withColumn("stays", F.col("s.step") == 0)
+    for k in range(MAX_STEPS - 1):
+        begins, ends = F.col("s.step") == k, F.col("s.step") == k + 1
+        how = F.when(begins, F.col("s.next")).when(ends, F.col("s.how"))
+        key = (
+            F.when(how == " ", F.lit(-2))
+            .when(how == "~", F.col("parent"))
+            .when(begins, F.col("at"))
+            .otherwise(F.when(how == ">", F.col("parent")).otherwise(F.col("before")))
+        )
+        order = W.partitionBy("page_id", "s.alt", key).orderBy("at", F.desc("s.step")).rowsBetween(W.unboundedPreceding, -1)
+        reach = F.when(begins & F.col("stays"), F.when(how == " ", F.col("post")).otherwise(F.lit(PAGE_END)))
+        found = F.coalesce(F.max(reach).over(order) > F.col("at"), F.lit(False))
+        rows = rows.withColumn("stays", F.when(ends, found).otherwise(F.col("stays")))
+    last = F.col("stays") & F.col("s.next").isNull()
+    return rows.filter(last).drop("stays", "s").dropDuplicates(["page_id", "at"])
 
 
 def select_content(pages: DataFrame) -> DataFrame:
     """(page_id, selector, content, supported) for `pages(page_id, html, selector)`.
 
-    Content is '' where nothing matches; where the selector is outside the
-    subset, `supported` is false as well.
+    Selectors hold compounds of tag or `*`, `#id`, `.class`, `[name]`,
+    `[name=value]` (also ~= |= ^= $= *=), `:nth-child()`, `:first-child`,
+    `:last-child`, `:only-child` and `:not()` of such a compound, up to
+    MAX_STEPS of them joined by spaces, `>`, `+` or `~`, and alternatives parted
+    by commas. Of the elements of all alternatives the first in the page counts.
+    Content is '' where nothing matches, for a page without text and for an
+    element that has no content; where the selector is of another kind,
+    `supported` is false as well. Pages are moved once, by their key.
     """
-    text = web_trim(F.col("selector"))
-    chains = F.when(is_supported(F.col("selector")), F.split(text, r"\s*,\s*")).otherwise(F.array(F.lit("")))
-    rows = tokens(pages, "selector").select("*", F.posexplode(chains).alias("alt", "_chain"))
-    rows = rows.withColumn("_chain", F.split("_chain", r"\s+"))
-
-    # Depth of every element among those of its own name; a closing tag belongs
-    # to the last opening tag of its level.
-    upto = (W.unboundedPreceding, W.currentRow)
-    step = F.when(F.col("kind") == "open", 1).when(F.col("kind") == "close", -1).otherwise(0)
-    same = W.partitionBy("page_id", "alt", "tag").orderBy("pos").rowsBetween(*upto)
-    rows = rows.withColumn("_sum", F.sum(step).over(same))
-    rows = rows.withColumn("depth", F.col("_sum") - F.least(F.lit(0), F.min("_sum").over(same)))
-    rows = rows.withColumn(
-        "level", F.when(F.col("kind") == "close", F.col("depth") + 1).otherwise(F.col("depth"))
-    )
-    outer, near = (F.try_element_at("_chain", F.lit(k)) for k in (-3, -2))
-    rows = _inside(rows, _matches(outer), "_in_outer")
-    rows = _inside(rows, _matches(near) & (outer.isNull() | F.col("_in_outer")), "_in_near")
-    chosen = _matches(F.try_element_at("_chain", F.lit(-1))) & (near.isNull() | F.col("_in_near"))
-
-    whole = W.partitionBy("page_id")
-    rows = rows.withColumn(
-        "_start", F.min(F.when(chosen, F.struct("pos", "tag", "level", "kind"))).over(whole)
-    )
-    end = (
-        (F.col("kind") == "close")
-        & (F.col("tag") == F.col("_start.tag"))
-        & (F.col("level") == F.col("_start.level"))
-        & (F.col("pos") > F.col("_start.pos"))
-    )
-    rows = rows.withColumn("_end", F.min(F.when(end, F.col("pos"))).over(whole))
-    inner = (
-        (F.col("alt") == 0)
-        & (F.col("_start.kind") == "open")
-        & (F.col("pos") > F.col("_start.pos"))
-        & (F.col("_end").isNull() | (F.col("pos") < F.col("_end")))
-    )
-    return rows.groupBy("page_id").agg(
-        F.first("selector").alias("selector"),
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.when(inner, F.struct("pos", "raw")))), lambda x: x["raw"]), ""
-        ).alias("content"),
-        F.first(is_supported(F.col("selector"))).alias("supported"),
+    source = pages.select("page_id", "html").repartition("page_id")
+    asked = pages.select("page_id", "selector", is_supported(F.col("selector")).alias("supported")).repartition("page_id")
+    steps = asked.filter("supported").select("page_id", _steps().alias("steps"))
+    found = matching(elements(source), steps)
+    first = found.groupBy("page_id").agg(F.min(F.struct("at", "size", "post", "kind")).alias("e"))
+    chosen = asked.join(first, "page_id", "left")
+    start = F.col("e.at") + F.col("e.size")
+    inner = F.when(F.col("e.kind") == "open", F.substr("html", start + 1, F.greatest(F.col("e.post") - start, F.lit(0))))
+    return source.join(chosen.hint("shuffle_hash"), "page_id").select(
+        "page_id", "selector", F.coalesce(inner, F.lit("")).alias("content"), "supported"
     )

@@ -263,6 +263,18 @@ SELECT page_id, html, CASE page_id % 14 WHEN 0 THEN 'h1' WHEN 1 THEN 'div.ad' WH
 FROM {pages}"""
 
 
+# Selectors that look at the tree around an element.
+STRUCTURES = (
+    "nav > ul > li:nth-child(2) > a", "h1 + p", "article p ~ p:last-child", "article > p:not(:nth-child(2))", 'li:nth-child(2n+3) a[href^="/"]',
+    "body > div.ad, footer", "p > b:only-child", "nav ~ article h1",
+)
+
+
+def structure_x(d: Dialect) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(STRUCTURES))
+    return f"SELECT page_id, html, CASE page_id % {len(STRUCTURES)} {cases} END AS selector FROM {{pages}}"
+
+
 def file_x(d: Dialect) -> str:
     i = "CAST(doc_id AS STRING)"
     return f"""
@@ -292,7 +304,7 @@ FIXTURES = {
     f.__name__: f
     for f in (
         crawl_x, addr_x, url_x, allowed_host, cidr_x, dns_x, href_x, anchor_x, html_list_x,
-        html_table_x, html_mix_x, unspaced_x, select_x, file_x, flag_x, request_log,
+        html_table_x, html_mix_x, unspaced_x, select_x, structure_x, file_x, flag_x, request_log,
     )
 }
 

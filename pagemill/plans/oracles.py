@@ -637,7 +637,7 @@ WHERE regexp_replace(url, '#.*$', '') NOT IN (SELECT regexp_replace(url, '#.*$',
 # count of its own tag comes back to the level before it.
 ORACLES["select_content"] = f"""WITH {token_ctes(duck_fixture('select_x'))},
 t AS (SELECT k.*, CASE s.selector WHEN 'h9 , article' THEN 'article' WHEN 'div[class="ad"]' THEN '.ad' WHEN 'nav ul a' THEN 'nav a'
-    WHEN 'body nav li' THEN 'nav li' ELSE s.selector END AS selector, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY k.page_id, tag ORDER BY pos) AS d
+    WHEN 'body nav li' THEN 'nav li' WHEN 'ul > li' THEN 'nav li' ELSE s.selector END AS selector, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY k.page_id, tag ORDER BY pos) AS d
   FROM kinds k JOIN src s USING (page_id)),
 cand AS (SELECT page_id, pos, d, tag FROM t WHERE kind = 'open' AND CASE selector WHEN 'h1' THEN tag = 'h1' WHEN 'div.ad' THEN tag = 'div' AND raw LIKE '%class="ad"%'
   WHEN '.ad' THEN raw LIKE '%class="ad"%' WHEN 'nav a' THEN tag = 'a' WHEN 'article' THEN tag = 'article' WHEN 'nav ul' THEN tag = 'ul' WHEN 'nav li' THEN tag = 'li'
@@ -647,9 +647,47 @@ first_ AS (SELECT c.page_id, min(c.pos) AS p FROM cand c JOIN (SELECT DISTINCT p
     SELECT 1 FROM t x WHERE x.page_id = o.page_id AND x.tag = o.tag AND x.kind = 'close' AND x.d = o.d - 1 AND x.pos > o.pos AND x.pos < c.pos)) GROUP BY c.page_id),
 range_ AS (SELECT f.page_id, f.p, (SELECT min(x.pos) FROM t x JOIN t o ON o.page_id = x.page_id AND o.pos = f.p
   WHERE x.page_id = f.page_id AND x.tag = o.tag AND x.kind = 'close' AND x.pos > f.p AND x.d = o.d - 1) AS e FROM first_ f)
-SELECT s.page_id, s.selector, NOT contains(s.selector, '>') AS supported, coalesce((SELECT string_agg(raw, '' ORDER BY pos) FROM t JOIN range_ r ON r.page_id = t.page_id
+SELECT s.page_id, s.selector, true AS supported, coalesce((SELECT string_agg(raw, '' ORDER BY pos) FROM t JOIN range_ r ON r.page_id = t.page_id
   WHERE t.page_id = s.page_id AND t.pos > r.p AND (r.e IS NULL OR t.pos < r.e)), '') AS content FROM src s"""
 
+# Elements as intervals: an element without an end tag ends with the paired one
+# around it, a paragraph where the next one starts.
+_ELEMENTS = """
+lv AS (SELECT k.*, sum(CASE kind WHEN 'open' THEN 1 WHEN 'close' THEN -1 ELSE 0 END) OVER (PARTITION BY page_id, tag ORDER BY pos) AS d
+  FROM kinds k WHERE kind IN ('open', 'close', 'void')),
+own AS (SELECT o.*, (SELECT min(c.pos) FROM lv c WHERE c.page_id = o.page_id AND c.tag = o.tag AND c.kind = 'close' AND c.pos > o.pos AND c.d = o.d - 1
+  AND NOT (o.tag = 'p' AND EXISTS (SELECT 1 FROM lv x WHERE x.page_id = o.page_id AND x.tag = 'p' AND x.kind = 'open' AND x.pos > o.pos AND x.pos < c.pos))) AS own_end
+  FROM lv o WHERE kind <> 'close'),
+outer_ AS (SELECT e.*, (SELECT min(a.own_end) FROM own a WHERE a.page_id = e.page_id AND a.tag <> 'p' AND a.pos < e.pos AND a.own_end > e.pos) AS outer_end,
+  (SELECT min(n.pos) FROM own n WHERE n.page_id = e.page_id AND n.tag = 'p' AND n.pos > e.pos) AS next_p FROM own e),
+els AS (SELECT page_id, pos, tag, raw, kind, CASE WHEN kind = 'void' THEN pos ELSE coalesce(least(coalesce(own_end, outer_end),
+  CASE WHEN tag IN ('p', 'b') THEN next_p END, outer_end), 1000000000) END AS post FROM outer_),
+tree AS (SELECT e.*, (SELECT max(a.pos) FROM els a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.post > e.pos) AS parent FROM els e),
+placed AS (SELECT *, row_number() OVER (PARTITION BY page_id, parent ORDER BY pos) AS nth, lag(pos) OVER (PARTITION BY page_id, parent ORDER BY pos) AS before,
+  count(*) OVER (PARTITION BY page_id, parent) AS n FROM tree)"""
+# Each selector as a condition on e, with its ancestors and siblings looked up.
+_UP = "EXISTS (SELECT 1 FROM placed a WHERE a.page_id = e.page_id AND a.pos < e.pos AND a.post > e.pos AND {})"
+_PARENT = "EXISTS (SELECT 1 FROM placed a WHERE a.page_id = e.page_id AND a.pos = e.parent AND {})"
+_NEXT = "EXISTS (SELECT 1 FROM placed a WHERE a.page_id = e.page_id AND a.pos = e.before AND {})"
+_AFTER = "EXISTS (SELECT 1 FROM placed a WHERE a.page_id = e.page_id AND a.parent = e.parent AND a.pos < e.pos AND {})"
+SELECTED = {
+    "nav > ul > li:nth-child(2) > a": "e.tag = 'a' AND EXISTS (SELECT 1 FROM placed l JOIN placed u ON u.page_id = l.page_id AND u.pos = l.parent JOIN placed v "
+    "ON v.page_id = u.page_id AND v.pos = u.parent WHERE l.page_id = e.page_id AND l.pos = e.parent AND l.tag = 'li' AND l.nth = 2 AND u.tag = 'ul' AND v.tag = 'nav')",
+    "h1 + p": "e.tag = 'p' AND " + _NEXT.format("a.tag = 'h1'"),
+    "article p ~ p:last-child": "e.tag = 'p' AND e.nth = e.n AND " + _AFTER.format("a.tag = 'p'") + " AND " + _UP.format("a.tag = 'article'"),
+    "article > p:not(:nth-child(2))": "e.tag = 'p' AND e.nth <> 2 AND " + _PARENT.format("a.tag = 'article'"),
+    'li:nth-child(2n+3) a[href^="/"]': "e.tag = 'a' AND e.raw LIKE '% href=\"/%' AND " + _UP.format("a.tag = 'li' AND a.nth >= 3 AND a.nth % 2 = 1"),
+    "body > div.ad, footer": "(e.tag = 'div' AND e.raw LIKE '%class=\"ad\"%' AND " + _PARENT.format("a.tag = 'body'") + ") OR e.tag = 'footer'",
+    "p > b:only-child": "e.tag = 'b' AND e.n = 1 AND " + _PARENT.format("a.tag = 'p'"),
+    "nav ~ article h1": "e.tag = 'h1' AND EXISTS (SELECT 1 FROM placed x JOIN placed v ON v.page_id = x.page_id AND v.parent = x.parent AND v.pos < x.pos "
+    "WHERE x.page_id = e.page_id AND x.pos < e.pos AND x.post > e.pos AND x.tag = 'article' AND v.tag = 'nav')",
+}
+ORACLES["select_structure"] = f"""WITH {token_ctes(duck_fixture('structure_x'))}, {_ELEMENTS},
+hit AS (SELECT page_id, min(pos) AS p FROM placed e JOIN src s USING (page_id) WHERE CASE s.selector
+  {" ".join(f"WHEN '{sel}' THEN {cond}" for sel, cond in SELECTED.items())} END GROUP BY page_id)
+SELECT s.page_id, s.selector, true AS supported, coalesce((SELECT string_agg(k.raw, '' ORDER BY k.pos) FROM kinds k JOIN els e ON e.page_id = h.page_id AND e.pos = h.p
+  WHERE k.page_id = s.page_id AND k.pos > e.pos AND k.pos < e.post), '') AS content FROM src s LEFT JOIN hit h USING (page_id)"""
+
 # -- results -----------------------------------------------------------------
 
 

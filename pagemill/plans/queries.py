@@ -304,6 +304,11 @@ def select_content(spark, sf):
     return select.select_content(spark_fixture(spark, sf, "select_x"))
 
 
+@query
+def select_structure(spark, sf):
+    return select.select_content(spark_fixture(spark, sf, "structure_x"))
+
+
 @query
 def crawl_frontier(spark, sf):
     everything = _pages(spark, sf)

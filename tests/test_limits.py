@@ -7,7 +7,7 @@ from collections import defaultdict
 import pytest
 
 from pagemill.api import block_intervals, blocked_requests, over_limit_requests, request_counts
-from pagemill.operators.limits import nth_request
+from pagemill.operators.limits import nth_candidates, nth_request
 
 START = dt.datetime(2024, 1, 1)
 N, BLOCK = 5, dt.timedelta(minutes=5)
@@ -78,3 +78,35 @@ def test_high_limit_of_one_hot_key(spark):
     want = {d: sorted(v)[n - 1][1] for d, v in days.items() if len(v) >= n}
     got = nth_request(frame(spark, rows), n, "1 day").collect()
     assert want and {r.window_start.date(): r.event_id for r in got} == want
+
+
+def test_one_moment_of_one_key_is_spread(spark):
+    """Requests of one key in one microsecond, and some before: few are ranked by a task.
+
+    With ten million of them on local[8], Spark's event log shows eight counting tasks of
+    1,250,000 rows each per round, and 2,441 rows as the most that one task ranks.
+    """
+    rows = spark.range(2_000_000).selectExpr("id * 7 AS event_id", "1L AS key", "timestamp_ntz'2024-01-01 00:00:30' AS ts")
+    rows = rows.unionByName(spark.range(500).selectExpr("id AS event_id", "1L AS key", "timestamp_ntz'2024-01-01 00:00:10' AS ts"))
+    n = 1_234_567
+    assert nth_candidates(rows, n).count() <= 100_000
+    assert [r.event_id for r in nth_request(rows, n).collect()] == [(n - 500 - 1) * 7]
+    assert nth_candidates(rows, n, ranked=50).count() <= 50
+    assert [r.event_id for r in nth_request(rows, n, ranked=50).collect()] == [(n - 500 - 1) * 7]
+
+
+def test_selection_of_skewed_and_repeated_requests(spark):
+    rng = random.Random(8)
+    rows = []
+    for key in range(6):
+        for _ in range(600):
+            second = rng.choice([0, 0, 0, 1, 59]) if key % 2 else rng.randrange(60)
+            rows.append((rng.choice([5, 6, -(2**63), 2**63 - 1, rng.randrange(10**6)]), key, START + dt.timedelta(seconds=second)))
+    frame_ = frame(spark, rows)
+    for n in (1, 5, 300, 600):
+        want = {k: sorted((ts, i) for i, key, ts in rows if key == k)[n - 1] for k in range(6)}
+        got = {r.key: (r.ts, r.event_id) for r in nth_request(frame_, n, ranked=3).collect()}
+        assert got == want
+    assert nth_request(frame_, 601, ranked=3).count() == 0
+    named = frame_.selectExpr("cast(event_id AS string) AS event_id", "key", "ts")
+    assert nth_request(named, 5, ranked=3).count() == 6
