@@ -26,7 +26,7 @@ TOKEN = re.compile(
     r"<!--(?P<comment>.*?)(?:-->|\Z)"
     r"|<(?P<raw>script|style|noscript|template|iframe|textarea|title)(?=[\s/>])(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+>.*?(?:</(?P=raw)\s*>|\Z)"
     r"|<svg(?=[\s/>])(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+(?:(?<=/)>|>.*?(?:</svg\s*>|\Z))"
-    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)>"
+    r"|<(?P<close>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?>[^>\"']+|\"[^\"]*\"|'[^']*'|[\"'])*+)(?:>|\Z)"
     r"|<[!?/][^>]*(?:>|\Z)"
     r"|(?P<text><?[^<]+|<)",
     re.IGNORECASE | re.DOTALL,
@@ -92,6 +92,8 @@ def tokens_of(page: str) -> list[Token]:
             text = m["text"]
             out.append(Token("text", "", text, words=len(text.split())))
         elif m["name"] is not None:
+            if not m[0].endswith(">"):
+                continue  # left open up to the end of the page: no element
             out.append(Token("close" if m["close"] else "open", m["name"].lower(), attrs=m["attrs"]))
         elif m["comment"] is not None and m[0] in (OPEN, CLOSE):
             out.append(Token("mark", m[0]))
