@@ -8,6 +8,7 @@ reads it. All stages but the last return the columns of documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from pagemill.llm import lines, minhash, packing, quality, secrets
 from pagemill.llm.common import stored, unpacked
@@ -26,8 +27,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays."""
-    gone = minhash.near_duplicates(docs, words=5, percent=80).where("NOT kept").select("doc_id").distinct()
+    """One document of each group of near duplicates stays. Of rows that share a doc_id all stay if one does."""
+    found = minhash.near_duplicates(docs, words=5, percent=80)
+    gone = found.groupBy("doc_id").agg(F.max("kept").alias("stays")).where("NOT stays").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
