@@ -53,13 +53,17 @@ READERS = frozenset("comment comments replies respond disqus discussion".split()
 #: Words that make a compound with a mark, as in cookie-notice-box; any other word takes the mark away.
 BESIDE = frozenset(
     "box bar bars list lists section sections container wrapper wrap block blocks link links area widget site page top bottom left right "
-    "primary secondary global inner outer item items button buttons content text body title meta icon icons panel thread slot unit main post posts".split()
+    "primary secondary global inner outer item items button buttons content text body title meta icon icons panel thread slot unit main post posts "
+    "user users reader readers policy message messages article articles story stories news latest more load count rail strip sticky fixed floating "
+    "inline mobile desktop x".split()
 )
 #: Marks that a section of a text may well be named after.
 TITLES = frozenset("discussion legal search social related notice notices recommendations copyright disclaimer popular trending form".split())
 JUDGED_BY_NAME = frozenset("html body main article p h1 h2 h3 h4 h5 h6".split())
 SPLIT_MARK = re.compile(r"[^A-Za-z]+|(?<=[a-z])(?=[A-Z])")
 CONTENT = ("article", "main")
+LEADS = frozenset("p h1 h2 h3 h4 h5 h6".split())
+FRAMES = frozenset("div section article main td".split())
 SAMPLE = 400
 NAMES = (
     [("p", "p"), ("br", "inline"), ("a", "a"), ("li", "list"), ("ul", "list"), ("ol", "list"), ("img", "media")]
@@ -160,10 +164,11 @@ def prepare(page: str) -> list[Token]:
             if t.name == aim and not unwanted(t, False):
                 within_until = max(within_until, end)
             why = unwanted(t, i < within_until and t.name not in CONTENT)
-            if why == "mark" or why == "readers" and i < within_until:
-                # A class may speak of what stands beside: it takes out no article and not most of the page.
-                # Comments within an article may be articles of their own.
-                if why == "mark" and holds[min(end, len(tokens))] - holds[i + 1] or 2 * (before[min(end, len(tokens))] - before[i]) > before[-1]:
+            if why == "mark":
+                # A class may speak of what stands beside: it takes out no article, and of a page
+                # that names none not the element that holds most of it.
+                stop = min(end, len(tokens))
+                if holds[stop] - holds[i + 1] or not aim and 2 * (before[stop] - before[i]) > before[-1]:
                     why = ""
             if why:
                 if not closed and t.name not in ("footer", "nav", "head"):
@@ -291,39 +296,45 @@ def edge(token: Token) -> bool:
 
 
 def widened(tokens: list[Token], start: int, end: int) -> tuple[int, int]:
-    """A run in whole blocks, and on over blocks beside it that hold words but no links.
+    """A run in whole blocks, and on over blocks beside it.
 
-    Short blocks at the edges of the content cost more in tags than their words bring;
-    they belong to it where the same element holds them, short of the page itself.
+    Short blocks at the edges of the content cost more in tags than their words bring. A
+    run within the page's article or main is all of that element. Elsewhere blocks belong
+    to it where the same element holds them, short of the page itself, and links are no
+    more than half of them; before the run, headings and paragraphs may be links.
     """
     if start >= end:
         return start, end
-    around = [
-        (i, t.partner) for i, t in enumerate(tokens[:start])
-        if t.kind == "open" and t.partner >= end and t.name not in ("html", "body")
-    ]
-    low, high = around[-1] if around else (start, end)
-
     def whole(i: int, step: int) -> int:
         """From a place to the end of its block in one direction."""
         while 0 <= i < len(tokens) and not edge(tokens[i]):
             i += step
         return i
 
-    def plain(own: list[Token]) -> bool | None:
-        """Whether a block has words but no links; None for one without either."""
+    def belongs(own: list[Token], lead: bool) -> bool:
         shown = [t for t in own if t.kind == "text" and t.words and not t.gone]
-        return not any(t.linked for t in shown) if shown else None
+        linked = sum(t.words for t in shown if t.linked)
+        return 2 * linked <= sum(t.words for t in shown) or lead and any(t.kind == "open" and t.name in LEADS for t in own)
 
     start, end = whole(start - 1, -1) + 1, whole(end, 1)
+    around = [(i, t.partner) for i, t in enumerate(tokens[:start]) if t.kind == "open" and t.partner >= end and t.name not in ("html", "body")]
+    within = [(i, j) for i, j in around if tokens[i].name in CONTENT and tokens[i].within]
+    if within:
+        return within[0][0] + 1, min(within[0][1], len(tokens))
+    if around and around[-1] == (start - 1, end) and tokens[start - 1].name not in FRAMES:
+        around.pop()  # the one block of the run itself
+    low, high = around[-1] if around else (start, end)
+    if not around:
+        low = next((i for i, t in enumerate(tokens[:start]) if t.kind == "open" and t.name == "body"), start)
     while end < high:
         stop = whole(end + 1, 1)
-        if plain(tokens[end:stop]) is False:
+        if not belongs(tokens[end:stop], False):
             break
         end = stop
     while start > low + 1:
         first = whole(start - 2, -1) + 1
-        if plain(tokens[first:start]) is False:
+        # A block begins with the tag before its words.
+        if not belongs(tokens[max(low + 1, first - 1) : start], True):
             break
         start = first
     return start, min(end, len(tokens))

@@ -294,3 +294,20 @@ def test_a_page_of_open_tags_takes_linear_time():
         small = max(seconds(piece, 20_000), 0.02)
         assert seconds(piece, 160_000) < 24 * small
     assert [t.kind for t in extraction.tokens_of("<p>x</p><a href='y")] == ["open", "text", "close"]
+
+
+LONG = "word " * 40
+LAYOUTS = {
+    f"<article><p>{'story ' * 20}</p><div class=comments><p>{'remark ' * 60}</p></div></article>": ("story " * 20).strip(),
+    f"<body><h1>Title</h1><p><a href=/l>lead</a></p><p>{LONG}</p></body>": f"Title\n\nlead\n\n{LONG.strip()}",
+    f"<body><div><h1>Title</h1><p><a href=/l>lead</a></p><p>{LONG}</p><ul><li><a href=/x>other</a></li></ul></div><footer>foot</footer></body>": f"Title\n\nlead\n\n{LONG.strip()}",
+    f"<article><h1>T <a href=/x>x</a></h1><p>{LONG}</p><p><a href=/y>linked last</a></p></article>": f"T x\n\n{LONG.strip()}\n\nlinked last",
+    f"<body><ul><li><a href=/a>menu one</a></li><li><a href=/b>menu two</a></li></ul><h1>Head</h1><p>{LONG}</p></body>": f"Head\n\n{LONG.strip()}",
+    f"<article><p>{LONG}</p><div class='user-comments'>bad</div><div class='cookie-policy-bar'>bad</div><div class='ad-300x250'>bad</div>"
+    "<div class='sponsored-message'>bad</div><div class='related-articles'>bad</div></article>": LONG.strip(),
+}
+
+
+@pytest.mark.parametrize("page", list(LAYOUTS))
+def test_layouts_beside_the_given_one(page):
+    assert extraction.main_text(page, extraction.weights_from(extraction.labelled_counts())) == LAYOUTS[page]
