@@ -138,12 +138,12 @@ def unwanted(token: Token, within: bool) -> str:
     words: set[str] = set()
     for name in f"{attrs.get('class', '')} {attrs.get('id', '')}".split():
         own = {w.lower() for w in SPLIT_MARK.split(name) if w}
+        if within and token.name in ("section", "div") and len(own) == 1 and own <= TITLES:
+            continue  # a section may be named so
         if own & MARKS and own <= MARKS | BESIDE:
             words |= own & MARKS
     if within:
         words -= {"header"}
-        if token.name in ("section", "div"):
-            words -= TITLES
     return "readers" if words & READERS else "mark" if words else ""
 
 
