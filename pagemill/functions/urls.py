@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from pagemill.functions.addresses import canonical_ipv4, is_ip_literal
+from pagemill.functions.idna import ascii_host
 from pagemill.functions.text import let, web_trim
 
 # Schemes whose URLs always carry a host, with default ports.
@@ -42,14 +43,14 @@ def _host(authority: Column) -> Column:
         ).otherwise(h),
     )
     bare = F.regexp_replace(decoded, r"^\[|\]$", "")
-    return let(bare, lambda h: F.coalesce(canonical_ipv4(h), h))
+    return let(ascii_host(bare), lambda h: F.coalesce(canonical_ipv4(h), h))
 
 
 def url_parts(col: Column) -> Column:
     """Struct of scheme, userinfo, host, port, path, query and fragment.
 
-    The host is lower-cased, freed of brackets, and short, octal and hex IPv4
-    forms become dotted quads. Null when the text has no scheme.
+    The host is lower-cased, freed of brackets, international names take their
+    ASCII form, and short, octal and hex IPv4 forms become dotted quads. Null when the text has no scheme.
     """
 
     def cut(u: Column) -> Column:

@@ -122,6 +122,20 @@ UNION ALL SELECT 2000000000 + page_id AS id, CASE page_id % 6
   WHEN 4 THEN 'http://00000000000000000000000000177.1/' ELSE 'http://1.2.0xffffffffffffffffffff/' END AS url FROM {{pages}}"""
 
 
+def host_x(d: Dialect) -> str:
+    p = "CAST(page_id AS STRING)"
+    return f"""
+SELECT page_id AS id, CASE page_id % 12
+  WHEN 0 THEN 'bücher' || {p} || '.example' WHEN 1 THEN 'пример' || {p} || '.испытание'
+  WHEN 2 THEN '例え' || {p} || '。テスト' WHEN 3 THEN 'faß' || {p} || '.de' WHEN 4 THEN 'münchen-ost' || {p} || '.ÄRZTE.example'
+  WHEN 5 THEN '１２７.0.0.' || CAST(page_id % 256 AS STRING) WHEN 6 THEN 'ⓔxample' || {p} || '．org'
+  WHEN 7 THEN '😀' || {p} || '😀é.com' WHEN 8 THEN repeat('ü', CAST(page_id % 70 AS INT)) || '.org'
+  WHEN 9 THEN {p} || 'مثال.إختبار' WHEN 10 THEN 'xn--bcher-kva' || {p} || '.example'
+  ELSE split_part(split_part(url, '/', 3), ':', 1) END AS host FROM {{pages}}
+UNION ALL SELECT 1000000000 + doc_id AS id, translate(substr(replace(lower(text), ' ', ''), 1, CAST(5 + doc_id % 50 AS INT)), 'aeiouy', 'äéïøüж') || '.net' AS host
+FROM {{documents}} WHERE text IS NOT NULL"""
+
+
 def allowed_host(d: Dialect) -> str:
     return """
 SELECT DISTINCT upper(split_part(split_part(url, '/', 3), ':', 1)) AS host FROM {pages} WHERE page_id % 10 = 0
@@ -303,7 +317,7 @@ TABLES = ("pages", "events", "documents", "orders", "part", "supplier", "nation"
 FIXTURES = {
     f.__name__: f
     for f in (
-        crawl_x, addr_x, url_x, allowed_host, cidr_x, dns_x, href_x, anchor_x, html_list_x,
+        crawl_x, addr_x, url_x, host_x, allowed_host, cidr_x, dns_x, href_x, anchor_x, html_list_x,
         html_table_x, html_mix_x, unspaced_x, select_x, structure_x, file_x, flag_x, request_log,
     )
 }

@@ -7,6 +7,7 @@ folded as strings instead of lists, simple joins instead of salted ones.
 
 from __future__ import annotations
 
+from pagemill.functions.idna import DROPPED, LONGEST, lookalikes
 from pagemill.plans.fixtures import DOCX, duck_fixture
 from pagemill.plans.queries import BODY_CAP, INTAKE_CAP, MD_RULES, REQUESTS
 
@@ -200,6 +201,34 @@ ORACLES["url_parts"] = f"""WITH {URL_X} SELECT k AS id, CASE WHEN split_ok THEN
   CASE WHEN split_ok THEN host END AS host, CASE WHEN split_ok THEN port END AS port, CASE WHEN split_ok THEN path END AS path,
   CASE WHEN split_ok THEN query END AS query, CASE WHEN split_ok THEN fragment END AS fragment FROM u"""
 ORACLES["normalize_url"] = f"WITH {URL_X} SELECT k AS id, CASE WHEN ok THEN {rendered()} END AS url FROM u"
+_WIDE, _PLAIN = lookalikes()
+_DIGIT = "substr('abcdefghijklmnopqrstuvwxyz0123456789', CAST({} AS BIGINT) + 1, 1)"
+# The digits of each number are written one row at a time, the insertions in the order of their rank.
+ORACLES["ascii_host"] = f"""WITH RECURSIVE src AS (SELECT id, translate(lower(host), '{_WIDE + DROPPED}', '{_PLAIN}') AS host,
+    NOT regexp_full_match(host, '[\\x00-\\x7F]*') AS wide FROM ({duck_fixture('host_x')}) x),
+parts AS (SELECT id, wide, unnest(string_split(host, '.')) AS l, generate_subscripts(string_split(host, '.'), 1) AS n FROM src),
+labels AS (SELECT DISTINCT l FROM parts WHERE wide AND length(l) <= {LONGEST} AND NOT regexp_full_match(l, '[\\x00-\\x7F]*')),
+codes AS (SELECT l, i, unicode(substr(l, i, 1)) AS c FROM (SELECT l, unnest(range(1, length(l) + 1)) AS i FROM labels)),
+added AS (SELECT l, c, (SELECT count(*) FROM codes o WHERE o.l = codes.l AND o.i < codes.i AND o.c <= codes.c) AS place,
+    row_number() OVER (PARTITION BY l ORDER BY c, i) AS k FROM codes WHERE c > 127),
+walk AS (
+  SELECT l, 0::BIGINT AS k, 128::BIGINT AS n, 0::BIGINT AS at, 72::BIGINT AS bias, length(b)::BIGINT AS h, NULL::BIGINT AS q, 0::BIGINT AS j,
+    0::BIGINT AS delta, CASE WHEN b = '' THEN '' ELSE b || '-' END AS o
+  FROM (SELECT l, regexp_replace(l, '[^\\x00-\\x7F]', '', 'g') AS b FROM labels)
+  UNION ALL
+  SELECT l, nk, nn, nat, CASE WHEN q < t THEN k36 + 36 * dd // (dd + 38) ELSE bias END, CASE WHEN q < t THEN h + 1 ELSE h END,
+    CASE WHEN q IS NULL THEN fresh WHEN q >= t THEN (q - t) // (36 - t) END, CASE WHEN q IS NULL THEN 1 ELSE j + 1 END,
+    CASE WHEN q IS NULL THEN fresh ELSE delta END,
+    CASE WHEN q IS NULL THEN o WHEN q < t THEN o || {_DIGIT.format('q')} ELSE o || {_DIGIT.format('(t + (q - t) % (36 - t))')} END
+  FROM (SELECT *, CASE WHEN d <= 455 THEN 0 WHEN d // 35 <= 455 THEN 36 WHEN d // 1225 <= 455 THEN 72 WHEN d // 42875 <= 455 THEN 108 ELSE 144 END AS k36,
+      CASE WHEN d <= 455 THEN d WHEN d // 35 <= 455 THEN d // 35 WHEN d // 1225 <= 455 THEN d // 1225 WHEN d // 42875 <= 455 THEN d // 42875
+        ELSE d // 1500625 END AS dd
+    FROM (SELECT w.*, greatest(1, least(26, 36 * w.j - w.bias)) AS t, (a.c - w.n) * (w.h + 1) + a.place - w.at AS fresh,
+        coalesce(a.k, w.k) AS nk, coalesce(a.c, w.n) AS nn, coalesce(a.place + 1, w.at) AS nat,
+        CASE WHEN w.k = 1 THEN w.delta // 700 ELSE w.delta // 2 END + CASE WHEN w.k = 1 THEN w.delta // 700 ELSE w.delta // 2 END // (w.h + 1) AS d
+      FROM walk w LEFT JOIN added a ON a.l = w.l AND a.k = w.k + 1 AND w.q IS NULL WHERE w.q IS NOT NULL OR a.k IS NOT NULL))),
+done AS (SELECT l, 'xn--' || arg_max(o, k) AS o FROM walk WHERE q IS NULL GROUP BY l)
+SELECT id, string_agg(coalesce(o, parts.l), '.' ORDER BY n) AS host FROM parts LEFT JOIN done ON parts.l = done.l GROUP BY id"""
 ORACLES["url_extension"] = f"""WITH {URL_X} SELECT k AS id,
   nullif(lower(CASE WHEN split_ok THEN regexp_extract({folded('path')}, '\\.[^.]*$') END), '') AS extension FROM u"""
 ORACLES["resolve_href"] = f"WITH {HREF_X} SELECT k AS id, CASE WHEN ok THEN {rendered()} END AS url FROM t"

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.functions import addresses, urls
+from pagemill.functions import addresses, idna, urls
 from pagemill.functions.markup import page_title
 from pagemill.functions.text import comma_list, decode_entities, flag_word
 from pagemill.operators import blocks, content, guard, limits, links, markdown, outcomes, select, tokens
@@ -452,6 +452,12 @@ def resolve_href(spark, sf):
     return rows.select("id", urls.resolve_href(F.col("_base"), F.col("href")).alias("url"))
 
 
+@query
+def ascii_host(spark, sf):
+    rows = spark_fixture(spark, sf, "host_x")
+    return rows.select("id", idna.ascii_host(F.lower("host")).alias("host"))
+
+
 @query
 def normalize_url(spark, sf):
     return spark_fixture(spark, sf, "url_x").select("id", urls.normalize_url(F.col("url")).alias("url"))
