@@ -12,6 +12,8 @@ PDF = "application/pdf"
 DOCX = "application/vnd.openxmlformats-officedocument.wordprocessingml.document"
 HTML = ("text/html", "application/xhtml+xml")
 OCTETS = "application/octet-stream"
+# What classify tells apart.
+CATEGORIES = ("html", "pdf", "docx", "unsupported")
 # First bytes of a PDF.
 PDF_MAGIC = b"%PDF-"
 MAX_BYTES = 50 * 1024 * 1024

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.markup import page_title
@@ -10,6 +10,7 @@ from pagemill.functions.reuse import reuse
 from pagemill.functions.text import let
 from pagemill.functions.urls import path_extension, rule_message, url_parts, url_rule
 from pagemill.operators.content import (
+    CATEGORIES,
     MAX_BYTES,
     classify,
     document_error,
@@ -217,3 +218,31 @@ def run_summary(judged: DataFrame, results: DataFrame) -> DataFrame:
         F.avg("markdown_length").alias("mean_markdown_length"),
         F.sum("links_count").alias("total_links"),
     )
+
+
+def summary_figures() -> list[Column]:
+    """What an Observation of results gathers: rows, lengths and links per category, in one pass and without a shuffle."""
+    out = []
+    for category in CATEGORIES:
+        own = F.col("category") == category
+        out += [
+            F.count_if(own).alias(f"{category}_rows"),
+            F.sum(F.when(own, F.length("markdown"))).alias(f"{category}_length"),
+            F.count(F.when(own, F.col("markdown"))).alias(f"{category}_written"),
+            F.sum(F.when(own, F.size("links"))).alias(f"{category}_links"),
+        ]
+    return out
+
+
+def observed_summary(spark: SparkSession, seen: Observation) -> DataFrame:
+    """The `ok` rows of `run_summary`, from what the write of the results has seen; waits for that write."""
+    got, rows = seen.get, []
+    for category in CATEGORIES:
+        n, length, written, links = (got[f"{category}_{name}"] for name in ("rows", "length", "written", "links"))
+        if n:
+            rows.append((category, "ok", 200, n, length, length / written if written else None, links))
+    return spark.createDataFrame(
+        rows,
+        "category string, outcome string, http_status int, n_rows long, total_markdown_length long, "
+        "mean_markdown_length double, total_links long",
+    )

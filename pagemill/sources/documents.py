@@ -14,6 +14,7 @@ from pagemill.operators.content import (
     intake_status,
     resolve_kind,
 )
+from pagemill.sources.listing import FileListing
 
 
 def heads(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
@@ -30,8 +31,15 @@ def heads(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:
 
 
 def read_files(spark: SparkSession, path: str, cap: int = MAX_BYTES) -> DataFrame:
-    """(path, length, head) of every file under `path`. Spark's file sources list no files of zero bytes."""
-    return heads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), cap)
+    """(path, length, head) of every file under `path`.
+
+    Spark's file sources pass over files of zero bytes; those come from the listing.
+    """
+    files = heads(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), cap)
+    spark.dataSource.register(FileListing)
+    listed = spark.read.format(FileListing.name()).load(path)
+    empty = listed.filter("length = 0").select("path", "length", F.lit(None).cast("binary").alias("head"))
+    return files.unionByName(empty)
 
 
 def doc_intake(files: DataFrame, cap: int = MAX_BYTES) -> DataFrame:

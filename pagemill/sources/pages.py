@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pagemill.functions.urls import url_parts
+from pagemill.operators.outcomes import summary_figures
 
 PAGE_SCHEMA = "page_id BIGINT, url STRING, html STRING"
 CRAWL_SCHEMA = (
@@ -41,11 +42,23 @@ def save_crawl(crawl: DataFrame, table: str, path: str, buckets: int) -> DataFra
     return crawl.sparkSession.table(table)
 
 
-def write_results(results: DataFrame, path: str, buckets: int = 64, fmt: str = "parquet", mode: str = "overwrite"):
+def write_results(
+    results: DataFrame,
+    path: str,
+    buckets: int = 64,
+    fmt: str = "parquet",
+    mode: str = "overwrite",
+    seen: Observation | None = None,
+):
     """Results by hash bucket of their host. The rebalance hint gives each
-    bucket few files and splits a bucket that one host makes large."""
+    bucket few files and splits a bucket that one host makes large.
+
+    `seen` is filled by the same pass; `outcomes.observed_summary` reads it. It looks at
+    the rows after the shuffle, where a task that runs again is counted once."""
     bucket = F.pmod(F.xxhash64(url_parts(F.col("url"))["host"]), F.lit(buckets)).cast("int")
     keyed = results.withColumn("host_bucket", bucket).hint("rebalance", "host_bucket")
+    if seen is not None:
+        keyed = keyed.observe(seen, *summary_figures())
     keyed.write.mode(mode).partitionBy("host_bucket").format(fmt).save(path)
 
 

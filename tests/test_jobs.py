@@ -2,12 +2,14 @@
 
 import re
 
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from pagemill import api
 from pagemill.functions.urls import url_parts
-from pagemill.operators import guard
+from pagemill.operators import guard, outcomes
 from pagemill.operators.markdown import to_markdown
+from pagemill.plans.fixtures import spark_fixture
 from pagemill.plans.queries import QUERIES
 from pagemill.sources import documents, pages
 from pagemill.streaming import page_stream
@@ -91,6 +93,60 @@ def test_document_intake(spark, tmp_path):
     }
 
 
+def test_files_of_zero_bytes(spark, tmp_path):
+    source = tmp_path / "in"
+    for folder in ("", "deep/er", "_hidden"):
+        (source / folder).mkdir(parents=True, exist_ok=True)
+    for name, body in {
+        "empty.pdf": b"", "full.pdf": b"%PDF-1.4", "deep/empty.docx": b"", "deep/er/none": b"", "deep/er/a b.pdf": b"", ".hid.pdf": b"",
+        "_hidden/x.pdf": b"",
+    }.items():
+        (source / name).write_bytes(body)
+    for place in (str(source), f"file://{source}"):
+        files = documents.read_files(spark, place, 50)
+        got = {r.url: (r.length, r.kind, r.status, r.error) for r in documents.doc_intake(files, cap=50).collect()}
+        assert files.count() == 5
+        assert got == {
+            "empty.pdf": (0, None, 415, "File type mismatch"), "full.pdf": (8, "pdf", None, None), "empty.docx": (0, "docx", None, None),
+            "none": (0, None, 415, got["none"][3]), "a b.pdf": (0, None, 415, "File type mismatch"),
+        }
+
+
+def test_summary_of_the_pass_that_writes(spark, data, tmp_path):
+    fixture = spark_fixture(spark, data, "crawl_x").withColumn("decoded_markdown", F.lit("# text").substr(F.lit(1), F.col("page_id") % 6))
+    judged = api.outcomes(fixture, cap=3000)
+    results, seen = api.page_results(judged), Observation()
+    pages.write_results(results, str(tmp_path / "out"), seen=seen)
+    key = ["category", "outcome", "http_status"]
+    want = api.run_summary(judged, results).filter("outcome = 'ok'").orderBy(*key).collect()
+    assert len(want) >= 2
+    assert [r.asDict() for r in outcomes.observed_summary(spark, seen).orderBy(*key).collect()] == [r.asDict() for r in want]
+    nothing = Observation()
+    pages.write_results(results.limit(0), str(tmp_path / "none"), seen=nothing)
+    assert outcomes.observed_summary(spark, nothing).count() == 0
+
+
+def test_pages_delivered_again(spark, tmp_path):
+    source, places = str(tmp_path / "in"), {"target": str(tmp_path / "out"), "checkpoint": str(tmp_path / "ck")}
+
+    def deliver(*ids):
+        rows = spark.createDataFrame([(i, f"http://h.org/{i}", f"<p>{i}</p>") for i in ids], pages.PAGE_SCHEMA)
+        rows.coalesce(1).write.mode("append").parquet(source)
+
+    def written():
+        page_stream.stream_pages(
+            spark, source, pages.PAGE_SCHEMA, lambda b: b.select("page_id", "url"), **places, max_files=1, once_within="7 days"
+        )
+        return sorted(r.page_id for r in spark.read.parquet(places["target"]).collect())
+
+    deliver(1, 2, 2)
+    deliver(2, 3)
+    assert written() == [1, 2, 3]
+    # The stream starts again from its checkpoint.
+    deliver(3, 1, 4)
+    assert written() == [1, 2, 3, 4]
+
+
 def test_page_stream_equals_batch(spark, data, tmp_path):
     source = str(tmp_path / "in")
     spark.read.parquet(f"{data}/pages.parquet").repartition(3).write.parquet(source)
