@@ -300,6 +300,23 @@ def across(members: DataFrame, reps: DataFrame, sets: DataFrame, comps: DataFram
     return again.select("rows").mapInArrow(linked, "a long, b long")
 
 
+def of_one_id(rows: DataFrame, reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The ids whose rows differ in their sets, as (doc_id, rep) per set, and links (a, b) between those.
+
+    An id is a key as a rule, so there are few; the first pass keeps the least and the
+    greatest digest of an id only.
+    """
+    texts = rows.where("doc_id IS NOT NULL").select("doc_id", "digest")
+    seen = texts.groupBy("doc_id").agg(
+        F.min("digest").alias("low"), F.max("digest").alias("high"), F.count("*").alias("n"), F.count("digest").alias("full")
+    )
+    several = stored(seen.where("low <> high OR (full > 0 AND full < n)").select("doc_id"), "repeated-ids")
+    sets = texts.where("digest IS NOT NULL").join(several, "doc_id", "left_semi").distinct()
+    sets = stored(sets.join(reps.select("digest", "rep"), "digest").select("doc_id", "rep"), "sets-of-ids")
+    least = sets.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    return sets, sets.join(least, "doc_id").where("rep <> b").select(F.col("rep").alias("a"), "b").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """Groups of docs(doc_id, text) whose shingle sets are similar, directly or in steps.
 
@@ -307,8 +324,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     least doc_id reachable over pairs with 100 * intersection >= percent * union,
     itself included) and kept (doc_id is component_id). Null and empty texts have
     empty sets and are linked with nothing. Rows that share a doc_id are one node,
-    linked by what any of them links; repeated rows are therefore kept or dropped
-    together. A null doc_id is linked with nothing: component_id null, kept. Other
+    linked by what any of them links; repeated rows, and empty ones beside others, are
+    therefore kept or dropped together. A null doc_id is linked with nothing: component_id null, kept. Other
     columns are left out. percent should not be below 80: the bands are cut for that.
     """
     rows = stored(signed(docs, words), "signed")
@@ -328,13 +345,18 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     needed = members.select(F.col("rep").alias("doc_id")).distinct()
     texts = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     sets = stored(hashed_sets(texts.join(needed, "doc_id", "left_semi"), words), "sets")
-    links = stored(similar(stars(members), sets, percent), "star-links")
+    sets_of_ids, same = of_one_id(rows, reps)
+    links = stored(similar(stars(members), sets, percent).unionAll(same), "star-links")
     comps = components(links)
     more = stored(across(members.drop("n"), reps, sets, comps, percent), "cross-links")
     comps = components(links.unionAll(more))
     named = reps.select("digest", "rep").join(comps, F.col("rep") == F.col("node"), "left")
     named = named.select("digest", F.coalesce("component", "rep").alias("component"))
     by_id = rows.where("doc_id IS NOT NULL").join(named, "digest", "left")
-    out = by_id.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    # All rows of an id are where its least set is, empty ones too.
+    least = sets_of_ids.groupBy("doc_id").agg(F.min("rep").alias("node"))
+    place = least.join(comps, "node", "left").select("doc_id", F.coalesce("component", "node").alias("place"))
+    by_id = by_id.join(stored(place, "places-of-ids"), "doc_id", "left")
+    out = by_id.select("doc_id", "n_shingles", F.coalesce("place", "component", "doc_id").alias("component_id"))
     lost = rows.where("doc_id IS NULL").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component_id"))
     return out.unionAll(lost).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

@@ -68,6 +68,18 @@ def test_groups_against_brute_force(docs_of, prose, words):
     assert sorted(r.n_shingles for r in got) == sorted(sizes.get((i, t), 0) if i is not None else sizes.get((ids[0], t), len(set(zip(*[base.split()[k:] for k in range(words)], strict=False)))) for i, t in zip(ids, texts, strict=True))
 
 
+def test_rows_that_share_an_id_are_one_node(docs_of, prose):
+    a, b, c, d = (prose(9000 + i, 60) for i in range(4))
+    rng = random.Random(1)
+    rows = [(3, a), (7, a), (7, b), (7, b), (7, ""), (9, mutated(rng, b, 1)), (11, c), (11, d), (12, mutated(rng, d, 1)), (5, c + " more"), (20, None), (20, "")]
+    want, _ = brute_groups(rows, 2, 80)
+    assert {want[i] for i in (3, 7, 9)} == {3} and {want[i] for i in (5, 11, 12)} == {5} and want[20] == 20
+    for order in (rows, rows[::-1]):
+        got = minhash.near_duplicates(docs_of([t for _, t in order], [i for i, _ in order]), 2, 80).collect()
+        assert sorted((r.doc_id, r.component_id) for r in got) == sorted((i, want[i]) for i, _ in rows)
+        assert all(r.kept == (r.doc_id == r.component_id) for r in got)
+
+
 def test_super_minhash_against_the_plain_algorithm():
     rng = np.random.default_rng(3)
     sets = [rng.integers(1, 2**63, n).astype(np.uint64) for n in (1, 2, 17, 300)]
