@@ -3,8 +3,8 @@
 Normalised lines are exploded as 128-bit hashes, never as text. Distinct documents
 per hash are counted in two steps, (hash, document) and then hash, so that a line in
 every document is spread over all tasks and combined before it is shuffled. The lines
-over the threshold come back to their documents as a list of hashes, and each text is
-put together again from its other lines, in order.
+over the threshold come back to their documents as a list of hashes, those of hot lines
+over all tasks, and each text is put together again from its other lines, in order.
 """
 
 from __future__ import annotations
@@ -16,9 +16,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pagemill.llm.common import chunks, narrow, row_schema
+from pagemill.llm.common import chunks, narrow, row_schema, stored
+from pagemill.operators.layout import salt_count
 
 WHITE = " \t\n\x0b\x0c\r"
+#: A key with over a HOT-th of all pairs is hot.
+HOT = 1000
 
 
 def line_key(line: str, shortest: int) -> bytes | None:
@@ -71,6 +74,22 @@ def without_lines(docs: DataFrame, shortest: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_lines long, n_dropped long, text string" + row_schema(rows))
 
 
+def holders(pairs: DataFrame, common: DataFrame) -> DataFrame:
+    """pairs(doc_id, key) whose key is in common(key, keeper, n), as (doc_id, key, keeper).
+
+    A key that holds over a HOT-th of all these pairs is dealt over as many places as a
+    shuffle has partitions. There are less than HOT such keys, so they are broadcast.
+    """
+    total, salts = common.agg(F.sum("n")).first()[0] or 0, salt_count()
+    hot = F.col("n") * HOT > total
+    spread = pairs.join(F.broadcast(common.where(hot).select("key", F.lit(salts).alias("places"))), "key", "left")
+    # Any place finds the key, so a row that draws another one in a second run loses nothing.
+    drawn = F.pmod(F.monotonically_increasing_id(), F.col("places")).cast("int")
+    spread = spread.select("doc_id", "key", F.coalesce(drawn, F.lit(0)).alias("place"))
+    every = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    return spread.join(common.select("key", "keeper", F.explode(every).alias("place")), ["key", "place"]).drop("place")
+
+
 def dedup_lines(docs: DataFrame, shortest: int = 40, documents: int = 5, carry: bool = False) -> DataFrame:
     """docs(doc_id, text) without its repeated lines: doc_id, n_lines, n_dropped, text.
 
@@ -87,7 +106,7 @@ def dedup_lines(docs: DataFrame, shortest: int = 40, documents: int = 5, carry:
     keyed = line_keys(texts.where("doc_id IS NOT NULL").select("doc_id", "text"), shortest)
     pairs = keyed.select("doc_id", F.explode("keys").alias("key"))
     counts = pairs.distinct().groupBy("key").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
-    common = counts.where(F.col("n") >= documents).select("key", "keeper")
-    lost = pairs.join(common, "key").where("doc_id <> keeper")
+    common = stored(counts.where(F.col("n") >= documents), "common-lines")
+    lost = holders(pairs, common).where("doc_id <> keeper")
     drops = lost.groupBy("doc_id").agg(F.collect_set("key").alias("drop"))
     return without_lines(texts.join(drops, "doc_id", "left"), shortest)
