@@ -118,12 +118,14 @@ def test_selectors(spark):
         "#n .a.b p": "1<div>in</div>",
         "a > b": "",
         "a b c d": "",
+        "a b c d e f g": "",
+        "a:hover": "",
         "": "",
     }
     rows = spark.createDataFrame([(i, page, s) for i, s in enumerate(cases)], "page_id long, html string, selector string")
     found = select_content(rows).collect()
     assert {r.selector: r.content for r in found} == cases
-    assert {r.selector for r in found if not r.supported} == {"a > b", "a b c d", ""}
+    assert {r.selector for r in found if not r.supported} == {"a b c d e f g", "a:hover", ""}
 
 
 def test_long_page(spark):
