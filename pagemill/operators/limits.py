@@ -4,7 +4,7 @@ One key may send a large part of all requests. Counts combine before the
 shuffle. The request that reaches a limit is found by radix selection, whatever
 the limit: counts per slice of time name the slice that holds it, counts per part
 of that slice the part, then parts of the ids of one moment, until few requests
-are left to be ranked. Joins back to the log are salted.
+are left to be ranked. In joins back to the log hot keys are shared by tasks.
 """
 
 from __future__ import annotations
@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from pagemill.operators.layout import all_salts, salt_count, stored
+from pagemill.operators import layout
+from pagemill.operators.layout import hot_keys, shared_keys, stored
 
 # Default policy.
 REQUESTS, DURATION, BLOCK = 60, "1 minute", "5 minutes"
@@ -22,18 +23,18 @@ SLICES = 256
 # Requests of one key and window that a task ranks at most, and the parts into
 # which more of them are counted.
 RANKED, PARTS = 100_000, 4096
+# What the requests are counted by.
+WHOLE = ["key", "window_start"]
 
 
 def _span(text: str) -> Column:
     return F.expr(f"INTERVAL {text}")
 
 
-def _salted(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_salt", F.pmod(F.xxhash64("event_id"), F.lit(salt_count())).cast("int"))
-
-
-def _per_salt(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("_salt", F.explode(all_salts()))
+def _met(log: DataFrame, known: DataFrame, hot: DataFrame) -> DataFrame:
+    """`log` joined with `known` on key and window; hot ones are shared by tasks."""
+    rows, known = shared_keys(log, known, hot, WHOLE, F.xxhash64("event_id"))
+    return rows.join(known, [*WHOLE, "_salt"]).drop("_salt")
 
 
 def with_window(log: DataFrame, duration: str = DURATION) -> DataFrame:
@@ -45,26 +46,32 @@ def request_counts(log: DataFrame, duration: str = DURATION) -> DataFrame:
     return with_window(log, duration).groupBy("key", "window_start").agg(F.count(F.lit(1)).alias("n_requests"))
 
 
-def _holding(rows: DataFrame, n: int) -> DataFrame:
-    """Of each key and window the `_digit` whose requests hold the n-th, as the
-    range of their times and ids, their number, and the number before them."""
-    whole = ["key", "window_start"]
-    counts = rows.groupBy(*whole, "_digit").agg(
+def _counted(rows: DataFrame) -> DataFrame:
+    """Of each key, window and `_digit` the range of times and ids, the number of
+    requests, the number before them, and `_all`, that of the key and window."""
+    counts = rows.groupBy(*WHOLE, "_digit").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max("_before").alias("_before"),
         F.struct(F.min("_place").alias("first"), F.max("_place").alias("last")).alias("_time"),
         F.struct(F.min("event_id").alias("first"), F.max("event_id").alias("last")).alias("_id"),
     )
-    before = W.partitionBy(*whole).orderBy("_digit").rowsBetween(W.unboundedPreceding, -1)
-    counts = counts.withColumn("_before", F.col("_before") + F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    return counts.filter((F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)).drop("_digit")
+    whole = W.partitionBy(*WHOLE).orderBy("_digit")
+    before = F.sum("_n").over(whole.rowsBetween(W.unboundedPreceding, -1))
+    every = F.sum("_n").over(whole.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return counts.select("*", before.alias("_ahead"), every.alias("_all")).withColumn(
+        "_before", F.col("_before") + F.coalesce("_ahead", F.lit(0))
+    ).drop("_ahead")
+
 
+def _holds(n: int) -> Column:
+    """Is the n-th among the requests of a `_digit`?"""
+    return (F.col("_before") < n) & (F.col("_before") + F.col("_n") >= n)
 
-def _within(rows: DataFrame, ranges: DataFrame) -> DataFrame:
+
+def _within(rows: DataFrame, ranges: DataFrame, hot: DataFrame) -> DataFrame:
     """The rows inside the range of their key and window."""
-    met = _salted(rows).join(_per_salt(ranges), ["key", "window_start", "_salt"]).drop("_salt")
     same_time = F.col("_time.first") == F.col("_time.last")
-    return met.filter(
+    return _met(rows, ranges, hot).filter(
         F.col("_place").between(F.col("_time.first"), F.col("_time.last"))
         & (~same_time | F.col("event_id").between(F.col("_id.first"), F.col("_id.last")))
     )
@@ -77,55 +84,67 @@ def _part(value: Column, span: Column) -> Column:
     return F.floor(ahead * PARTS / width).cast("int")
 
 
-def nth_candidates(log: DataFrame, n: int, duration: str = DURATION, ranked: int = RANKED) -> DataFrame:
-    """The requests among which the n-th of their key and window is: at most
-    `ranked` different ones of each, `_before` others come before them.
-
-    The rounds run when this is called; what they store is a row per key and
-    window. A round counts requests, combined before the shuffle; only the keys
-    and windows with more than `ranked` requests in their part go through the
-    next one. Ids have to be whole numbers for parts of one moment to be told
-    apart; others are ranked as they are.
-    """
+def _candidates(log: DataFrame, n: int, duration: str, ranked: int) -> tuple[DataFrame, DataFrame]:
+    """What `nth_candidates` gives, and the hot keys and windows, see `layout.hot_keys`."""
     place = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("window_start").cast("timestamp"))
     end = F.unix_micros((F.col("window_start") + _span(duration)).cast("timestamp"))
     width = end - F.unix_micros(F.col("window_start").cast("timestamp"))
     rows = with_window(log, duration).withColumn("_place", place)
     first = rows.withColumn("_digit", F.floor(place * SLICES / width).cast("int")).withColumn("_before", F.lit(0).cast("long"))
-    ranges = stored(_holding(first, n), "slices")
+    many_in_all = F.col("_all") > layout.HOT
+    slices = stored(_counted(first).filter(_holds(n) | many_in_all), "slices")
+    hot = slices.filter(many_in_all).groupBy(*WHOLE).agg(F.ceil(F.max("_all") / layout.HOT).cast("int").alias("_shares"))
+    ranges = slices.filter(_holds(n)).drop("_digit", "_all")
     by_id = dict(log.dtypes)["event_id"] in ("tinyint", "smallint", "int", "bigint")
     same_time = F.col("_time.first") == F.col("_time.last")
     differs = ~same_time | (F.col("_id.first") < F.col("_id.last")) if by_id else ~same_time
     many = (F.col("_n") > ranked) & differs
     while not ranges.filter(many).isEmpty():
-        inside = _within(rows, ranges.filter(many).drop("_n"))
+        inside = _within(rows, ranges.filter(many).drop("_n"), hot)
         digit = _part(F.col("_place"), F.col("_time"))
         if by_id:
             digit = F.when(same_time, _part(F.col("event_id"), F.col("_id"))).otherwise(digit)
-        finer = _holding(inside.withColumn("_digit", digit), n)
+        finer = _counted(inside.withColumn("_digit", digit)).filter(_holds(n)).drop("_digit", "_all")
         ranges = stored(ranges.filter(~many).unionByName(finer), "parts")
-    return _within(rows, ranges.drop("_n")).drop("_time", "_id", "_place")
+    return _within(rows, ranges.drop("_n"), hot).drop("_time", "_id", "_place"), hot
 
 
-def nth_request(log: DataFrame, n: int, duration: str = DURATION, ranked: int = RANKED) -> DataFrame:
-    """The n-th request, by time and id, of each key and window that has so many."""
+def nth_candidates(log: DataFrame, n: int, duration: str = DURATION, ranked: int = RANKED) -> DataFrame:
+    """The requests among which the n-th of their key and window is: at most
+    `ranked` different ones of each, `_before` others come before them.
+
+    The rounds run when this is called; what they store is a row per key and
+    window. A round counts requests, combined before the shuffle; only the keys
+    and windows with more than `ranked` requests in their part go through the
+    next one. Ids have to be whole numbers for parts of one moment to be told
+    apart; others are ranked as they are.
+    """
+    return _candidates(log, n, duration, ranked)[0]
+
+
+def _nth(log: DataFrame, n: int, duration: str, ranked: int = RANKED) -> tuple[DataFrame, DataFrame]:
+    """What `nth_request` gives, and the hot keys and windows."""
+    among, hot = _candidates(log, n, duration, ranked)
     # Repeated requests are one with a count, so they are not gathered.
-    same = nth_candidates(log, n, duration, ranked).groupBy("key", "window_start", "ts", "event_id").agg(
+    same = among.groupBy("key", "window_start", "ts", "event_id").agg(
         F.count(F.lit(1)).alias("_n"), F.max("_before").alias("_before"), F.first(F.struct(*log.columns)).alias("_row")
     )
     order = W.partitionBy("key", "window_start").orderBy("ts", "event_id").rowsBetween(W.unboundedPreceding, W.currentRow)
     upto = same.withColumn("_upto", F.col("_before") + F.sum("_n").over(order))
-    return upto.filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n)).select("_row.*", "window_start")
+    return upto.filter((F.col("_upto") >= n) & (F.col("_upto") - F.col("_n") < n)).select("_row.*", "window_start"), hot
+
+
+def nth_request(log: DataFrame, n: int, duration: str = DURATION, ranked: int = RANKED) -> DataFrame:
+    """The n-th request, by time and id, of each key and window that has so many."""
+    return _nth(log, n, duration, ranked)[0]
 
 
 def over_limit_requests(log: DataFrame, requests: int = REQUESTS, duration: str = DURATION) -> DataFrame:
     """Requests after the first `requests` of their key and window."""
-    last = nth_request(log, requests, duration).select(
-        "key", "window_start", F.struct(F.col("ts"), F.col("event_id")).alias("_last")
-    )
-    rows = _salted(with_window(log, duration))
+    nth, hot = _nth(log, requests, duration)
+    last = nth.select("key", "window_start", F.struct(F.col("ts"), F.col("event_id")).alias("_last"))
     return (
-        rows.join(_per_salt(last), ["key", "window_start", "_salt"])
+        _met(with_window(log, duration), last, hot)
         .filter(F.struct(F.col("ts"), F.col("event_id")) > F.col("_last"))
         .select("event_id", "key", "ts", "window_start")
     )
@@ -162,12 +181,14 @@ def blocked_requests(log: DataFrame, intervals: DataFrame, slot: str = BLOCK) ->
     cut = intervals.withColumn("_from_slot", F.window("blocked_from", slot)["start"]).withColumn(
         "_slot", F.explode(F.sequence(F.col("_from_slot"), F.col("blocked_until"), _span(slot)))
     )
-    pieces = _per_salt(cut.select(F.col("key").alias("_key"), "_slot", "blocked_from", "blocked_until"))
-    pieces = pieces.withColumnRenamed("_salt", "_piece_salt")
-    rows = _salted(log).withColumn("_at", F.window("ts", slot)["start"])
+    rows, met = log.withColumn("_slot", F.window("ts", slot)["start"]), ["key", "_slot"]
+    rows, pieces = shared_keys(
+        rows, cut.select(*met, "blocked_from", "blocked_until"), hot_keys(rows, met), met, F.xxhash64("event_id")
+    )
+    pieces = pieces.withColumnsRenamed({"key": "_key", "_slot": "_piece_slot", "_salt": "_piece_salt"})
     test = (
         (F.col("key") == F.col("_key"))
-        & (F.col("_at") == F.col("_slot"))
+        & (F.col("_slot") == F.col("_piece_slot"))
         & (F.col("_salt") == F.col("_piece_salt"))
         & (F.col("ts") > F.col("blocked_from"))
         & (F.col("ts") <= F.col("blocked_until"))
