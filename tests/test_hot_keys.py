@@ -1,12 +1,14 @@
 """Joins with hot keys: only hot ones are written more than once, and results are those of brute force."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_limits import N, brute, frame, log  # noqa: F401
 
 from pagemill.api import block_intervals, blocked_requests, over_limit_requests
 from pagemill.operators import layout
-from pagemill.operators.layout import hot_keys, shared_keys
+from pagemill.operators.layout import hot_keys, mark_known, shared_keys
 
 
 @pytest.fixture
@@ -22,6 +24,13 @@ def copies(rows) -> bool:
     return "58,59,60]" in rows._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_known_keys_are_not_copied_per_partition(spark, many_partitions):
+    rows = spark.range(3000).selectExpr("CAST(id % 1000 AS string) AS addr")
+    marked = mark_known(rows, spark.range(900).selectExpr("CAST(id AS string) AS addr"), "addr", "hit")
+    assert not copies(marked)
+    assert marked.filter("hit").count() == 2700
+
+
 def test_requests_meet_without_copies(spark, log, many_partitions):  # noqa: F811
     rows = frame(spark, log)
     blocks = block_intervals(rows, N)
@@ -48,3 +57,7 @@ def test_results_whatever_is_hot(spark, log, monkeypatch, most):  # noqa: F811
     blocks = block_intervals(rows, N)
     assert {tuple(r) for r in blocks.collect()} == merged
     assert sorted(r.event_id for r in blocked_requests(rows, blocks).collect()) == sorted(inside)
+    rng = random.Random(most)
+    keys = [rng.choice(["a", "a", "a", "b", "b", None, str(rng.randrange(50))]) for _ in range(600)]
+    marked = mark_known(spark.createDataFrame([(k,) for k in keys], "k string"), spark.createDataFrame([("a",), ("a",), ("7",), (None,)], "k string"), "k", "hit")
+    assert sorted(map(str, (tuple(r) for r in marked.collect()))) == sorted(str((k, k in ("a", "7"))) for k in keys)
