@@ -3,11 +3,12 @@
 import datetime as dt
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from pagemill.operators.limits import block_intervals
-from pagemill.streaming.block_stream import run_blocks
+from pagemill.streaming.block_stream import Blocks, run_blocks
 
 START = dt.datetime(2024, 1, 1)
 N, DELAY = 5, dt.timedelta(minutes=2)
@@ -97,3 +98,62 @@ def test_few_rows_of_a_hot_key_are_shuffled(spark, tmp_path):
 def test_nothing_there(spark, tmp_path):
     written(spark, log_rows(1, 3), tmp_path / "log", 1)
     assert found(spark, run(spark, str(tmp_path / "log"), tmp_path)) == []
+
+
+def test_state_is_called_a_few_times_per_key():
+    """However many windows a batch brings: each call goes to another process."""
+
+    class State:
+        def __init__(self):
+            self.value, self.calls = None, 0
+
+        def __getattr__(self, name):
+            raise AssertionError(name)
+
+        def exists(self):
+            self.calls += 1
+            return self.value is not None
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+        def clear(self):
+            self.calls += 1
+            self.value = None
+
+    class Handle:
+        def __init__(self):
+            self.states, self.timers = [], []
+
+        def getValueState(self, *_):  # noqa: N802
+            self.states.append(State())
+            return self.states[-1]
+
+        def registerTimer(self, at):  # noqa: N802
+            self.timers.append(at)
+
+    class Clock:
+        def __init__(self, now):
+            self.now = now
+
+        def getCurrentWatermarkInMs(self):  # noqa: N802
+            return self.now
+
+    minute = 60_000_000
+    found, handle = Blocks(2, minute, minute // 2), Handle()
+    found.init(handle)
+    at = [w * minute + s for w in range(100) for s in (5, 1, 3)]
+    batches = [pd.DataFrame({"at": part, "counts": True}) for part in (at[:150], at[150:])]
+    assert not list(found.handleInputRows((7,), iter(batches), Clock(0)))
+    assert handle.timers == [60_000]
+    [early] = found.handleExpiredTimer((7,), Clock(120_000), None)
+    assert early.values.tolist() == [[7, w * minute + 5, w * minute + 5 + minute // 2] for w in range(2)]
+    assert handle.timers == [60_000, 180_000]
+    [rest] = found.handleExpiredTimer((7,), Clock(10**9), None)
+    assert rest["since"].tolist() == [w * minute + 5 for w in range(2, 100)] and len(handle.timers) == 2
+    assert sum(s.calls for s in handle.states) <= 12
