@@ -17,7 +17,7 @@ import heapq
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import product
+from itertools import chain, product
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +32,7 @@ LETTER, NUMBER, OTHER, JOIN, LONE, SPACE, SHORT, LONG, BREAK = range(9)
 CLOSED, IN_LETTERS, IN_NUMBERS, IN_OTHERS, JOINED, IN_SPACES, CUT1, CUT2 = range(8)
 BLOCK = 64
 CACHE_WORDS = 200_000
+TOGETHER = 16_384  # slices merged in step
 
 
 def _step(state: int, symbol: int) -> tuple[int, bool]:
@@ -53,8 +54,11 @@ def _step(state: int, symbol: int) -> tuple[int, bool]:
 
 
 @lru_cache(maxsize=1)
-def _automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(function of each symbol, product table, image of CLOSED, starts[state, symbol])."""
+def _automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(function of each symbol, products, starts), the last two at function * 16 + function or symbol.
+
+    A symbol starts a slice or not in the state to which the function before it takes CLOSED.
+    """
     symbols = [tuple(_step(s, x)[0] for s in range(8)) for x in range(9)]
     known = {f: i for i, f in enumerate(dict.fromkeys([tuple(range(8)), *symbols]))}
     todo = list(known)
@@ -66,16 +70,13 @@ def _automaton() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
                 known[fg] = len(known)
                 todo.append(fg)
     functions = list(known)
-    table = np.empty((len(known), len(known)), np.uint8 if len(known) < 256 else np.uint16)
+    table = np.zeros((16, 16), np.uint8)  # there are 15 functions
     for (i, f), (j, g) in product(enumerate(functions), enumerate(functions)):
         table[i, j] = known[tuple(g[s] for s in f)]
-    starts = np.array([[_step(s, x)[1] for x in range(9)] for s in range(8)])
-    return (
-        np.array([known[f] for f in symbols], table.dtype),
-        table,
-        np.array([f[CLOSED] for f in functions], np.uint8),
-        starts,
-    )
+    starts = np.zeros((16, 16), bool)
+    for (i, f), x in product(enumerate(functions), range(9)):
+        starts[i, x] = _step(f[CLOSED], x)[1]
+    return np.array([known[f] for f in symbols], np.uint8), table.reshape(-1), starts.reshape(-1)
 
 
 @lru_cache(maxsize=1)
@@ -121,7 +122,7 @@ def slice_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
     points: code points of texts, each followed by one filler; ends: the fillers' places.
     """
-    functions, table, image, starts = _automaton()
+    functions, table, starts = _automaton()
     symbols = _symbols(points, ends)
     n = len(symbols)
     blocks = -(-n // BLOCK)
@@ -131,17 +132,17 @@ def slice_starts(points: np.ndarray, ends: np.ndarray) -> np.ndarray:
     step = functions[grid]
     whole = step[0].copy()
     for row in step[1:]:
-        whole = table[whole, row]
+        whole = table[whole << 4 | row]
     # Exclusive scan of the block results by doubling.
     before = np.concatenate([np.zeros(1, whole.dtype), whole[:-1]])
     shift = 1
     while shift < blocks:
-        before[shift:] = table[before[:-shift], before[shift:]]
+        before[shift:] = table[before[:-shift] << 4 | before[shift:]]
         shift *= 2
     found = np.empty((BLOCK, blocks), bool)
     for j in range(BLOCK):
-        found[j] = starts[image[before], grid[j]]
-        before = table[before, step[j]]
+        found[j] = starts[before << 4 | grid[j]]
+        before = table[before << 4 | step[j]]
     return np.flatnonzero(found.T.reshape(-1)[:n])
 
 
@@ -254,77 +255,79 @@ class Coder:
         for piece, i in ranks.items():
             self.pieces[i] = piece
         self.sizes = np.fromiter(map(len, self.pieces), np.int32, len(self.pieces))
-        self.of_byte = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
         self.pairs = Pairs(ranks)
-        self.cache: dict[str, bytes] = {}
+        # Byte 256 stands for the blank beside a slice.
+        self.of_byte = np.array([*(ranks[bytes([i])] for i in range(256)), self.pairs.none], np.int32)
+        self.byte_pairs = self.pairs(np.repeat(self.of_byte, 257), np.tile(self.of_byte, 257)).astype(np.int64) << 6
+        self.cache: dict[bytes, bytes] = {}
 
-    def ids_of(self, slices: list[str]) -> list[bytes]:
-        """The ids of every slice."""
+    def ids_of(self, slices: list[bytes]) -> list[bytes]:
+        """The ids of every slice; slices differ."""
         found: list[bytes | None] = list(map(self.cache.get, slices))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            new = self._learn(list({slices[i] for i in missing}))
-            for i in missing:
-                found[i] = new[slices[i]]
+            for i, ids in zip(missing, self._learn([slices[i] for i in missing]), strict=True):
+                found[i] = ids
         return found
 
-    def _learn(self, new: list[str]) -> dict[str, bytes]:
+    def _learn(self, new: list[bytes]) -> list[bytes]:
         """Merges slices and keeps their ids; a full cache starts afresh."""
-        data = [s.encode("utf-8", "surrogatepass") for s in new]
-        short = [i for i, d in enumerate(data) if len(d) <= 48]
-        out = {new[i]: ids for i, ids in zip(short, self._merge_all([data[i] for i in short]), strict=True)}
+        short = [w for w in new if len(w) <= 48]
+        groups = (short[i : i + TOGETHER] for i in range(0, len(short), TOGETHER))
+        out = dict(zip(short, chain.from_iterable(map(self._merge_all, groups)), strict=True))
         if len(self.cache) + len(out) > CACHE_WORDS:
             self.cache.clear()
         self.cache.update(out)
-        for word, d in zip(new, data, strict=True):
-            if len(d) > 48:
-                out[word] = np.array(merge(d, self.ranks), "<i4").tobytes()
-        return out
+        return [out[w] if len(w) <= 48 else np.array(merge(w, self.ranks), "<i4").tobytes() for w in new]
 
     def _merge_all(self, words: list[bytes]) -> list[bytes]:
-        """merge() of many slices in step: each round does one merge in every open slice."""
-        if not words:
-            return []
+        """merge() of slices of at most 48 bytes in step: each round does one merge in every open slice.
+
+        A slice lies between two blanks, which no pair holds. Its parts know their
+        neighbours by place; key is rank and place of the pair that starts at a part.
+        """
         out: list[bytes] = [b""] * len(words)
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        ids = self.of_byte[np.frombuffer(b"".join(words), np.uint8)]
         number = np.arange(len(words))
-        none = self.pairs.none
-        last = np.cumsum(size) - 1
-        rank = np.full(len(ids), none, np.int32)
-        rank[:-1] = self.pairs(ids[:-1], ids[1:])
-        rank[last] = none
-        while len(number):
-            first = last - size + 1
-            least = np.minimum.reduceat(rank, first)
-            done = least == none
-            if done.any():
-                raw, cuts = ids.astype("<i4").tobytes(), (4 * first).tolist()
-                for w, a, n in zip(number[done].tolist(), np.array(cuts)[done].tolist(), (4 * size[done]).tolist(), strict=True):
-                    out[w] = raw[a : a + n]
-                stay = np.repeat(~done, size)
-                ids, rank = ids[stay], rank[stay]
-                number, size, least = number[~done], size[~done], least[~done]
-                if not len(number):
-                    break
-                last = np.cumsum(size) - 1
-                first = last - size + 1
-            equal = np.flatnonzero(rank == np.repeat(least, size))
-            at = equal[np.searchsorted(equal, first)]
-            ids[at] = rank[at]
-            keep = np.ones(len(ids), bool)
-            keep[at + 1] = False
-            ids, rank = ids[keep], rank[keep]
-            at = at - np.arange(len(at))
-            size = size - 1
-            last = np.cumsum(size) - 1
-            first = last - size + 1
-            right = np.where(at < last, self.pairs(ids[at], ids[np.minimum(at + 1, len(ids) - 1)]), none)
-            left = np.where(at > first, self.pairs(ids[at - 1], ids[at]), none)
-            rank[at] = right
-            inner = at > first
-            rank[at[inner] - 1] = left[inner]
-        return out
+        size = np.fromiter(map(len, words), np.int64, len(words)) + 2
+        first = np.cumsum(size) - size
+        place = np.arange(size.sum()) - np.repeat(first, size)
+        alive = place > 0
+        alive[first + size - 1] = False
+        byte = np.full(len(place), 256)
+        byte[alive] = np.frombuffer(b"".join(words), np.uint8)
+        ids = self.of_byte[byte]
+        key = np.full(len(place), self.pairs.none << 6)
+        key[:-1] = self.byte_pairs[byte[:-1] * 257 + byte[1:]]
+        key = key | place
+        ahead, after = place - 1, place + 1
+        while True:
+            least = np.minimum.reduceat(key, first)
+            is_open = least < self.pairs.none << 6
+            if 2 * np.count_nonzero(is_open) <= len(number):  # ended ones leave together
+                ended = np.repeat(~is_open, size)
+                ends = np.cumsum(np.add.reduceat(alive, first, dtype=np.int64)[~is_open] * 4).tolist()
+                raw = ids[ended & alive].astype("<i4").tobytes()
+                for w, a, b in zip(number[~is_open].tolist(), [0, *ends], ends, strict=False):
+                    out[w] = raw[a:b]
+                if not is_open.any():
+                    return out
+                ids, key, alive, ahead, after = (x[~ended] for x in (ids, key, alive, ahead, after))
+                number, size, least = number[is_open], size[is_open], least[is_open]
+                first = np.cumsum(size) - size
+                base = first
+            else:
+                base, least = first[is_open], least[is_open]
+            at, union = least & 63, least >> 6
+            left = base + at
+            gone = base + after[left]
+            right_at, before_at = after[gone], ahead[left]
+            right, before = base + right_at, base + before_at
+            ids[left] = union
+            alive[gone] = False
+            key[gone] = self.pairs.none << 6
+            after[left], ahead[right] = right_at, at
+            key[left] = self.pairs(union, ids[right]).astype(np.int64) << 6 | at
+            key[before] = self.pairs(ids[before], union).astype(np.int64) << 6 | before_at
 
 
 @lru_cache(maxsize=2)
@@ -332,23 +335,39 @@ def coder(path: str) -> Coder:
     return Coder(path)
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
-    """Ids of every text, an array each; null is the empty text."""
+def encode_flat(texts: list[str | None], path: str) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts, one after the other, and how many each text has; null is the empty text.
+
+    A slice that comes back is looked up once: Arrow numbers the different ones.
+    """
     own = coder(path)
     texts = [t or "" for t in texts]
     joined = "\0".join([*texts, ""])
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
     ends = np.cumsum(np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))) - 1
     at = slice_starts(points, ends)
-    # One list of slices over all texts; fillers are slices of their own and are passed over.
-    stops = np.searchsorted(at, ends).tolist()
-    cut = at.tolist()
-    slices = [joined[a:b] for a, b in zip(cut, [*cut[1:], len(joined)], strict=False)]
-    found, out, first = own.ids_of(slices), [], 0
-    for stop in stops:
-        out.append(np.frombuffer(b"".join(found[first:stop]), "<i4"))
-        first = stop + 1
-    return out
+    stops = np.searchsorted(at, ends)
+    raw = joined.encode("utf-8", "surrogatepass")
+    if len(raw) > len(joined):  # from code points to bytes
+        at = np.flatnonzero(np.frombuffer(raw, np.int8) >= -64)[at]
+    offsets = pa.py_buffer(np.append(at, len(raw)).astype("<i8"))
+    slices = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at), [None, offsets, pa.py_buffer(raw)]).dictionary_encode()
+    found = own.ids_of(slices.dictionary.to_numpy(zero_copy_only=False).tolist())
+    known = np.frombuffer(b"".join(found), "<i4")
+    sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+    number = slices.indices.to_numpy()
+    length = sizes[number]
+    length[stops] = 0  # fillers are slices of their own and are passed over
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(length)])
+    ids = known[np.repeat((np.cumsum(sizes) - sizes)[number] - total[:-1], length) + np.arange(total[-1])]
+    return ids, np.diff(total[stops], prepend=0)
+
+
+def encode_texts(texts: list[str | None], path: str) -> list[np.ndarray]:
+    """Ids of every text, an array each; null is the empty text."""
+    ids, sizes = encode_flat(texts, path)
+    ends = np.cumsum(sizes).tolist()
+    return [ids[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
 
 def list_array(arrays: list[np.ndarray], kind: pa.DataType) -> pa.ListArray:

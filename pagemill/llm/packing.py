@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pagemill.llm.bpe import encode_texts
+from pagemill.llm.bpe import encode_flat
 from pagemill.llm.common import chunks, stored
 
 CAPACITY = 2048
@@ -149,16 +149,58 @@ def added_tokens(json_path: str) -> dict[str, int]:
         return {t["content"]: t["id"] for t in json.load(file).get("added_tokens", [])}
 
 
+def encode_ended(texts: list[str | None], ranks_path: str, added: dict[str, int], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all texts in one array, end_id after each, and how many each text has with that.
+
+    Texts are cut at the added tokens before; of those that start at one place the longest
+    counts. So one id, of an added token or end_id, follows every part.
+    """
+    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+    parts: list[str] = []
+    after: list[int] = []
+    last = []
+    for text in texts:
+        own = cut.split(text or "") if cut and any(map((text or "").__contains__, added)) else [text or ""]
+        parts += own[::2]
+        after += [added[p] for p in own[1::2]]
+        after.append(end_id)
+        last.append(len(parts))
+    ids, sizes = encode_flat(parts, ranks_path)
+    ends = np.cumsum(sizes)
+    ids = np.insert(ids, ends, np.array(after, ids.dtype)).astype("<i4", copy=False)
+    through = np.concatenate([np.zeros(1, np.int64), ends + np.arange(1, len(parts) + 1)])
+    return ids, np.diff(through[last], prepend=0)
+
+
 def encode_with(texts: list[str | None], ranks_path: str, added: dict[str, int]) -> list[np.ndarray]:
-    """Ids of every text, which is cut at the added tokens before; of those that start at one place the longest counts."""
-    if not added:
-        return encode_texts(texts, ranks_path)
-    cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")")
-    parts = [cut.split(t or "") for t in texts]
-    plain, out = iter(encode_texts([p for own in parts for p in own[::2]], ranks_path)), []
-    for own in parts:
-        ids = [next(plain) if i % 2 == 0 else np.array([added[p]], "<i4") for i, p in enumerate(own)]
-        out.append(ids[0] if len(ids) == 1 else np.concatenate(ids))
+    """Ids of every text, which is cut at the added tokens before."""
+    ids, sizes = encode_ended(texts, ranks_path, added, 0)
+    ends = np.cumsum(sizes).tolist()
+    return [ids[a : b - 1] for a, b in zip([0, *ends], ends, strict=False)]
+
+
+def cut_pieces(sizes: np.ndarray, capacity: int, grid: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(document, start, length) of the pieces of documents of these sizes, in order."""
+    full, left = sizes // capacity, sizes % capacity
+    head = left // grid * grid
+    kinds = full + (head > 0) + (left > head)
+    doc = np.repeat(np.arange(len(sizes)), kinds)
+    place = np.arange(len(doc)) - np.repeat(np.cumsum(kinds) - kinds, kinds)
+    past = place - full[doc]  # below 0: a piece of capacity
+    is_head = (past == 0) & (head[doc] > 0)
+    length = np.where(past < 0, capacity, np.where(is_head, head[doc], (left - head)[doc]))
+    start = np.where(past < 0, place * capacity, (full * capacity)[doc] + np.where(is_head, 0, head[doc]))
+    return doc, start, length
+
+
+def ranks_within(values: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """How often each value came before, in seen or here; seen counts on."""
+    order = np.argsort(values, kind="stable")
+    sorted_values = values[order]
+    count = np.bincount(values, minlength=len(seen))
+    out = np.empty(len(values), np.int64)
+    out[order] = np.arange(len(values)) - (np.cumsum(count) - count)[sorted_values] + seen[sorted_values]
+    seen += count
     return out
 
 
@@ -172,28 +214,21 @@ def pieces(
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seen = TaskContext.get().partitionId(), {}
+        part, seen = TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for whole in batches:
             for batch in chunks(whole, "text", 1 << 20):
-                rows: dict[str, list] = {n: [] for n in names}
-                keys = batch.column("doc_id").to_pylist()
-                for key, ids in zip(keys, encode_with(batch.column("text").to_pylist(), ranks_path, added or {}), strict=True):
-                    ids = np.append(ids, np.int32(end_id)).astype("<i4")
-                    n = len(ids)
-                    full = n - n % capacity
-                    cuts = [*range(0, full + 1, capacity), full + n % capacity // grid * grid, n]
-                    for a, b in zip(cuts, cuts[1:], strict=False):
-                        if a < b:
-                            rank = seen.get(b - a, 0)
-                            seen[b - a] = rank + 1
-                            for name, value in zip(names, (key, a, b - a, ids[a:b].tobytes(), n, part, rank), strict=True):
-                                rows[name].append(value)
-                yield pa.RecordBatch.from_arrays([pa.array(rows[f.name], f.type) for f in kinds], schema=kinds)
+                ids, sizes = encode_ended(batch.column("text").to_pylist(), ranks_path, added or {}, end_id)
+                doc, start, length = cut_pieces(sizes, capacity, grid)
+                # Pieces follow each other as the ids do, so they are ranges of one buffer.
+                ends = pa.array(np.concatenate([np.zeros(1, np.int64), np.cumsum(4 * length)]), pa.int32())
+                held = pa.BinaryArray.from_buffers(pa.binary(), len(doc), [None, ends.buffers()[1], pa.py_buffer(ids)])
+                rank = ranks_within(length, seen)
+                columns = [batch.column("doc_id").take(pa.array(doc)), start, length, held, sizes[doc], np.full(len(doc), part), rank]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kinds, strict=True)], schema=kinds)
 
     kinds = pa.schema(
         [(n, pa.binary() if n == "ids" else pa.int64()) for n in ("doc_id", "start", "length", "ids", "doc_tokens", "part", "rank_in_part")]
     )
-    names = kinds.names
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long, part long, rank_in_part long")
 
